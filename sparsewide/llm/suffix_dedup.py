@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh_path, written
 
-LENGTH, BLOCK, BUCKET = 100, 4 << 20, 4 << 20
+LENGTH, BLOCK, BUCKET = 100, 2 << 20, 2 << 20
 #: A perfect difference cover: each residue but 0 is one difference.
 PERIOD, DIFFERENCE_COVER = 57, (0, 1, 3, 13, 32, 36, 43, 52)
 _P = 0x9E3779B97F4A7C15
@@ -52,7 +52,7 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """_P ** i and _P ** -i modulo 2**64 for i < n."""
-    size = 1 << max(n - 1, 1).bit_length()
+    size = -(-n // (1 << 20)) << 20
     if size not in _powers:
         _powers.clear()
         both = []
@@ -60,7 +60,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             a = np.ones(size, np.uint64)
             k = 1
             while k < size:
-                a[k : 2 * k] = a[:k] * np.uint64(pow(p, k, 1 << 64))
+                a[k : 2 * k] = a[: min(k, size - k)] * np.uint64(pow(p, k, 1 << 64))
                 k *= 2
             both.append(a)
         _powers[size] = tuple(both)
@@ -228,6 +228,13 @@ def _bits(answers: list[dict] | None, cuts: list[int]) -> np.ndarray:
     return out
 
 
+def _each(batches):
+    """Rows as dicts, one copied at a time."""
+    for b in batches:
+        for k in range(b.num_rows):
+            yield b.slice(k, 1).to_pylist()[0]
+
+
 def _rows(r, block, keys, docs):
     return pa.RecordBatch.from_arrays([pa.array(r, pa.int32()), pa.array(block, pa.int64()), pa.array(keys, pa.binary()), pa.array(docs, pa.binary())], ["r", "block", "keys", "docs"])
 
@@ -242,12 +249,11 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     ranges = 1 + total * len(DIFFERENCE_COVER) // PERIOD // bucket
 
     def ask_samples(batches):
-        for b in batches:
-            for row in b.to_pylist():
-                *_, keys, _ = Block(row["data"], row["lens"], length).sample_keys()
-                cuts = _cuts(keys, 48, ranges)
-                some = [k for k in range(ranges) if cuts[k] < cuts[k + 1]]
-                yield _rows(some, [row["block"]] * len(some), [_deltas(keys[cuts[k] : cuts[k + 1]]) for k in some], [b""] * len(some))
+        for row in _each(batches):
+            *_, keys, _ = Block(row["data"], row["lens"], length).sample_keys()
+            cuts = _cuts(keys, 48, ranges)
+            some = [k for k in range(ranges) if cuts[k] < cuts[k + 1]]
+            yield _rows(some, [row["block"]] * len(some), [_deltas(keys[cuts[k] : cuts[k + 1]]) for k in some], [b""] * len(some))
 
     shared = _ask(blocks, ask_samples, _elsewhere, "samples")
     buckets = 1 + (shared.agg(F.sum("n")).first()[0] or 0) * PERIOD // len(DIFFERENCE_COVER) // bucket
@@ -262,36 +268,34 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         return at[np.flatnonzero(np.r_[True, of[1:] != of[:-1]])] if len(at) else at  # at ascends within a key
 
     def ask_suffixes(batches):
-        for b in batches:
-            for row in b.to_pylist():
-                own, at, of, keys, _ = suffixes(row)
-                ids = np.array([np.iinfo(np.int64).min if d is None else d for d in row["doc_ids"]], np.int64)
-                owner = ids[np.searchsorted(own.ends, first_places(at, of), "right")]
-                cuts = _cuts(keys, 64, buckets)
-                some = [k for k in range(buckets) if cuts[k] < cuts[k + 1]]
-                yield _rows(some, [row["block"]] * len(some), [_deltas(keys[cuts[k] : cuts[k + 1]]) for k in some], [_squeeze(owner[cuts[k] : cuts[k + 1]].view(np.uint64)) for k in some])
+        for row in _each(batches):
+            own, at, of, keys, _ = suffixes(row)
+            ids = np.array([np.iinfo(np.int64).min if d is None else d for d in row["doc_ids"]], np.int64)
+            owner = ids[np.searchsorted(own.ends, first_places(at, of), "right")]
+            cuts = _cuts(keys, 64, buckets)
+            some = [k for k in range(buckets) if cuts[k] < cuts[k + 1]]
+            yield _rows(some, [row["block"]] * len(some), [_deltas(keys[cuts[k] : cuts[k + 1]]) for k in some], [_squeeze(owner[cuts[k] : cuts[k + 1]].view(np.uint64)) for k in some])
 
     left = blocks.join(shared.select("block", F.col("answers").alias("shared")).hint("shuffle_hash"), "block", "left")
     earlier = _ask(left.select("block", "doc_ids", "lens", "data", "shared"), ask_suffixes, _earlier, "suffixes")
 
     def mark(batches):
-        for b in batches:
-            for row in b.to_pylist():
-                own, at, of, keys, _ = suffixes(row)
-                gone = _bits(row["earlier"], _cuts(keys, 64, buckets))[of] if len(at) else np.zeros(0, bool)
-                if len(at):
-                    gone |= np.r_[False, of[1:] == of[:-1]]  # all but the first here
-                gone = at[gone]
-                step = np.bincount(gone, minlength=len(own.data) + 1).astype(np.int32)
-                step[length:] -= np.bincount(gone, minlength=len(own.data) + 1)[: len(step) - length].astype(np.int32) if len(step) > length else 0
-                cut = np.cumsum(step[:-1]) > 0
-                out = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")}
-                for key, lo, hi in zip(row["doc_ids"], own.starts.tolist(), own.ends.tolist()):
-                    c = cut[lo:hi]
-                    edge = np.flatnonzero(np.diff(c.astype(np.int8), prepend=0, append=0)).tolist() if c.any() else []
-                    for k, v in zip(out, (key, hi - lo, int(c.sum()), len(edge) // 2, hashlib.sha256(own.data[lo:hi][~c].tobytes()).hexdigest(), [{"start": x, "stop": y} for x, y in zip(edge[::2], edge[1::2])])):
-                        out[k].append(v)
-                yield pa.RecordBatch.from_pydict(out, schema=_OUT)
+        for row in _each(batches):
+            own, at, of, keys, _ = suffixes(row)
+            gone = _bits(row["earlier"], _cuts(keys, 64, buckets))[of] if len(at) else np.zeros(0, bool)
+            if len(at):
+                gone |= np.r_[False, of[1:] == of[:-1]]  # all but the first here
+            gone = at[gone]
+            step = np.bincount(gone, minlength=len(own.data) + 1).astype(np.int32)
+            step[length:] -= np.bincount(gone, minlength=len(own.data) + 1)[: len(step) - length].astype(np.int32) if len(step) > length else 0
+            cut = np.cumsum(step[:-1]) > 0
+            out = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")}
+            for key, lo, hi in zip(row["doc_ids"], own.starts.tolist(), own.ends.tolist()):
+                c = cut[lo:hi]
+                edge = np.flatnonzero(np.diff(c.astype(np.int8), prepend=0, append=0)).tolist() if c.any() else []
+                for k, v in zip(out, (key, hi - lo, int(c.sum()), len(edge) // 2, hashlib.sha256(own.data[lo:hi][~c].tobytes()).hexdigest(), [{"start": x, "stop": y} for x, y in zip(edge[::2], edge[1::2])])):
+                    out[k].append(v)
+            yield pa.RecordBatch.from_pydict(out, schema=_OUT)
 
     both = left.join(earlier.select("block", F.col("answers").alias("earlier")).hint("shuffle_hash"), "block", "left")
     out = written(both.select("block", "doc_ids", "lens", "data", "shared", "earlier").mapInArrow(mark, _OUT_SQL), "repeats")
