@@ -174,7 +174,7 @@ def pack(docs: DataFrame, id_col: str, text_col: str, block: int) -> tuple[DataF
     n = max(1, narrow.rdd.getNumPartitions())
     name = f"blocks_{uuid.uuid4().hex}"
     packed = narrow.mapInArrow(run, "block long, n_bytes long, doc_ids array<bigint>, lens array<bigint>, data binary")
-    packed.write.option("path", fresh_path(spark, "blocks")).bucketBy(n, "block").saveAsTable(name)
+    packed.write.option("compression", "zstd").option("path", fresh_path(spark, "blocks")).bucketBy(n, "block").saveAsTable(name)
     return spark.table(name), name
 
 
