@@ -23,6 +23,9 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from functools import lru_cache
+from itertools import compress, pairwise
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +44,21 @@ ROUNDS, PER_ROUND, MIN_COUNT = 5, 3000, 24
 #: Letters and numbers below U+0250, as the byte-level tokenizers' own pattern splits them.
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 _PIECES = re.compile(f"'(?:[sdmt]|ll|ve|re)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
-_OTHER = re.compile("[^\x01-ɏ]|<\\|")
+#: Byte-level symbols: printable bytes stand for themselves, the others for the characters from U+0100 on; NUL parts pieces.
+_SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_SYMBOLS = {chr(b): chr(0x100 + k) for k, b in enumerate(b for b in range(256) if b not in _SHOWN) if b}
+_WIDE = re.compile("[^\x01-ɏ]")
+
+
+def _whole(t: str) -> bool:
+    """Whether the pattern above may not do for a text."""
+    if "<|" in t or "\0" in t:
+        return True
+    try:
+        t.encode("latin-1")
+    except UnicodeEncodeError:
+        return _WIDE.search(t) is not None
+    return False
 
 
 class Encoder:
@@ -50,35 +67,43 @@ class Encoder:
     Texts with characters from U+0250 on or what may be a special token go through the tokenizer whole.
     """
 
-    def __init__(self, path: str, keep: int = 1_500_000):
+    def __init__(self, path: str, keep: int = 1_000_000):
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel, Sequence, Split
 
-        self.whole, self.piece = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        # many pieces in one call, parted by NUL
-        self.piece.pre_tokenizer = Sequence([Split("\0", "removed"), ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.whole = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
         self.keep = keep
 
     def _learn(self, new: list[str]) -> None:
-        got = self.piece.encode("\0".join(new), add_special_tokens=False)
-        ids, of = np.array(got.ids, "<u4"), np.array(got.word_ids, np.int64)
-        edge = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-        data, at = ids.tobytes(), (4 * np.r_[edge, len(ids)]).tolist()
-        self.known.update(zip(new, (data[a:b] for a, b in zip(at, at[1:]))))
+        """The tokenizer's model takes each piece as one symbol a byte."""
+        symbols = "\0".join(new).encode().decode("latin-1")
+        for b in set(symbols) & _SYMBOLS.keys():
+            symbols = symbols.replace(b, _SYMBOLS[b])
+        found, ids, at = list(map(self.whole.model.tokenize, symbols.split("\0"))), [], [0]
+        for tokens in found:
+            ids += [t.id for t in tokens]
+            at.append(4 * len(ids))
+        data = np.array(ids, "<u4").tobytes()
+        self.known.update(zip(new, (data[a:b] for a, b in pairwise(at))))
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [None if t and _OTHER.search(t) else _PIECES.findall(t or "") for t in texts]
-        new = list(set().union(*(p for p in split if p)).difference(self.known))
-        if len(self.known) + len(new) > self.keep:
+        split = [None if t and _whole(t) else _PIECES.findall(t or "") for t in texts]
+        if len(self.known) > self.keep:
             self.known.clear()
-            new = list(set().union(*(p for p in split if p)))
-        if new:
-            self._learn(new)
-        get, out = self.known.__getitem__, []
-        for t, p in zip(texts, split):
-            out.append(np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u4") if p is None else np.frombuffer(b"".join(map(get, p)), "<u4"))
-        return out
+        got = [p and list(map(self.known.get, p)) for p in split]
+        lacks = {k: list(compress(split[k], map(not_, g))) for k, g in enumerate(got) if g and not all(g)}
+        if lacks:
+            self._learn(list(set().union(*lacks.values())))
+        for k, pieces in lacks.items():
+            rest = map(self.known.__getitem__, pieces)
+            got[k] = [x or next(rest) for x in got[k]]
+        return [np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u4") if g is None else np.frombuffer(b"".join(g), "<u4") for t, g in zip(texts, got)]
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """The encoder of this Python worker, kept from task to task with the pieces it knows."""
+    return Encoder(path)
 
 
 def repair(ids: np.ndarray, *, end_id: int = 0, base: int = BASE, rounds: int = ROUNDS, per_round: int = PER_ROUND, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray]:
@@ -201,7 +226,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, *, id_col: str = "doc_id",
     ranged = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange(lanes, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches):
-        encode, part, seq, held, ids, size = Encoder(tokenizer), TaskContext.get().partitionId(), 0, [], [], 0
+        encode, part, seq, held, ids, size = encoder(tokenizer), TaskContext.get().partitionId(), 0, [], [], 0
         end = np.array([end_id], np.uint32)
         row = lambda: pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "n_ids": [size], "doc_ids": [ids], "data": [pack(held, end_id=end_id)]}, schema=ROW)
         for batch in batches:
