@@ -93,3 +93,29 @@ eq AS (SELECT doc_id, item_id, diag, len(b.w) AS len,
 ok AS (SELECT *, least({decontaminate.WINDOW}, len) AS win FROM eq)
 SELECT doc_id, item_id, CAST(greatest(diag, 0) AS BIGINT) AS start_word, CAST(len(e) AS BIGINT) AS compared, CAST(list_sum(e) AS BIGINT) AS matched FROM ok
 WHERE len(e) >= win AND list_max([list_sum(e[s:s + win - 1]) FOR s IN range(1, len(e) - win + 2)]) >= ceil(win * {decontaminate.AGREE})"""
+
+#: The mix as one schedule over whole tables: water-filled targets, golden-ratio slots, blocks of each source's shuffled documents.
+SQL["op3_source_mixing"] = f"""
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS src FROM d GROUP BY source),
+w AS (SELECT *, CAST([{", ".join(map(str, mixing.WEIGHTS))}][src % {len(mixing.WEIGHTS)} + 1] AS DOUBLE) AS weight, {mixing.EPOCHS} * source_size AS cap FROM s),
+v AS (SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(cap) OVER before, 0) AS DOUBLE) AS rest, sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS free FROM w
+  WINDOW before AS (ORDER BY cap / weight, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT *, weight * (rest / free) > cap AS capped FROM v),
+l AS (SELECT CAST(sum(source_size) - coalesce(sum(cap) FILTER (capped), 0) AS DOUBLE) / sum(weight) FILTER (NOT capped) AS level FROM c),
+t AS (SELECT src, source, source_size, CASE WHEN capped THEN CAST(cap AS DOUBLE) ELSE weight * level END AS target FROM c, l),
+a AS (SELECT list(target ORDER BY src) AS ts FROM t),
+e AS (SELECT src, list_reduce(ts[1:src + 1], lambda x, y: x + y) AS upto, list_reduce(ts, lambda x, y: x + y) AS total, len(ts) AS n FROM t, a),
+r AS (SELECT src, total, CASE WHEN src = n - 1 THEN {mixing.RING} WHEN total = 0 THEN 0 ELSE CAST(floor({float(mixing.RING)!r}::DOUBLE * upto / total) AS BIGINT) END AS hi FROM e),
+z AS (SELECT src, coalesce(lag(hi) OVER (ORDER BY src), 0) AS lo, hi FROM r),
+p AS (SELECT slot, (slot % {mixing.RING}) * {mixing.STEP} % {mixing.RING} AS point FROM (SELECT unnest(range(0, (SELECT CAST(ceil(max(total) / {mixing.BLOCK}) AS BIGINT) FROM r))) AS slot)),
+k AS (SELECT src, row_number() OVER (PARTITION BY src ORDER BY slot) - 1 AS nth FROM p JOIN z ON point >= lo AND point < hi),
+b AS (SELECT src, nth % n_blocks AS block, count(*) AS times FROM k JOIN (SELECT src, (source_size + {mixing.BLOCK - 1}) // {mixing.BLOCK} AS n_blocks FROM t WHERE source_size > 0) USING (src)
+  WHERE nth < n_blocks * {mixing.EPOCHS} GROUP BY ALL),
+o AS (SELECT d.doc_id, d.size, t.src, t.source_size, t.target FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+f AS (SELECT src, doc_id, size, sum(size) OVER (PARTITION BY src ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start FROM o WHERE size > 0),
+u AS (SELECT src, doc_id, size, start, unnest(range(start // {mixing.BLOCK}, (start + size - 1) // {mixing.BLOCK} + 1)) AS block FROM (SELECT src, doc_id, size, CAST(start AS BIGINT) AS start FROM f)),
+g AS (SELECT src, doc_id, sum((least(start + size, (block + 1) * {mixing.BLOCK}) - greatest(start, block * {mixing.BLOCK})) * times) AS got FROM u JOIN b USING (src, block) GROUP BY ALL)
+SELECT o.doc_id, o.size, o.source_size, o.target,
+  CAST(least(coalesce(got, 0) * o.size // greatest(sum(o.size) OVER (PARTITION BY o.src, o.doc_id), 1), {mixing.EPOCHS} * o.size) AS BIGINT) AS taken
+FROM o LEFT JOIN g ON o.src = g.src AND o.doc_id IS NOT DISTINCT FROM g.doc_id"""

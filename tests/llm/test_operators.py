@@ -6,13 +6,15 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
 from sparsewide.llm import decontaminate, html_extract, language_id, licenses, mixing, quality, simhash, suffix_dedup, token_output, url_filters
 from sparsewide.llm.components import components
-from sparsewide.llm.queries import URL_RULES, tokenizer_path
+from sparsewide.llm.queries import SQL, URL_RULES, tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp string, a string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -159,6 +161,16 @@ def test_mixing_meets_targets_and_cap(docs, empty, spark):
     assert len(rows(mixing.taken(odd, block=1))) == 4
 
 
+@pytest.mark.parametrize("n", [0, 1, 90])
+def test_mixing_equals_sql(spark, n):
+    table = spark.createDataFrame(corpus()[-n:] if n else [], DOCS)
+    con = duckdb.connect()
+    con.register("documents", pa.Table.from_pylist([r.asDict() for r in table.collect()], table.toArrow().schema))
+    want = con.execute(f"SELECT doc_id, size, source_size, target, taken FROM ({SQL['op3_source_mixing']})").fetchall()
+    got = [(r["doc_id"], r["size"], r["source_size"], r["target"], r["taken"]) for r in rows(mixing.taken(table))]
+    assert sorted(got) == sorted(want) and len(got) == min(n, len(corpus()))
+
+
 def test_targets_share_the_excess():
     assert mixing.targets([100, 1, 50]) == pytest.approx([37.0, 3.0, 111.0])
     assert mixing.targets([10]) == [10.0] and mixing.targets([]) == [] and mixing.targets([0, 0]) == [0.0, 0.0]
