@@ -224,7 +224,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Keeps the document of smallest id of each component, with all its columns."""
-    near = near_duplicates(docs, id_col=id_col, text_col=text_col)
-    kept = near.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("_kept"))).drop("_kept").dropDuplicates([id_col])
+    """Keeps one row of each component, with all its columns: that of smallest id (null ids last). Rows are told apart by a key of their own, not by id."""
+    keyed = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    near = near_duplicates(keyed, id_col="_row", text_col=text_col).select("_row", "component_id")
+    order = F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_row"))
+    first = near.join(keyed.select("_row", F.col(id_col).alias("_id")), "_row").groupBy("component_id").agg(F.min_by("_row", order).alias("_row"))
+    return keyed.join(first, "_row", "left_semi").drop("_row")
