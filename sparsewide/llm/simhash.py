@@ -137,7 +137,7 @@ def _joined(rows: pd.DataFrame) -> pd.DataFrame:
         lo, n = THIRDS[rotation]
         fp = part["fp"].to_numpy().view(np.uint64)
         rot = _rotate(fp, lo)
-        codes = part.groupby(["top", "p", "q"], sort=False).ngroup().to_numpy()
+        codes = part.groupby(["top", "depth", "p", "q"], sort=False).ngroup().to_numpy()
         order = np.lexsort((rot, codes))
         codes, rot, fp = codes[order], rot[order], fp[order]
         pq = part[["p", "q", "depth"]].to_numpy()[order]
@@ -168,7 +168,7 @@ def _join_partition(batches):
         last = b.iloc[-1] if len(b) else None
         if last is None:
             continue
-        tail = (b["rot"] == last["rot"]) & (b["top"] == last["top"]) & (b["p"] == last["p"]) & (b["q"] == last["q"])
+        tail = (b["rot"] == last["rot"]) & (b["top"] == last["top"]) & (b["depth"] == last["depth"]) & (b["p"] == last["p"]) & (b["q"] == last["q"])
         held, whole = b[tail], b[~tail]
         if len(whole):
             yield _joined(whole)
@@ -183,7 +183,7 @@ def links(distinct: DataFrame, *, node: int = NODE) -> DataFrame:
         F.struct(F.lit(r).alias("rot"), F.expr(f"shiftrightunsigned(fp, {64 - lo - n}) & {(1 << n) - 1}L").alias("top")) for r, (lo, n) in enumerate(THIRDS)
     ])
     todo = distinct.select("fp", F.inline(parts)).withColumns({"p": F.lit(0).cast("long"), "q": F.lit(0).cast("long"), "depth": F.lit(0)})
-    key = ["rot", "top", "p", "q"]
+    key = ["rot", "top", "depth", "p", "q"]  # paths of different depths can be the same number
     todo, done = written(todo, "trie"), None
     for depth in range(0, 42, STEP_BITS):
         large = todo.groupBy(*key).agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > node).select(*key)

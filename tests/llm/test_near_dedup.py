@@ -16,3 +16,13 @@ def test_rows_without_or_with_shared_ids_are_kept_by_text(spark):
     got = sorted((str(r["doc_id"]), r["text"]) for r in simhash.one_of_each(docs).collect())
     assert got == sorted([("9", a), ("3", b), ("7", c), ("7", d), ("None", e)])
     assert simhash.one_of_each(docs.limit(0)).collect() == []
+
+
+def test_links_of_nodes_whose_paths_are_the_same_number_at_two_depths(spark):
+    near = {0} | {1 << i for i in range(64)} | {1 << i | 1 << j for i in range(64) for j in range(i)}
+    fps = sorted(set(random.Random(5).sample(sorted(near), 700)) | {0})
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    want = {frozenset((signed(a), signed(b))) for i, a in enumerate(fps) for b in fps[:i] if (a ^ b).bit_count() <= simhash.BUDGET}
+    for node in (6, 60):
+        got = [frozenset((r["a"], r["b"])) for r in simhash.links(spark.createDataFrame([(signed(x),) for x in fps], "fp long"), node=node).collect()]
+        assert set(got) == want and len(got) == len(want)
