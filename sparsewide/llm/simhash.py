@@ -37,6 +37,8 @@ NODE = 4096
 STEP_BITS = 6
 #: First bit and number of bits of the three thirds.
 THIRDS = ((0, 21), (21, 21), (42, 22))
+#: Of one_of_each: words a shingle, least Jaccard similarity in hundredths, bits up to which pairs are compared.
+STAGE_SHINGLE, SIMILARITY, STAGE_BITS = 5, 80, 14
 _HASH = xxhash.xxh64_intdigest
 
 
@@ -51,6 +53,10 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
         hashes = [_HASH(a + b" " + b + b" " + c, seed) for a, b, c in zip(words, words[1:], words[2:])]
     else:
         hashes = [_HASH(b" ".join(words[i : i + shingle]), seed) for i in range(n - shingle + 1)]
+    return _majority(hashes)
+
+
+def _majority(hashes) -> int:
     ones, total = np.zeros(64, np.int64), len(hashes)
     for at in range(0, total, 1 << 14):  # a bounded block of bits at a time
         bits = np.unpackbits(np.array(hashes[at : at + (1 << 14)], ">u8").view(np.uint8).reshape(-1, 8), axis=1)
@@ -223,10 +229,109 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     )
 
 
-def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Keeps one row of each component, with all its columns: that of smallest id (null ids last). Rows are told apart by a key of their own, not by id."""
+def shingle_set(text: str | None, shingle: int = STAGE_SHINGLE) -> np.ndarray:
+    """The sorted distinct hashes of the text's shingles."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return np.unique(np.array([_HASH(b" ".join(words[i : i + shingle]), 42) for i in range(max(1, len(words) - shingle + 1))] if words else [], np.uint64))
+
+
+def _signed(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    """(_row, key, fp, n): digest of the shingle set, SimHash over it, its size."""
+
+    def run(batches):
+        for b in batches:
+            sets = [shingle_set(t, shingle) for t in b["text"]]
+            fps = np.array([_majority(s) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
+            yield pd.DataFrame({"_row": b["_row"], "key": [xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets], "fp": fps, "n": [len(s) for s in sets]})
+
+    return docs.select("_row", F.col(text_col).alias("text")).mapInPandas(run, "_row long, key string, fp long, n long")
+
+
+def _bucket_pairs(bucket: int, fp: np.ndarray, n: np.ndarray, head: np.ndarray, bits: int, block: int = 1 << 20):
+    """Candidates among the rows of a bucket that belong to it, a bounded block of pairs at a time."""
+    shift, path = np.uint64(48 - 16 * (bucket >> 16)), bucket & 0xFFFF
+    step = max(1, block // len(fp))
+    for lo in range(0, len(fp) - 1, step):
+        x = fp[lo : lo + step, None] ^ fp[None, lo:]
+        few, many = np.minimum(n[lo : lo + step, None], n[None, lo:]), np.maximum(n[lo : lo + step, None], n[None, lo:])
+        i, j = np.nonzero((np.bitwise_count(x) <= bits) & (100 * few >= SIMILARITY * many))
+        i, j = i[i < j] + lo, j[i < j] + lo
+        x = fp[i] ^ fp[j]
+        own = ((x >> shift) & np.uint64(0xFFFF)).astype(np.int64)
+        least = np.minimum((fp[i] >> shift) & np.uint64(0xFFFF), (fp[j] >> shift) & np.uint64(0xFFFF)).astype(np.int64)
+        apart = np.bitwise_count(own)
+        ok = (apart <= 2) & (np.where(apart < 2, least, least ^ (own & -own)) == path)
+        for q in range(bucket >> 16):  # a pair counts in the first quarter that brings it together
+            ok &= np.bitwise_count((x >> np.uint64(48 - 16 * q)) & np.uint64(0xFFFF)) > 2
+        if ok.any():
+            a, b = head[i[ok]], head[j[ok]]
+            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "d": np.bitwise_count(x[ok]).astype(np.int32)})
+
+
+def candidates(heads: DataFrame, bits: int = STAGE_BITS) -> DataFrame:
+    """heads (head, fp, n) -> (a, b, d): pairs of like size at most `bits` bits apart of which a 16-bit quarter differs in two bits at most, once each.
+
+    Each fingerprint goes to the buckets at most one bit from each of its quarters, so quarters two bits apart meet. All pairs up to 11 bits apart have
+    such a quarter; of those 12 to 14 bits apart most do, but not all.
+    """
+    to = heads.select("head", "fp", "n", F.explode(F.sequence(F.lit(0), F.lit(67))).alias("k"))
+    flip = "if(k % 17 = 0, 0, shiftleft(1, cast(k % 17 - 1 as int)))"
+    to = to.select("head", "fp", "n", F.expr(f"cast((k div 17) * 65536 + ((shiftrightunsigned(fp, cast(48 - 16 * (k div 17) as int)) & 65535) ^ {flip}) as int)").alias("bucket"))
+
+    def pairs(b):
+        code, fp, n, head = b["bucket"].to_numpy(), b["fp"].to_numpy().view(np.uint64), b["n"].to_numpy(), b["head"].to_numpy()
+        edge = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+        for lo, hi in zip(edge, np.r_[edge[1:], len(code)]):
+            if hi - lo > 1:
+                yield from _bucket_pairs(int(code[lo]), fp[lo:hi], n[lo:hi], head[lo:hi], bits)
+
+    def run(batches):
+        held = None
+        for b in batches:
+            b = b if held is None else pd.concat([held, b], ignore_index=True)
+            if len(b):
+                tail = b["bucket"] == b["bucket"].iloc[-1]
+                held, whole = b[tail], b[~tail]
+                if len(whole):
+                    yield from pairs(whole)
+        if held is not None and len(held):
+            yield from pairs(held)
+
+    lanes = partitions(heads.sparkSession)
+    return to.repartition(lanes, "bucket").sortWithinPartitions("bucket").mapInPandas(run, "a long, b long, d int")
+
+
+def _verified(pairs: DataFrame, keyed: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    """Of pairs (a, b) those whose shingle sets have the similarity asked for, counted exactly."""
+
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame({"v": b["_row"], "s": [shingle_set(t, shingle).view(np.int64) for t in b["text"]]})
+
+    pairs = written(pairs.select("a", "b"), "candidates")
+    seen = pairs.select(F.explode(F.array("a", "b")).alias("_row")).distinct()
+    sets = written(keyed.select("_row", F.col(text_col).alias("text")).join(seen, "_row", "left_semi").mapInPandas(run, "v long, s array<long>"), "sets")
+    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
+    return written(both.filter(100 * F.col("both") >= SIMILARITY * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b"), "links")
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = STAGE_SHINGLE, bits: int = STAGE_BITS) -> DataFrame:
+    """Keeps one row of each group of near copies, with all its columns: that of smallest id (null ids last). Rows are told apart by a key of their own, not by id.
+
+    Near copies are texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8, and what such pairs connect. SimHash over the set only
+    proposes pairs; each link is verified on the sets. Each text is verified with its first and its nearest candidate; pairs inside the components this gives
+    need no verification, so only candidates between components follow. Candidates of a group of near copies grow with its square.
+    """
     keyed = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    near = near_duplicates(keyed, id_col="_row", text_col=text_col).select("_row", "component_id")
-    order = F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_row"))
-    first = near.join(keyed.select("_row", F.col(id_col).alias("_id")), "_row").groupBy("component_id").agg(F.min_by("_row", order).alias("_row"))
+    order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id"), F.col("_row"))
+    signed = _signed(keyed, text_col, shingle).join(keyed.select("_row", F.col(id_col).alias("_id")), "_row")
+    heads = written(signed.groupBy("key").agg(F.min_by("_row", order).alias("head"), F.min(order).alias("o"), F.min("fp").alias("fp"), F.min("n").alias("n")).drop("key"), "heads")
+    pairs = written(candidates(heads.filter("n > 0"), bits), "pairs")
+    near = pairs.groupBy("b").agg(F.array_distinct(F.array(F.min("a"), F.min_by("a", F.struct("d", "a")))).alias("a")).select(F.explode("a").alias("a"), "b")
+    links = _verified(near, keyed, text_col, shingle)
+    roots = components(links)
+    rest = pairs.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left").filter(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
+    roots = components(links.union(_verified(rest, keyed, text_col, shingle)))
+    of = heads.join(roots, F.col("head") == F.col("v"), "left")
+    first = of.groupBy(F.coalesce("root", "head").alias("root")).agg(F.min_by("head", "o").alias("_row"))
     return keyed.join(first, "_row", "left_semi").drop("_row")

@@ -26,3 +26,32 @@ def test_links_of_nodes_whose_paths_are_the_same_number_at_two_depths(spark):
     for node in (6, 60):
         got = [frozenset((r["a"], r["b"])) for r in simhash.links(spark.createDataFrame([(signed(x),) for x in fps], "fp long"), node=node).collect()]
         assert set(got) == want and len(got) == len(want)
+
+
+def test_stage_finds_pairs_of_similarity_080_by_brute_force(spark):
+    rng, texts = random.Random(9), []
+    for k in range(60):
+        w = text(k, rng.choice([40, 150, 600])).split()
+        texts.append(" ".join(w))
+        for share in (0.003, 0.01, 0.02, 0.03, 0.06):
+            texts.append(" ".join(f"changed{rng.randrange(99)}" if rng.random() < share else x for x in w))
+    sets = [set(zip(*(t.split()[i:] for i in range(5)))) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    want = {find(i) for i in range(len(texts))}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"] for r in simhash.one_of_each(docs).collect()}
+    print("texts", len(texts), "components", len(want), "kept", len(got))
+    assert want <= got  # nothing that isn't a near copy goes
+    assert len(got) - len(want) <= (len(texts) - len(want)) // 50 and len(want) < len(texts) - 100
