@@ -79,14 +79,12 @@ best AS (SELECT g.host, g.path, arg_max(struct_pack(rule := h || p, action := a)
   JOIN rules ON (g.host = h OR ends_with(g.host, '.' || h)) AND starts_with(g.path, p) GROUP BY g.host, g.path)
 SELECT t.page_id, t.host, t.path, b.rule AS rule, coalesce(b.action, 'allow') AS verdict FROM t LEFT JOIN best USING (host, path)"""
 
-_MASK_SQL = {m: " || ' ' || ".join(f"w[i + {o}]" for o, bit in enumerate(m, 1) if bit == "1") for m in decontaminate.MASKS}
-_SEEDS = lambda table, key: " UNION ALL ".join(
-    f"SELECT {key}, len(w) AS n, i, '{m}' AS mask, {e} AS seed FROM (SELECT *, unnest(range(0, len(w) - {len(m) - 1})) AS i FROM {table})" for m, e in _MASK_SQL.items()
-)
+#: Without seeds: every diagonal on which enough words are equal is laid out.
 SQL["op2_benchmark_decontamination"] = f"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents),
-b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM benchmark),
-hits AS (SELECT DISTINCT x.doc_id, y.item_id, x.i - y.i AS diag FROM ({_SEEDS("d", "doc_id")}) x JOIN ({_SEEDS("b", "item_id")}) y ON x.mask = y.mask AND x.seed = y.seed),
+b AS (SELECT DISTINCT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d), y AS (SELECT item_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM b),
+hits AS (SELECT doc_id, item_id, i - j AS diag FROM x JOIN y USING (word) GROUP BY ALL HAVING count(*) >= ceil(least({decontaminate.WINDOW}, max(n)) * {decontaminate.AGREE})),
 eq AS (SELECT doc_id, item_id, diag, len(b.w) AS len,
   [CASE WHEN d.w[k + 1] = b.w[k - diag + 1] THEN 1 ELSE 0 END FOR k IN range(greatest(diag, 0), least(len(d.w), diag + len(b.w)))] AS e
   FROM hits JOIN d USING (doc_id) JOIN b USING (item_id)),
