@@ -326,9 +326,43 @@ def test_html_extraction(spark):
 
 
 def test_wrappers_are_optional_and_repeated():
-    e = lambda h: html_extract.expression(html_extract.parse(h))
-    w = html_extract.align(e("<div><h1>A</h1><p>x</p><p>y</p></div>"), e("<div><h1>B</h1><p>x</p><table><tr><td>1</table></div>"))
-    assert w == [["e", "div", [["e", "h1", [["t", None]]], ["+", ["e", "p", [["t", None]]]], ["?", ["e", "table", [["e", "tr", [["e", "td", [["t", "1"]]]]]]]]]]]
+    e = html_extract.expression
+    w = html_extract.align(e("<div><h1>A</h1><p>x</p><p>y</p><h2>same</h2></div>"), e("<div><h1>B</h1><p>z</p><h2>same</h2><table><tr><td>1</table></div>"))
+    assert [x[1:] for x in w] == [[None, 2, False], [None, 2, True], ["same", 2, False], ["1", 1, False]]
+    groups = html_extract.fold(e("<dl>" + "".join(f"<dt>k{i}<dd>v{i}" for i in range(5)) + "</dl>"))
+    assert [x[1:] for x in groups] == [[None, 1, True], [None, 1, True]]
+
+
+def test_the_wrapper_decides_in_marked_and_unmarked_pages(spark):
+    say = lambda i: "".join(f"<p>own {i} {k}</p>" for k in range(2 + i % 3))
+    mark = [f"<article><h1>T{i}</h1><div>Read more on our site</div>{say(i)}{'<table><tr><td>only here</table>' if i == 3 else ''}<p>Follow us now</p></article>" for i in range(12)]
+    bare = [h.replace("article", "section") for h in mark]
+    copies = ["<article><h1>One</h1><p>same text on each page</p></article>"] * 9
+    pages = [(k, f"http://{host}/{k}", h) for k, (host, h) in enumerate([("m.example", h) for h in mark] + [("b.example", h) for h in bare] + [("c.example", h) for h in copies])]
+    frame = spark.createDataFrame([(*p, "clash", "clash") for p in pages], "page_id long, url string, html string, host string, fixed string").repartition(5)
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(frame).collect()}
+    own = lambda i: "\n".join([f"T{i}", *(f"own {i} {k}" for k in range(2 + i % 3)), *(["only here"] if i == 3 else [])])
+    assert got == {k: own(k % 12) if k < 24 else "One\nsame text on each page" for k in range(33)}
+    few = {r["page_id"]: r["text"] for r in html_extract.extract(frame.filter("page_id < 4")).collect()}
+    assert "Read more on our site" in few[0]
+    thin = {r["page_id"]: r["text"] for r in html_extract.extract(frame, broadcast_bytes=0).collect()}
+    assert thin == got
+
+
+def test_deep_long_and_broken_pages():
+    import time
+
+    began = time.time()
+    deep = "<div>" * 100_000 + "in" + "</div>" * 100_000 + "<p>after"
+    assert html_extract.main_text(deep) == "in\nafter"
+    assert html_extract.main_text("</div>" * 100_000 + "x") == "x"
+    assert html_extract.main_text("<p>" + "<a '" * 50_000).count("'") == 50_000
+    assert html_extract.main_text("<p title='it>one<p>two") == "one\ntwo"
+    long = "".join(f"<p>block {i}</p><h2>h</h2>" for i in range(200_000))
+    assert html_extract.main_text(long, [(1, "no")]).count("\n") == 399_999
+    a, b = html_extract.expression(long), html_extract.expression(long.replace("block 7", "other 7"))
+    assert len(html_extract.align(a, b)) <= len(a)
+    assert time.time() - began < 60
 
 
 # 10
