@@ -1,46 +1,59 @@
 """Quality rules: base counts and modified Kneser-Ney perplexity bands by language.
 
-The language model runs over UTF-8 bytes (A-Z lower-cased) with trigrams. All trigrams of all whole
-documents are counted in Spark: each task counts into a dense array, emits its non-zero trigrams, and a
-groupBy adds them up. The model is the sorted array of trigram codes (an order-preserving, collision
-free hash of three bytes) with their counts, from which the interpolated modified Kneser-Ney
-probabilities follow. It never holds more than 2**24 entries, whatever the corpus, so it is collected
-and broadcast within a proven bound (the counts themselves grow with the corpus).
-
-A document's log perplexity is the mean of -log p over its bytes. Per language, the quartiles q1, q3 of
-the documents that pass the base rules give the band [q1 - reach * spread, q3 + reach * spread], where
-spread = max(q3 - q1, least_spread); documents outside are rejected. Quartiles come from a histogram of
-thousandths, so they are the same on every run.
-
-Defined cases: null text has no words and fails the base rules. Null language is a language of its own.
-Languages without a document that passes the base rules have no band. Repeated rows stay and count.
+The model is of word bigrams (words: runs of non-white-space, A-Z lower-cased), one for each language, counted in Spark over all whole documents; it grows with
+the corpus and is never gathered in one place. Each document is scored by the model of all other documents: its own counts (and those of its exact copies,
+which count once) are taken out of every count, so no text is judged by itself.
+
+Tables are sorted arrays of 64-bit hashes, delta coded, cut into hash ranges of about `RANGE` entries, each in a task of its own. Documents are packed into blocks
+that are written once. Two rounds of questions follow, in which a block sends each range the sorted distinct hashes it needs, with its own counts, and gets the
+sums over all blocks back; the ranges' arrays are the model.
+
+1. Bigrams: how often a bigram occurs in all, and which block counts it as a type (the first that holds it).
+2. Words: occurrences as a context, types that follow it once, twice and more often, and types that precede it (the continuation counts of the lower order).
+
+An answer is looked up by its place in the sorted array. With n(bc), n(b), types N1(b), N2(b), N3+(b), continuation counts m(c), their sum M, and V words, all less
+the document's own,
+
+    p(c | b) = max(n(bc) - D(n(bc)), 0) / n(b) + (D1 N1 + D2 N2 + D3 N3+)(b) / n(b) * p(c)
+    p(c)     = max(m(c) - D'(m(c)), 0) / M + (sum of D') / M / V
+
+with Chen and Goodman's discounts from the counts of counts of all documents. A document's log perplexity is the mean of -log p over its words; each starts
+in a context of its own. Per language, the median q2 and upper quartile q3 of the documents that pass the base rules give the band
+[lower * q2, q3 + above * (q3 - q2)]; documents outside are rejected. The upper limit shuts out text that reads like none of the language's. The lower one is set
+for text that the others predict word by word; it has its own scale because near copies, which are another operator's work, fill the lower half of the
+distribution. Quartiles come from a histogram of thousandths, so they are the same on every run.
+
+Scale: a row between tasks holds at least one hash, so rows never exceed bigrams, and a frequent word or bigram enters once a block. Answers go to blocks by hash
+joins. One row a language (totals and discounts) reaches the driver.
+
+Defined cases: null text has no words and fails the base rules. Null language is a language of its own. A language without a document that passes the base rules
+has no band. Repeated rows each get their row and count once. Very long texts make a block of their own and are taken whole. Ties (equal hashes of different words)
+have a chance of n * n / 2**65. Other columns are ignored, whatever their names. Empty tables: no rows.
 """
 
 from __future__ import annotations
 
-import math
-import uuid
 from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import removed, written
+from .hash_arrays import answers_of, ask, cuts, deltas, mixed, powers, small, split, unsmall, values
 
-N_CODES = 1 << 24
 SPACE, SYMBOLS = " \t\n\v\f\r", "#*$%&|<>"
 LOWERED = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-REACH, LEAST_SPREAD = 3.0, 0.1
-_FEED = 1 << 23
-
-
-def codes(text: bytes) -> np.ndarray:
-    """A trigram code for each byte; two line feeds stand before the text."""
-    b = np.frombuffer(b"\n\n" + text.translate(LOWERED), np.uint8).astype(np.int32)
-    return (b[:-2] << 16) | (b[1:-1] << 8) | b[2:]
+BLANK = np.isin(np.arange(256), np.frombuffer(SPACE.encode(), np.uint8))
+BLOCK, RANGE = 8 << 20, 2 << 20
+ABOVE, LOWER = 5.0, 0.35
+_BYTES = np.random.default_rng(20240517).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_START = np.uint64(0x51AB7E5C3D9F2B17)
 
 
 def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
@@ -61,132 +74,252 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
     return len(w), len(text) - sum(map(text.count, SPACE)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeat
 
 
-def count_trigrams(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(code, n) over all documents."""
+class Words:
+    """The words of a block's documents and their bigrams, as numbers of sorted distinct hashes."""
+
+    def __init__(self, row: dict):
+        raw = np.frombuffer(row["data"].translate(LOWERED), np.uint8)
+        ends = np.cumsum(np.array(row["lens"], np.int64))  # each document ends on a line feed
+        salt = np.array([xxhash.xxh64_intdigest(repr(x)) for x in row["langs"]], np.uint64)
+        word = ~BLANK[raw]
+        edge = np.diff(word.astype(np.int8), prepend=0, append=0)
+        lo, hi = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        up, down = powers(len(raw) + 1)
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(_BYTES[raw] * up[: len(raw)], out=sums[1:])
+        self.doc = np.searchsorted(ends, lo, "right")
+        self.n_docs = len(ends)
+        self.n_words = np.bincount(self.doc, minlength=len(ends))
+        hashed = mixed(mixed((sums[hi] - sums[lo]) * down[lo]) ^ salt[self.doc])
+        starts = mixed(salt ^ _START)
+        self.words, of = np.unique(np.concatenate([hashed, starts]), return_inverse=True)
+        self.c, start = of[: len(lo)], of[len(lo) :]
+        first = np.diff(self.doc, prepend=-1) > 0
+        self.b = np.where(first, start[self.doc], np.roll(self.c, 1)) if len(lo) else self.c
+        langs = sorted(set(row["langs"]), key=repr)
+        self.langs = langs
+        self.doc_lang = np.array([langs.index(x) for x in row["langs"]], np.int64)
+        self.word_lang = np.zeros(len(self.words), np.int64)
+        self.word_lang[self.c] = self.doc_lang[self.doc]
+        self.word_lang[start] = self.doc_lang
+        keys = mixed(self.words[self.b] * np.uint64(0x9E3779B97F4A7C15) ^ self.words[self.c])
+        self.keys, at, self.pair = np.unique(keys, return_index=True, return_inverse=True)
+        self.pair_b, self.pair_c = self.b[at], self.c[at]
+        counted = np.array(row["counted"], bool)[self.doc] if len(lo) else np.zeros(0, bool)
+        self.n = np.bincount(self.pair[counted], minlength=len(self.keys))
+        self.context = np.bincount(self.b[counted], minlength=len(self.words))
+
+
+def pack(docs: DataFrame, id_col: str, text_col: str, lang_col: str, block: int) -> DataFrame:
+    """Blocks of documents: block, ids, langs, lens, data, and digests of (language, text)."""
+    schema = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.string())), ("langs", pa.list_(pa.string())), ("lens", pa.list_(pa.int64())), ("digests", pa.list_(pa.binary())), ("data", pa.binary())])
 
     def run(batches):
-        total, held, size = None, [], 0
+        part, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
 
-        def feed(total):
-            got = np.bincount(np.concatenate(held), minlength=N_CODES)
-            return got if total is None else np.add(total, got, out=total)
+        def row():
+            digest = lambda lang, text: xxhash.xxh3_128_digest(repr(lang).encode() + b"\0" + text)
+            return pa.RecordBatch.from_pydict({
+                "block": [(part << 24) + seq], "ids": [[h[0] for h in held]], "langs": [[h[1] for h in held]], "lens": [[len(h[2]) + 1 for h in held]],
+                "digests": [[digest(h[1], h[2]) for h in held]], "data": [b"".join(h[2] + b"\n" for h in held)],
+            }, schema=schema)
 
         for b in batches:
-            for t in b["text"]:
-                if t:
-                    held.append(codes(t.encode("utf-8", "surrogatepass")))
-                    size += len(held[-1])
-                if size > _FEED:
-                    total, held, size = feed(total), [], 0
-        if size:
-            total = feed(total)
-        if total is not None:
-            at = np.flatnonzero(total)
-            yield pd.DataFrame({"code": at.astype(np.int32), "n": total[at]})
-
-    counted = docs.select(F.col(text_col).alias("text")).mapInPandas(run, "code int, n long")
-    return counted.groupBy("code").agg(F.sum("n").alias("n"))
-
-
-def discounts(n: np.ndarray) -> np.ndarray:
-    """D1, D2, D3+ from the counts of counts; 0.5, 1, 1.5 where those say nothing."""
-    c = [int((n == k).sum()) for k in range(1, 5)]
-    if not all(c[:3]):
-        return np.array([0.5, 1.0, 1.5])
-    y = c[0] / (c[0] + 2 * c[1])
-    d = [k + 1 - (k + 2) * y * (c[k + 1] / c[k]) for k in range(3)]
-    return np.array([min(max(x, 0.05), k + 0.95) for k, x in enumerate(d)])
-
-
-def _discounted(n: np.ndarray, of: np.ndarray, contexts: int) -> tuple[np.ndarray, np.ndarray]:
-    """(n - D(n)) / total and the weight left to the lower order, per n-gram and per context."""
-    d = discounts(n)[np.clip(n, 1, 3) - 1]
-    total = np.bincount(of, n, contexts)
-    left = np.bincount(of, d, contexts)
-    return (n - d) / total[of], np.divide(left, total, out=np.ones(contexts), where=total > 0)
-
-
-class Model:
-    """Interpolated modified Kneser-Ney over byte trigrams, from sorted codes and their counts."""
-
-    def __init__(self, code: np.ndarray, n: np.ndarray):
-        order = np.argsort(code, kind="stable")
-        self.code, self.n = code[order].astype(np.int64), n[order].astype(np.int64)
-
-    def log_probs(self) -> np.ndarray:
-        """Dense float32 log p by code (64 MB)."""
-        last2 = np.unique(self.code & 0xFFFF, return_counts=True)  # lower orders count distinct predecessors
-        last1 = np.unique(last2[0] & 0xFF, return_counts=True)
-        p1 = np.full(256, 1 / 256)
-        if len(self.code):
-            got, left = _discounted(last1[1], np.zeros(len(last1[0]), np.int64), 1)
-            p1 *= left[0]
-            p1[last1[0]] += got
-        p2 = np.tile(p1, (256, 1))
-        if len(self.code):
-            got, left = _discounted(last2[1], last2[0] >> 8, 256)
-            p2 *= left[:, None]
-            p2[last2[0] >> 8, last2[0] & 0xFF] += got
-        out = np.tile(p2.astype(np.float32), (256, 1))
-        if len(self.code):
-            got, left = _discounted(self.n, self.code >> 8, 1 << 16)
-            out *= left[:, None].astype(np.float32)
-            out.reshape(-1)[self.code] += got.astype(np.float32)
-        return np.log(out, out=out).reshape(-1)
-
-
-_dense: dict[str, np.ndarray] = {}
-
-
-def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id, lang, the base counts and log_ppl (null for an empty text)."""
-    shared, name = docs.sparkSession.sparkContext.broadcast((model.code, model.n)), uuid.uuid4().hex
-
-    def run(batches):
-        if name not in _dense:  # once for a worker
-            _dense.clear()
-            _dense[name] = Model(*shared.value).log_probs()
-        logp = _dense[name]
-        for b in batches:
-            base, ppl = [base_counts(t) for t in b["text"]], []
-            for t in b["text"]:
-                raw = (t or "").encode("utf-8", "surrogatepass")
-                total = sum(float(logp[codes(raw[max(0, i - 2) : i + _FEED])[2 if i else 0 :]].sum(dtype=np.float64)) for i in range(0, len(raw), _FEED)) if len(raw) > _FEED else float(logp[codes(raw)].sum(dtype=np.float64))
-                ppl.append(-total / len(raw) if raw else None)
-            out = pd.DataFrame(base, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"], index=b.index).astype(np.int64)
-            yield out.assign(doc_id=b["doc_id"], lang=b["lang"], log_ppl=pd.Series(ppl, b.index, float))
+            for key, lang, text in zip(b.column("id").to_pylist(), b.column("lang").to_pylist(), b.column("text").to_pylist()):
+                held.append((key, lang, text or b""))
+                size += len(held[-1][2])
+                if size >= block:
+                    yield row()
+                    seq, held, size = seq + 1, [], 0
+        if held:
+            yield row()
 
-    narrow = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    done = narrow.mapInPandas(run, "doc_id string, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_ppl double")
-    return done.withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))
+    narrow = docs.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).cast("binary").alias("text"))
+    return narrow.mapInArrow(run, "block long, ids array<string>, langs array<string>, lens array<bigint>, digests array<binary>, data binary")
 
 
-def bands(scored: DataFrame, reach: float = REACH, least_spread: float = LEAST_SPREAD) -> DataFrame:
+def discounts(c: list[int]) -> list[float]:
+    """D of 0, 1, 2, 3 and more, from the counts of counts 1 to 4; 0.5, 1, 1.5 where those say nothing."""
+    if not all(c[:3]):
+        return [0.0, 0.5, 1.0, 1.5]
+    y = c[0] / (c[0] + 2 * c[1])
+    return [0.0, *(min(max(k + 1 - (k + 2) * y * (c[k + 1] / c[k]), 0.05), k + 0.95) for k in range(3))]
+
+
+def _total(group: pd.DataFrame) -> pd.DataFrame:
+    """Sums of a range's hashes over the blocks, and which block holds each first."""
+    group = group.sort_values("block")
+    keys = [values(k) for k in group["keys"]]
+    every, of = np.unique(np.concatenate(keys), return_inverse=True)
+    counts = [unsmall(c).reshape(-1, len(k)) for c, k in zip(group["counts"], keys)]
+    sums = np.zeros((len(counts[0]), len(every)), np.int64)
+    at = 0
+    first = np.zeros(len(of), bool)
+    first[np.unique(of, return_index=True)[1]] = True
+    out = []
+    for k, c in zip(keys, counts):
+        for total, x in zip(sums, c):
+            total += np.bincount(of[at : at + len(k)], x, len(every)).astype(np.int64)
+        at += len(k)
+    at = 0
+    for k in keys:
+        own = of[at : at + len(k)]
+        out.append(small(np.concatenate([first[at : at + len(k)], *(t[own] for t in sums)])))
+        at += len(k)
+    return pd.DataFrame({"r": group["r"], "block": group["block"], "answer": out})
+
+
+def _looked_up(answers: list | None, cut: list[int], rows: int) -> np.ndarray:
+    """The ranges' answers, by the place of the block's hashes; first row: whether this block holds it first."""
+    out = np.zeros((rows, cut[-1]), np.int64)
+    for r, data in answers_of(answers):
+        out[:, cut[r] : cut[r + 1]] = unsmall(data).reshape(rows, -1)
+    return out
+
+
+def _of_words(own: Words, pairs: np.ndarray) -> list[np.ndarray]:
+    """Per word of the block: occurrences as a context, and over the types that this block counts those after it seen once, twice, more often, and those before it."""
+    first, n = pairs[0].astype(bool) & (pairs[1] > 0), pairs[1]
+    after = [np.bincount(own.pair_b[first & kind], minlength=len(own.words)) for kind in (n == 1, n == 2, n > 2)]
+    return [own.context, *after, np.bincount(own.pair_c[first], minlength=len(own.words))]
+
+
+def _log_p(own: Words, pairs: np.ndarray, words: np.ndarray, laws: dict) -> np.ndarray:
+    """log p of each word of the block by the model without its document."""
+    law = [laws[x] for x in own.langs]
+    d2, d1 = (np.array([x[k] for x in law]) for k in ("bigram", "unigram"))
+    every, size, back = (np.array([x[k] for x in law], float) for k in ("types", "words", "discounted"))
+    lang = own.doc_lang[own.doc]
+    # what each document itself adds: per (document, bigram), (document, context), (document, word), document
+    dp, of_dp, own_n = np.unique(own.doc.astype(np.int64) * len(own.keys) + own.pair, return_inverse=True, return_counts=True)
+    doc, pair = np.divmod(dp, max(len(own.keys), 1))
+    n_all = pairs[1][pair]
+    n = n_all - own_n
+    b, c, l2 = own.pair_b[pair], own.pair_c[pair], own.doc_lang[doc]
+    cut3 = lambda x: np.minimum(x, 3)
+    db, of_db = np.unique(doc * len(own.words) + b, return_inverse=True)
+    own_t = np.bincount(of_db, own_n)
+    less = np.bincount(of_db, d2[l2, cut3(n_all)] - d2[l2, cut3(n)])
+    dc, of_dc = np.unique(doc * len(own.words) + c, return_inverse=True)
+    gone = np.bincount(of_dc, n == 0).astype(np.int64)
+    dcw, dcl = dc % max(len(own.words), 1), own.doc_lang[dc // max(len(own.words), 1)] if len(dc) else dc
+    m_all = words[5][dcw]
+    m = m_all - gone
+    dcd = dc // max(len(own.words), 1)
+    m_total = every[own.doc_lang] - np.bincount(dcd, gone, own.n_docs)
+    m_back = back[own.doc_lang] - np.bincount(dcd, d1[dcl, cut3(m_all)] - d1[dcl, cut3(m)], own.n_docs)
+    # the lower order, per (document, word)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        p1 = np.where(m_total[dcd] > 0, np.maximum(m - d1[dcl, cut3(m)], 0) / m_total[dcd] + m_back[dcd] / m_total[dcd] / size[dcl], 1 / size[dcl])
+        t = words[1][b] - own_t[of_db]
+        left = (words[2:5][:, b] * d2[l2, 1:].T).sum(axis=0) - less[of_db]
+        p2 = np.where(t > 0, np.maximum(n - d2[l2, cut3(n)], 0) / t + left / t * p1[of_dc], p1[of_dc])
+    return np.log(p2)[of_dp] if len(lang) else np.zeros(0)
+
+
+def _rows(blocks: DataFrame) -> DataFrame:
+    """Blocks with `counted`: for each document whether it is the first of its text and language."""
+    each = blocks.select("block", F.posexplode("digests").alias("i", "digest"))
+    first = each.groupBy("digest").agg(F.min(F.struct("block", "i")).alias("first"))
+    mine = first.groupBy(F.col("first.block").alias("_b")).agg(F.collect_list("first.i").alias("firsts"))
+    return blocks.drop("digests").join(mine.hint("shuffle_hash"), F.col("block") == F.col("_b"), "left").drop("_b")
+
+
+def _opened(row: dict) -> Words:
+    counted = np.zeros(len(row["lens"]), bool)
+    counted[row["firsts"] or []] = True
+    return Words(row | {"counted": counted})
+
+
+def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", block: int = BLOCK, entries: int = RANGE) -> DataFrame:
+    """doc_id, lang, the base counts and log_ppl (null for a text without words)."""
+    packed = written(pack(docs, id_col, text_col, lang_col, block), "word-blocks", "zstd")
+    blocks = _rows(packed)
+    ranges = 1 + (packed.agg(F.sum(F.length("data"))).first()[0] or 0) // 6 // entries
+
+    def ask_bigrams(row):
+        own = _opened(row)
+        return split(own.keys, [own.n], ranges)
+
+    bigrams = ask(blocks, ask_bigrams, _total, "bigrams")
+    both = blocks.join(bigrams.withColumnRenamed("answers", "pairs").hint("shuffle_hash"), "block", "left")
+
+    def of_pairs(row):
+        own = _opened(row)
+        return own, _looked_up(row["pairs"], cuts(own.keys, ranges), 2)
+
+    def ask_words(row):
+        own, pairs = of_pairs(row)
+        return split(own.words, _of_words(own, pairs), ranges)
+
+    found = ask(both, ask_words, _total, "words")
+    last = both.join(found.withColumnRenamed("answers", "of_words").hint("shuffle_hash"), "block", "left")
+
+    def totals(batches):
+        """Per block and language: types, words and counts of counts, of what the block counts."""
+        for row in each(batches):
+            own, pairs = of_pairs(row)
+            words = _looked_up(row["of_words"], cuts(own.words, ranges), 6)
+            first, kind = pairs[0].astype(bool) & (pairs[1] > 0), own.word_lang[own.pair_c]
+            whose = words[0].astype(bool) & (words[5] > 0)
+            out = []
+            for k, lang in enumerate(own.langs):
+                n, m = pairs[1][first & (kind == k)], words[5][whose & (own.word_lang == k)]
+                out.append([lang, len(m), int(m.sum()), *(int((n == j).sum()) for j in range(1, 5)), *(int((m == j).sum()) for j in range(1, 5)), int((m > 2).sum())])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string() if j == 0 else pa.int64()) for j, x in enumerate(zip(*out))], _TOTALS)
+
+    sums = last.mapInArrow(totals, "lang string, " + ", ".join(f"{x} long" for x in _TOTALS[1:])).groupBy("lang").agg(*[F.sum(x).alias(x) for x in _TOTALS[1:]])
+    laws = {}
+    for r in sums.collect():  # a row for each language
+        d1 = discounts([r[f"m{k}"] for k in range(1, 5)])
+        laws[r["lang"]] = {
+            "words": max(r["words"], 1), "types": r["types"], "bigram": discounts([r[f"n{k}"] for k in range(1, 5)]), "unigram": d1,
+            "discounted": d1[1] * r["m1"] + d1[2] * r["m2"] + d1[3] * r["m_more"],
+        }
+
+    def judge_block(batches):
+        for row in each(batches):
+            own, pairs = of_pairs(row)
+            words = _looked_up(row["of_words"], cuts(own.words, ranges), 6)
+            total = np.bincount(own.doc, _log_p(own, pairs, words, laws), own.n_docs)
+            ends = np.cumsum(row["lens"]).tolist()
+            base = [base_counts(row["data"][e - n : e - 1].decode("utf-8", "surrogatepass")) for e, n in zip(ends, row["lens"])]
+            ppl = [-t / n if n else None for t, n in zip(total.tolist(), own.n_words.tolist())]
+            cols = [pa.array(row["ids"], pa.string()), pa.array(row["langs"], pa.string()), *(pa.array(x, pa.int64()) for x in zip(*base)), pa.array(ppl, pa.float64())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "lang", *COUNTS, "log_ppl"])
+
+    done = last.mapInArrow(judge_block, "doc_id string, lang string, " + ", ".join(f"{x} long" for x in COUNTS) + ", log_ppl double")
+    out = written(done.withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType)), "quality")
+    for used in (packed, bigrams, found):
+        removed(docs.sparkSession, used)
+    return out
+
+
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+_TOTALS = ["lang", "words", "types", "n1", "n2", "n3", "n4", "m1", "m2", "m3", "m4", "m_more"]
+
+
+def each(batches):
+    """Rows as dicts, one copied at a time."""
+    for b in batches:
+        for k in range(b.num_rows):
+            yield b.slice(k, 1).to_pylist()[0]
+
+
+def bands(scored: DataFrame, above: float = ABOVE, lower: float = LOWER) -> DataFrame:
     """(lang, low, high) in log perplexity."""
     bins = scored.filter("not base_failed").groupBy("lang", F.floor(F.col("log_ppl") * 1000).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     by = Window.partitionBy("lang")
     run = bins.withColumns({"upto": F.sum("n").over(by.orderBy("bin")), "all": F.sum("n").over(by)})
-    q = run.groupBy("lang").agg(*[F.min(F.when(F.col("upto") >= F.col("all") * p, F.col("bin"))).alias(c) for p, c in ((0.25, "q1"), (0.75, "q3"))])
-    spread = F.greatest((F.col("q3") - F.col("q1")) / 1000, F.lit(least_spread))
-    return q.select("lang", (F.col("q1") / 1000 - spread * reach).alias("low"), (F.col("q3") / 1000 + spread * reach).alias("high"))
+    q = run.groupBy("lang").agg(*[F.min(F.when(F.col("upto") >= F.col("all") * p, F.col("bin"))).alias(c) for p, c in ((0.5, "q2"), (0.75, "q3"))])
+    return q.select("lang", (F.col("q2") / 1000 * lower).alias("low"), ((F.col("q3") + above * (F.col("q3") - F.col("q2") + 1)) / 1000).alias("high"))
 
 
-def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", reach: float = REACH, least_spread: float = LEAST_SPREAD) -> DataFrame:
+def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", above: float = ABOVE, lower: float = LOWER, **kw) -> DataFrame:
     """Per row: doc_id, n_words, the base counts, base_failed, kept, perplexity."""
-    counted = count_trigrams(docs, text_col).toPandas()  # at most 2**24 rows
-    model = Model(counted["code"].to_numpy(np.int64), counted["n"].to_numpy(np.int64))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    scored = written(score(docs, model, id_col=id_col, text_col=text_col, lang_col=lang_col).withColumn("base_failed", failed), "quality")
-    limits = bands(scored, reach, least_spread).withColumnRenamed("lang", "_l")
-    out = scored.join(limits, F.col("lang").eqNullSafe(F.col("_l")), "left")
+    scored = score(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, **kw).withColumn("base_failed", failed)
+    limits = bands(scored, above, lower).withColumnRenamed("lang", "_l")
+    out = scored.join(F.broadcast(limits), F.col("lang").eqNullSafe(F.col("_l")), "left")  # a row for each language
     inside = F.coalesce(F.col("log_ppl").between(F.col("low"), F.col("high")), F.lit(True))
-    return out.select(
-        F.col("doc_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & inside).alias("kept"),
-        F.exp("log_ppl").alias("perplexity"),
-    )
-
-
-def perplexity(model: Model, text: str) -> float:
-    """Of one text; for tests and single use."""
-    raw = text.encode()
-    return math.exp(-float(model.log_probs()[codes(raw)].sum(dtype=np.float64)) / len(raw)) if raw else math.nan
+    return out.select(F.col("doc_id").alias(id_col), *COUNTS, "base_failed", (~F.col("base_failed") & inside).alias("kept"), F.exp("log_ppl").alias("perplexity"))

@@ -223,21 +223,6 @@ def test_quality_base_counts_and_bands(docs, empty):
     assert rows(quality.judge(empty)) == []
 
 
-def test_kneser_ney_sums_to_one_and_rejects_noise(spark):
-    rng = random.Random(2)
-    vocab = [a + b for a in ("ri", "ho", "sta", "ne", "sma", "the") for b in ("ver", "use", "nds", "ar", "ll", "re", "in", "ed")]
-    clean = [(i, " ".join(rng.choice(vocab) for _ in range(80)), "en") for i in range(60)]
-    noise = [(99, " ".join(f"{rng.getrandbits(40):x}#{rng.getrandbits(20):o}" for _ in range(80)), "en")]
-    frame = spark.createDataFrame(clean + noise, "doc_id long, text string, lang string")
-    counts = {r["code"]: r["n"] for r in rows(quality.count_trigrams(frame))}
-    want = Counter(c for r in clean + noise for c in quality.codes(r[1].encode()).tolist())
-    assert counts == want
-    p = np.exp(quality.Model(np.array(list(counts)), np.array(list(counts.values()))).log_probs().reshape(-1, 256).astype(float))
-    assert p.sum(axis=1) == pytest.approx(np.ones(1 << 16), abs=1e-4)
-    kept = {r["doc_id"]: r["kept"] for r in rows(quality.judge(frame))}
-    assert not kept[99] and sum(kept.values()) >= 58
-
-
 # 6
 
 
