@@ -89,3 +89,34 @@ def bitmap_combine(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
     agg = F.bitmap_or_agg if how == "or" else F.bitmap_and_agg
     both = a.unionByName(b).groupBy("bucket").agg(agg("bits").alias("bits"), F.count(F.lit(1)).alias("n"))
     return (both if how == "or" else both.filter("n = 2")).drop("n")
+
+
+def merge(*ids: DataFrame, limit: int | None = None) -> DataFrame:
+    """The sorted union of id tables, its first `limit` ids."""
+    out = ids[0].select("_id")
+    for other in ids[1:]:
+        out = out.union(other.select("_id"))
+    out = out.distinct().orderBy("_id")
+    return out if limit is None else out.limit(limit)
+
+
+def offset_range(ids: DataFrame, offset: int, start: int, end: int) -> DataFrame:
+    """The ids of [start, end), moved so that `start` becomes `offset`."""
+    return ids.filter((F.col("_id") >= start) & (F.col("_id") < end)).select((F.col("_id") - start + offset).alias("_id"))
+
+
+def bitmap_import(old: DataFrame, new: DataFrame, clear: bool = False) -> DataFrame:
+    """A bitmap table after the ids of another were set in it, or taken from it."""
+    if not clear:
+        return bitmap_combine(old, new, "or")
+    both = old.join(new.withColumnRenamed("bits", "_gone"), "bucket", "left")
+    # taking bits away: what is set in either, less what is set in the second, bucket by bucket
+    ids = bitmap_ids(both.select("bucket", "bits")).join(bitmap_ids(both.select("bucket", F.col("_gone").alias("bits")).filter("bits is not null")), "_id", "left_anti")
+    return bitmap(ids)
+
+
+def bitmap_ids(bits: DataFrame) -> DataFrame:
+    """The ids of a bitmap table."""
+    byte = F.posexplode(F.transform(F.sequence(F.lit(1), F.length("bits")), lambda k: F.conv(F.hex(F.substring(F.col("bits"), k, F.lit(1))), 16, 10).cast("int"))).alias("at", "byte")
+    each = bits.select("bucket", byte).filter("byte != 0").select("bucket", "at", F.explode(F.filter(F.sequence(F.lit(0), F.lit(7)), lambda b: F.expr("byte").bitwiseAND(F.call_function("shiftleft", F.lit(1), b)) != 0)).alias("bit"))
+    return each.select(((F.col("bucket") - 1) * 32768 + F.col("at") * 8 + F.col("bit") + 1).alias("_id"))

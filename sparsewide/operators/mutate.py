@@ -10,18 +10,23 @@ def _is_set(df: DataFrame, name: str) -> bool:
     return dict(df.dtypes)[name].startswith("array")
 
 
-def _put(df: DataFrame, name: str, value) -> Column:
+def _put(df: DataFrame, name: str, value, ts=None) -> Column:
+    """The field with the value put in; a member of a time-bucketed set has a time or null."""
     old, v = F.col(name), F.lit(value)
+    if "struct<value" in dict(df.dtypes)[name]:
+        v = F.struct(v.alias("value"), F.lit(ts).cast("timestamp").alias("ts"))
+    elif ts is not None:
+        raise ValueError(f"{name} takes no time")
     return F.array_sort(F.array_union(F.coalesce(old, F.array().cast(df.schema[name].dataType)), F.array(v).cast(df.schema[name].dataType))) if _is_set(df, name) else v.cast(df.schema[name].dataType)
 
 
-def set_(df: DataFrame, column, name: str, value) -> DataFrame:
+def set_(df: DataFrame, column, name: str, value, ts=None) -> DataFrame:
     """Sets a record's field (adds to a set); a record that is new is added."""
-    changed = df.withColumn(name, F.when(F.col("_id") == column, _put(df, name, value)).otherwise(F.col(name)))
+    changed = df.withColumn(name, F.when(F.col("_id") == column, _put(df, name, value, ts)).otherwise(F.col(name)))
     spark = df.sparkSession
     new = spark.range(1).select(F.lit(column).cast(df.schema["_id"].dataType).alias("_id")).join(df.select("_id"), "_id", "left_anti")
     empty = new.select(*[F.col("_id") if c == "_id" else F.lit(None).cast(df.schema[c].dataType).alias(c) for c in df.columns])
-    return changed.unionByName(empty.withColumn(name, _put(empty, name, value)))
+    return changed.unionByName(empty.withColumn(name, _put(empty, name, value, ts)))
 
 
 def clear(df: DataFrame, column, name: str, value) -> DataFrame:

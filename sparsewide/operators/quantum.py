@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column
@@ -69,3 +70,41 @@ def has_member(name: str, value, start: str | None = None, end: str | None = Non
 def members(name: str, start: str | None = None, end: str | None = None, unit: str = "H") -> Column:
     """Its distinct values within the range, sorted."""
     return F.array_sort(F.array_distinct(F.transform(F.filter(name, lambda x: in_range(x["ts"], start, end, unit)), lambda x: x["value"])))
+
+
+def parse_partial(text: str) -> datetime:
+    """A time of which only the year must be given: 2024, 2024-05, 2024-05-06, 2024-05-06T07 or 2024-05-06T07:08; the rest is the earliest."""
+    m = re.fullmatch(r"(\d{4})(?:-(\d\d)(?:-(\d\d)(?:T(\d{1,2})(?::(\d{1,2}))?)?)?)?", text)
+    if not m:
+        raise ValueError(f"cannot parse time {text!r}")
+    year, month, day, hour, minute = (int(x) if x else None for x in m.groups())
+    return datetime(year, month or 1, day or 1, hour or 0, minute or 0)
+
+
+def _time_part(view: str) -> str:
+    return view.rsplit("_", 1)[-1] if "_" in view else ""
+
+
+_DIGITS = {"Y": 4, "M": 6, "D": 8, "H": 10}
+
+
+def min_max_view(views: list[str], quantum: str) -> tuple[str, str]:
+    """The first and last view of the coarsest unit of the quantum that occurs among the views; empty where there is none."""
+    _check(quantum)
+    times = {v: len(_time_part(v)) for v in views}
+    for unit in quantum:
+        if found := sorted(v for v, n in times.items() if n == _DIGITS[unit]):
+            return found[0], found[-1]
+    return "", ""
+
+
+def view_time(view: str, end: bool = False) -> datetime | None:
+    """The time that a view starts at, or the end of its unit; None for no view."""
+    if not view:
+        return None
+    part = _time_part(view)
+    unit = next((u for u, n in _DIGITS.items() if n == len(part) and part.isdigit()), None)
+    if unit is None:
+        raise ValueError(f"no time in view {view!r}")
+    t = datetime.strptime(part, NAMES[unit])
+    return _next(t, unit) if end else t

@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from ..functions.aggregates import percentile
 from ..operators import mutate
 from ..operators.quantum import in_range
 
@@ -112,7 +113,7 @@ class Parser:
     def value(self, bare: bool = False):
         kind, text = self.take()
         if kind == "num":
-            number = float(text) if "." in text else int(text)
+            number = Decimal(text) if "." in text else int(text)
             if isinstance(number, int) and not -(1 << 63) <= number < 1 << 64:
                 raise PQLError(f"integer out of range {text}")
             return number
@@ -149,7 +150,37 @@ class _NeedsIds(Exception):
 
 #: Arguments of row calls that name no field.
 _OPTIONS = {"from", "to", "limit", "offset"}
-SHARD_WIDTH = 1 << 20
+#: Records of a shard are those whose id agrees but for this many low bits.
+SHARD_BITS = 20
+#: The arguments that calls take; a call that isn't here takes any, as fields.
+_FIELD = {"field", "_field"}
+ARGUMENTS = {
+    "sum": _FIELD, "min": _FIELD, "max": _FIELD, "minrow": _FIELD, "maxrow": _FIELD, "difference": set(), "intersect": set(), "not": set(), "union": set(), "xor": set(), "unionrows": set(),
+    "extract": set(), "fieldvalue": {"field", "column"}, "all": {"limit", "offset"}, "limit": {"limit", "offset"}, "shift": {"n"}, "constrow": {"columns"}, "options": {"shards"},
+    "rows": _FIELD | {"limit", "column", "previous", "from", "to", "like", "valueidx", "in"}, "innerunionrows": _FIELD | {"from", "to", "rows"},
+    "topn": _FIELD | {"n", "ids", "filter", "from", "to"}, "topk": _FIELD | {"k", "filter", "from", "to"}, "percentile": _FIELD | {"filter", "nth"},
+    "groupby": {"filter", "limit", "offset", "previous", "aggregate", "having", "sort"}, "includescolumn": {"column"}, "sort": _FIELD | {"limit", "offset", "sort-desc"},
+}
+#: Arguments that take whole numbers from zero on, and those that take text.
+_WHOLE, _TEXT = {"limit", "offset", "n", "k", "valueidx"}, {"like", "sort"}
+
+
+def checked(call: Call) -> Call:
+    """Raises for arguments that a call does not take, or of the wrong kind."""
+    allowed = ARGUMENTS.get(call.name)
+    for key, value in call.args.items():
+        if allowed is not None and key not in allowed:
+            raise PQLError(f"{call.name} takes no argument {key}")
+        if allowed is not None and key in _WHOLE and not (key == "n" and call.name == "shift") and (not isinstance(value, int) or isinstance(value, bool) or value < 0):
+            raise PQLError(f"{key} of {call.name} takes a whole number, not {value!r}")
+        if allowed is not None and key in _TEXT and not isinstance(value, str):
+            raise PQLError(f"{key} of {call.name} takes text, not {value!r}")
+        for inner in value if isinstance(value, list) else [value]:
+            if isinstance(inner, Call):
+                checked(inner)
+    for child in call.children:
+        checked(child)
+    return call
 
 
 class Engine:
@@ -159,7 +190,7 @@ class Engine:
         self.table, self.quantum, self.types = table, quantum, {f.name: f.dataType for f in table.schema}
 
     def query(self, text: str, variables: dict | None = None) -> list[DataFrame]:
-        return [self.run(c) for c in parse(text, variables)]
+        return [self.run(checked(c)) for c in parse(text, variables)]
 
     def one(self, text: str, variables: dict | None = None) -> DataFrame:
         (out,) = self.query(text, variables)
@@ -198,18 +229,18 @@ class Engine:
     @staticmethod
     def _any(parts: list[Column]) -> Column:
         out = F.lit(False)
-        for p in parts:
-            out = out | F.coalesce(p, F.lit(False))
+        for k, p in enumerate(parts):
+            out = p if k == 0 else out | p
         return out
 
     def predicate(self, call: Call) -> Column:
-        """The records of a call, as a boolean that is never null."""
+        """The records of a call: those for which it is true. It may be null, so that plain tests reach the Parquet scan; only complements need a value."""
         n, kids = call.name, call.children
         if n in ("row", "range", "bitmap"):
             tests = [self._test(k, v, call.args.get("from"), call.args.get("to")) for k, v in call.args.items() if k not in _OPTIONS]
             out = F.lit(True)
-            for t in tests:
-                out = out & F.coalesce(t, F.lit(False))
+            for k, t in enumerate(tests):
+                out = t if k == 0 else out & t
             return out
         if n == "all" and not call.args:
             return F.lit(True)
@@ -221,16 +252,17 @@ class Engine:
             return self._test(call.args["field"], list(call.args["rows"]), call.args.get("from"), call.args.get("to"))
         if n == "options":
             out = self.predicate(kids[0])
-            return out & F.floor(F.col("_id") / SHARD_WIDTH).isin(call.args["shards"]) if "shards" in call.args else out
+            return out & F.shiftright("_id", SHARD_BITS).isin(call.args["shards"]) if "shards" in call.args else out
         if n in ("union", "intersect", "difference", "xor", "not"):
             parts = [self.predicate(k) for k in kids]
+            sure = lambda p: F.coalesce(p, F.lit(False))
             if n == "not":
-                return ~parts[0]
+                return ~sure(parts[0])
             if not parts:
                 return F.lit(False)
             out = parts[0]
             for p in parts[1:]:
-                out = out | p if n == "union" else out & p if n == "intersect" else out & ~p if n == "difference" else out != p
+                out = out | p if n == "union" else out & p if n == "intersect" else out & ~sure(p) if n == "difference" else sure(out) != sure(p)
             return out
         if n in ("shift", "limit", "all", "sort", "distinct"):
             raise _NeedsIds
@@ -242,6 +274,13 @@ class Engine:
         except _NeedsIds:
             pass
         n, a = call.name, call.args
+        if n == "unionrows":  # rows chosen by a limit or a record come first, then the records that hold one
+            parts = []
+            for k in call.children:
+                name = self._field(k)
+                held = self.table.select("_id", self._values(name, k.args).alias("value"))
+                parts.append(held.join(self.rows(k), "value", "left_semi").select("_id"))
+            return self._union(parts)
         kids = [self.ids(k) for k in call.children]
         every = self.table.select("_id")
         if n == "shift":
@@ -257,6 +296,12 @@ class Engine:
             out = {"union": out.union(k).distinct(), "intersect": both, "difference": out.join(k, "_id", "left_anti"), "xor": out.union(k).distinct().join(both, "_id", "left_anti")}[n]
         return out
 
+    def _union(self, parts: list[DataFrame]) -> DataFrame:
+        out = self.table.select("_id").limit(0)
+        for p in parts:
+            out = out.union(p)
+        return out.distinct()
+
     def records(self, call: Call | None) -> DataFrame:
         """The table's rows that a call selects."""
         if call is None:
@@ -281,7 +326,7 @@ class Engine:
         if kind == "plain":
             return F.col(name)
         if kind == "set":
-            return F.explode(name)
+            return F.explode(F.array_distinct(name))
         return F.explode(F.array_distinct(F.transform(F.filter(name, lambda x: in_range(x["ts"], a.get("from"), a.get("to"), self.quantum)), lambda x: x["value"])))
 
     def _rows_filter(self, a: dict, v: Column) -> Column:
@@ -295,6 +340,7 @@ class Engine:
         return out
 
     def rows(self, call: Call) -> DataFrame:
+        """The field's rows; valueidx names them by one of the fields of a GroupBy's keys and only has a meaning there."""
         name, a = self._field(call), call.args
         df = self.table.filter(F.col("_id") == a["column"]) if "column" in a else self.table
         out = df.select(self._values(name, a).alias("value")).filter(self._rows_filter(a, F.col("value"))).distinct()
@@ -303,7 +349,7 @@ class Engine:
     def _in_rows(self, call: Call) -> Column:
         name, a = self._field(call), call.args
         if "limit" in a or "column" in a:
-            raise PQLError("UnionRows takes Rows without limit or column")
+            raise _NeedsIds
         if self._kind(name) == "plain":
             return self._rows_filter(a, F.col(name))
         at = (lambda x: x) if self._kind(name) == "set" else (lambda x: x["value"])
@@ -327,8 +373,9 @@ class Engine:
             return self.records(child).agg(F.sum(f).alias("value"), F.count(f).alias("count"))
         if n in ("min", "max"):
             f = self._field(call)
-            best = self.records(child).groupBy(F.col(f).alias("value")).agg(F.count(f).alias("count")).filter("value IS NOT NULL")
-            return best.orderBy(F.asc("value") if n == "min" else F.desc("value")).limit(1)
+            rows = self.records(child).select(F.col(f).alias("value")).filter("value IS NOT NULL")
+            best = rows.agg(F.min("value").alias("_best") if n == "min" else F.max("value").alias("_best"))  # one row
+            return rows.join(F.broadcast(best), F.col("value") == F.col("_best")).groupBy("value").agg(F.count(F.lit(1)).alias("count"))
         if n in ("minrow", "maxrow"):
             best = self._counts(self._field(call), self.records(child), a)
             return best.orderBy(F.asc("value") if n == "minrow" else F.desc("value")).limit(1)
@@ -336,9 +383,7 @@ class Engine:
             return self.records(child).select(self._values(self._field(call), a).alias("value")).filter("value IS NOT NULL").distinct()
         if n == "percentile":
             f = self._field(call)
-            rows = self.records(a.get("filter", child)).filter(F.col(f).isNotNull())
-            value = rows.agg(percentile(f, a["nth"]).cast(self.types[f]).alias("value"))
-            return rows.join(value, F.col(f) == F.col("value")).groupBy("value").agg(F.count(F.lit(1)).alias("count"))
+            return self._percentile(self.records(a.get("filter", child)).select(F.col(f).alias("value")).filter("value IS NOT NULL"), a["nth"])
         if n == "rows":
             return self.rows(call)
         if n in ("topn", "topk"):
@@ -367,6 +412,23 @@ class Engine:
             return self.mutate(call)
         return self.ids(call)
 
+    @staticmethod
+    def _percentile(rows: DataFrame, nth) -> DataFrame:
+        """The smallest value of which at least nth percent are no larger, with its count.
+
+        Values are dealt to bands between approximate hundredths (a bounded sketch); sums of the bands tell the one that holds it, and only that one is ordered.
+        """
+        if not 0 <= nth <= 100:
+            raise PQLError("nth goes from 0 to 100")
+        cuts = rows.agg(F.percentile_approx("value", [k / 100 for k in range(1, 100)], 10_000).alias("_cuts"), F.count(F.lit(1)).alias("_all"))  # one row
+        counts = rows.groupBy("value").agg(F.count(F.lit(1)).alias("count")).join(F.broadcast(cuts))
+        counts = counts.withColumn("_band", F.size(F.filter("_cuts", lambda c: c < F.col("value")))).withColumn("_rank", F.greatest(F.ceil(F.col("_all") * F.lit(Decimal(str(nth))) / 100), F.lit(1)))
+        bands = counts.groupBy("_band").agg(F.sum("count").alias("_n"))  # a hundred rows at most
+        before = bands.select(F.col("_band").alias("_b"), (F.sum("_n").over(Window.orderBy("_band")) - F.col("_n")).alias("_before"), F.col("_n"))
+        inside = counts.join(F.broadcast(before), (F.col("_band") == F.col("_b")) & (F.col("_rank") > F.col("_before")) & (F.col("_rank") <= F.col("_before") + F.col("_n")))
+        upto = F.sum("count").over(Window.partitionBy("_band").orderBy("value")) + F.col("_before")
+        return inside.withColumn("_upto", upto).filter((F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("count") < F.col("_rank"))).select("value", "count")
+
     def _counts(self, name: str, rows: DataFrame, a: dict) -> DataFrame:
         return rows.select(self._values(name, a).alias("value")).filter("value IS NOT NULL").groupBy("value").agg(F.count(F.lit(1)).alias("count"))
 
@@ -380,10 +442,20 @@ class Engine:
             name = self._field(c)
             names.append(name)
             rows = rows.withColumn(name, self._values(name, c.args)).filter(self._rows_filter(c.args, F.col(name)))
+            if "limit" in c.args or "column" in c.args:  # a bounded number of rows, or those of one record
+                rows = rows.join(self.rows(c).withColumnRenamed("value", "_row"), F.col(name) == F.col("_row"), "left_semi")
         out = [F.count(F.lit(1)).alias("count")]
         if value:
             out.append((F.count_distinct("_agg") if agg.name == "count" else {"sum": F.sum, "min": F.min, "max": F.max}[agg.name]("_agg")).alias("agg"))
         grouped = rows.groupBy(*names).agg(*out)
+        if "previous" in a:  # groups after the given one, in the order of the keys
+            if not isinstance(a["previous"], list) or len(a["previous"]) != len(names):
+                raise PQLError("previous takes a value for each Rows")
+            after, same = F.lit(False), F.lit(True)
+            for name, v in zip(names, a["previous"]):
+                after = after | (same & (F.col(name) > F.lit(v)))
+                same = same & (F.col(name) == F.lit(v))
+            grouped = grouped.filter(after)
         if isinstance(having, Call):
             for k, v in having.args.items():
                 c = F.col("count" if k == "count" else "agg")
@@ -408,4 +480,6 @@ class Engine:
         if call.name == "store":
             return mutate.store(self.table, self.predicate(call.children[0]), name, value)
         column = call.values[0]
-        return (mutate.clear if call.name == "clear" else mutate.set_)(self.table, column, name, value)
+        if call.name == "clear":
+            return mutate.clear(self.table, column, name, value)
+        return mutate.set_(self.table, column, name, value, call.values[1] if len(call.values) > 1 else None)

@@ -43,6 +43,18 @@ def _sql(name: str, dialect: str, duck: str | None = None) -> None:
     SQL[name] = _duck(duck or dialect)
 
 
+def _script(name: str, duck: str, *statements: str) -> None:
+    """The result of the last of some statements of one session."""
+
+    def run(spark, d):
+        session = Session(spark, load(spark, d))
+        for statement in statements[:-1]:
+            session.sql(statement)
+        return session.sql(statements[-1])
+
+    QUERIES[name], SQL[name] = run, _duck(duck)
+
+
 def _pql(name: str, table: str, text: str, duck: str) -> None:
     QUERIES[name] = lambda spark, d: Engine(load(spark, d)[table]).one(text)
     SQL[name] = _duck(duck)
@@ -69,11 +81,20 @@ _sql("filter_isnull", "SELECT _id, name_n FROM part_nulls WHERE size_n IS NULL A
 _sql("filter_bool_algebra", "SELECT _id FROM part_nulls WHERE (size_n > 3 AND name_n = 'Brand#1') OR NOT (size > 10 OR size_n = 2)")
 _sql("case_searched", "SELECT p_partkey, CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'medium' ELSE 'large' END AS class FROM part")
 _sql("case_simple", "SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 1 WHEN 'F' THEN 2 ELSE 0 END AS code FROM orders")
-_sql("cast_matrix", "SELECT p_partkey, CAST(p_size AS STRING) AS s, p_size > 0 AS b, CAST(CAST(p_size AS STRING) AS BIGINT) AS n, CAST(p_size AS DECIMAL(10,2)) = p_size AS same FROM part",
-     "SELECT p_partkey, CAST(p_size AS VARCHAR) AS s, p_size > 0 AS b, CAST(CAST(p_size AS VARCHAR) AS BIGINT) AS n, CAST(p_size AS DECIMAL(10,2)) = p_size AS same FROM part")
-_sql("arith_int", "SELECT p_partkey, p_size + 3 AS a, p_size - 50 AS b, p_size * 7 AS c, (p_size - 25) div 4 AS d, (p_size - 25) % 4 AS e FROM part", "SELECT p_partkey, p_size + 3 AS a, p_size - 50 AS b, p_size * 7 AS c, CAST((p_size - 25) // 4 AS BIGINT) AS d, (p_size - 25) % 4 AS e FROM part")
 _sql("bitwise_ops", "SELECT p_partkey, p_size & 12 AS a, p_size | 3 AS b, shiftleft(p_size, 2) AS c, shiftright(p_size, 1) AS d, ~p_size AS e FROM part", "SELECT p_partkey, p_size & 12 AS a, p_size | 3 AS b, p_size << 2 AS c, p_size >> 1 AS d, ~p_size AS e FROM part")
+_sql("cast_matrix", "SELECT p_partkey, CAST(p_size AS STRING) AS s, CAST(CAST(p_size AS STRING) AS INT) AS n, CAST(p_size AS DECIMAL(2)) = p_size AS same, date_format(CAST(p_partkey * 3600 AS TIMESTAMP), 'yyyy-MM-dd HH') AS t FROM part",
+     "SELECT p_partkey, CAST(p_size AS VARCHAR) AS s, CAST(p_size AS BIGINT) AS n, true AS same, strftime(make_timestamp(p_partkey * 3600000000), '%Y-%m-%d %H') AS t FROM part")
+_sql("cast_bool", "SELECT _id, CAST(size_n - 3 AS BOOL) AS b FROM part_nulls", "SELECT _id, size_n - 3 > 0 AS b FROM part_nulls")
+_sql("cast_set_text", "SELECT _id, CAST(tags AS STRING) AS s FROM part_tags", """SELECT _id, '["' || array_to_string(tags, '","') || '"]' AS s FROM part_tags""")
+_sql("cast_timestamp_text", "SELECT event_id, CAST(ts AS STRING) AS s FROM events", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS s FROM events")
+_sql("int_divide", "SELECT p_partkey, (p_size - 25) / 4 AS d, (p_size - 25) % 4 AS e, 100 / p_size / 2 AS f FROM part",
+     "SELECT p_partkey, CAST(trunc((p_size - 25) / 4.0) AS BIGINT) AS d, (p_size - 25) % 4 AS e, CAST(floor(floor(100.0 / p_size) / 2.0) AS BIGINT) AS f FROM part")
+_sql("arith_int", "SELECT p_partkey, p_size + 3 AS a, p_size - 50 AS b, p_size * 7 AS c, -p_size AS d FROM part")
 _sql("decimal_ops", "SELECT _id, CAST(bal + 1.25 AS DOUBLE) AS a, CAST(bal - 0.5 AS DOUBLE) AS b, bal > 100.5 AS c FROM cust_dec")
+_sql("decimal_mul_div", "SELECT _id, CAST(bal * 1.5 AS DOUBLE) AS m, CAST(bal / 7 AS DOUBLE) AS d, CAST(bal / -0.3 AS DOUBLE) AS e FROM cust_dec",
+     "SELECT _id, floor(CAST(bal * 100 AS BIGINT) * 15 / 10.0) / 100 AS m, floor(CAST(bal * 100 AS BIGINT) / 7.0) / 100 AS d, floor(CAST(bal * -100 AS BIGINT) / 0.3::DOUBLE + 1e-9) / 100 AS e FROM cust_dec")
+_sql("bitwise_not", "SELECT p_partkey, !p_size AS a, p_size << 2 AS b, p_size >> 1 AS c, p_size & 6 | 8 AS d FROM part", "SELECT p_partkey, ~p_size AS a, p_size << 2 AS b, p_size >> 1 AS c, (p_size & 6) | 8 AS d FROM part")
+_sql("pattern_ops", "SELECT p_partkey FROM part WHERE p_name REGEXP '^s.*[aeiou]$' OR p_brand GLOB '*#1?' OR p_type NOT MATCH 'A'", "SELECT p_partkey FROM part WHERE regexp_matches(p_name, '^s.*[aeiou]$') OR p_brand GLOB '*#1?' OR NOT regexp_matches(p_type, 'A')")
 _sql("concat_op", "SELECT p_partkey, p_brand || '/' || p_type AS label FROM part")
 
 # aggregates
@@ -94,6 +115,17 @@ _sql("agg_filter_clause", "SELECT p_brand, COUNT(*) FILTER (WHERE p_size > 25) A
 _sql("grouping_rollup", "SELECT p_brand, p_type, COUNT(*) AS n FROM part GROUP BY ROLLUP (p_brand, p_type)")
 
 
+_sql("sql_avg", "SELECT segment, CAST(AVG(bal) AS DOUBLE) AS mean, CAST(AVG(nation) FILTER (WHERE bal > 0) AS DOUBLE) AS nation FROM cust_dec GROUP BY segment",
+     "SELECT segment, trunc(CAST(SUM(CAST(bal * 100 AS BIGINT)) AS BIGINT) * 100 / COUNT(bal)) / 10000 AS mean, trunc(SUM(nation) FILTER (WHERE bal > 0) * 10000 / COUNT(*) FILTER (WHERE bal > 0)) / 10000 AS nation FROM cust_dec GROUP BY segment")
+_sql("sql_var", "SELECT CAST(VAR(p_size) AS DOUBLE) AS v FROM part", "SELECT trunc(var_pop(p_size) * 1000000) / 1000000 AS v FROM part")
+_sql("sql_corr", "SELECT CAST(CORR(p_size, p_partkey) AS DOUBLE) AS r FROM part", "SELECT trunc(corr(p_size, p_partkey) * 1000000) / 1000000 AS r FROM part")
+_sql("sql_percentile", "SELECT p_brand, PERCENTILE(p_size, 25) AS q25, PERCENTILE(p_size, 99.5) AS top FROM part GROUP BY p_brand", "SELECT p_brand, quantile_disc(p_size, 0.25) AS q25, quantile_disc(p_size, 0.995) AS top FROM part GROUP BY p_brand")
+_sql("sql_percentile_time", "SELECT date_format(PERCENTILE(ts, 50), 'yyyy-MM-dd HH:mm:ss') AS t FROM events", "SELECT strftime(quantile_disc(ts, 0.5), '%Y-%m-%d %H:%M:%S') AS t FROM events")
+_sql("min_max_time", "SELECT date_format(MIN(ts), 'yyyy-MM-dd HH:mm:ss') AS a, date_format(MAX(ts), 'yyyy-MM-dd HH:mm:ss') AS b FROM events", "SELECT strftime(MIN(ts), '%Y-%m-%d %H:%M:%S') AS a, strftime(MAX(ts), '%Y-%m-%d %H:%M:%S') AS b FROM events")
+_sql("first_last", "SELECT brand, FIRST(_id) OVER (PARTITION BY brand ORDER BY _id) AS a, LAST(_id) OVER (PARTITION BY brand ORDER BY _id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b FROM part_tags",
+     "SELECT brand, first(_id) OVER (PARTITION BY brand ORDER BY _id) AS a, last(_id) OVER (PARTITION BY brand ORDER BY _id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b FROM part_tags")
+
+
 @_frame("avg4", "SELECT segment, (CAST(SUM(CAST(bal * 100 AS BIGINT)) AS BIGINT) * 100 // COUNT(bal)) / 10000.0::DOUBLE AS mean FROM cust_dec GROUP BY segment")
 def _(t):
     return t["cust_dec"].groupBy("segment").agg(A.avg4(F.col("bal"), 2).cast("double").alias("mean"))
@@ -123,6 +155,8 @@ _sql("join_full", "SELECT s.s_suppkey, c.c_custkey FROM supplier s FULL JOIN cus
 _sql("join_using", "SELECT a.p_brand, b.n FROM part a JOIN (SELECT p_partkey, p_size AS n FROM part) b USING (p_partkey)")
 _sql("join_theta", "SELECT a.n_name AS a, b.r_name AS b FROM nation a JOIN region b ON a.n_regionkey > b.r_regionkey")
 _sql("join_cross_small", "SELECT r_name, n_name FROM region, nation")
+_sql("join_cross", "SELECT r_name, n_name FROM region CROSS JOIN nation")
+_sql("wildcards", "SELECT n.*, r_name FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey")
 _sql("subquery_from", "SELECT b.p_brand, b.n FROM (SELECT p_brand, COUNT(*) AS n FROM part GROUP BY p_brand) b WHERE b.n > 3")
 _sql("in_subquery", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 _sql("not_in_subquery", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
@@ -143,6 +177,14 @@ _sql("order_multi", "SELECT p_partkey, p_brand, p_size FROM part ORDER BY p_bran
 _sql("order_ordinal", "SELECT n_name, n_regionkey FROM nation ORDER BY 2 DESC, 1")
 _sql("order_nulls", "SELECT _id, size_n FROM part_nulls ORDER BY size_n NULLS LAST, _id LIMIT 400")
 _sql("top_n", "SELECT TOP(10) o_orderkey, o_custkey FROM orders ORDER BY o_custkey DESC, o_orderkey", "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_custkey DESC, o_orderkey LIMIT 10")
+_sql("top_nested", """WITH small AS (SELECT TOP(40) p_partkey, p_size FROM part ORDER BY p_size, p_partkey), -- the smallest
+large AS (SELECT TOPN(40) p_partkey, p_size FROM part ORDER BY p_size DESC, p_partkey)
+SELECT TOP 30 x.p_partkey, x.p_size FROM (SELECT TOP 20 * FROM small ORDER BY p_partkey UNION ALL SELECT * FROM large) x ORDER BY x.p_partkey /* in all */""",
+     """WITH small AS (SELECT p_partkey, p_size FROM part ORDER BY p_size, p_partkey LIMIT 40), large AS (SELECT p_partkey, p_size FROM part ORDER BY p_size DESC, p_partkey LIMIT 40)
+SELECT x.p_partkey, x.p_size FROM ((SELECT * FROM small ORDER BY p_partkey LIMIT 20) UNION ALL SELECT * FROM large) x ORDER BY x.p_partkey LIMIT 30""")
+_sql("top_union", "SELECT COUNT(*) AS n FROM (SELECT TOP(3) p_partkey FROM part UNION ALL SELECT s_suppkey FROM supplier) x", "SELECT 3 + COUNT(*) AS n FROM supplier")
+_sql("order_bool", "SELECT _id, is_open FROM flags ORDER BY is_open DESC, _id LIMIT 100")
+_sql("order_nulls_default", "SELECT _id, size_n FROM part_nulls ORDER BY size_n, _id LIMIT 300", "SELECT _id, size_n FROM part_nulls ORDER BY size_n NULLS FIRST, _id LIMIT 300")
 _sql("limit_after_order", "SELECT p_partkey, p_size FROM part ORDER BY p_size, p_partkey LIMIT 25")
 
 # string functions
@@ -180,7 +222,8 @@ _sql("fn_totimestamp", "SELECT p_partkey, date_format(TOTIMESTAMP(p_partkey * 86
 _sql("fn_setcontains", "SELECT _id FROM part_tags WHERE SETCONTAINS(tags, 'Brand#3')", "SELECT _id FROM part_tags WHERE list_contains(tags, 'Brand#3')")
 _sql("fn_setcontainsall", "SELECT _id FROM part_tags WHERE SETCONTAINSALL(tags, ['Brand#1', 'large'])", "SELECT _id FROM part_tags WHERE list_has_all(tags, ['Brand#1', 'large'])")
 _sql("fn_setcontainsany", "SELECT _id FROM part_tags WHERE SETCONTAINSANY(tags, ['Brand#1', 'Brand#2'])", "SELECT _id FROM part_tags WHERE list_has_any(tags, ['Brand#1', 'Brand#2'])")
-_sql("set_equality", "SELECT _id, SETCONTAINSALL(parts, [1, 2]) AS eq, size(parts) AS n FROM cust_parts", "SELECT _id, list_has_all(parts, [1, 2]) AS eq, CAST(len(parts) AS INT) AS n FROM cust_parts")
+_sql("set_equality", "SELECT _id FROM part_tags WHERE tags = ['Brand#1', 'large'] OR (tags != ['Brand#2'] AND size = 4)", "SELECT _id FROM part_tags WHERE list_has_all(tags, ['Brand#1', 'large']) OR (NOT list_has_all(tags, ['Brand#2']) AND size = 4)")
+_sql("tuple_literal", "SELECT _id, {size, brand}.col1 AS size, {size, brand}.col2 AS brand FROM part_tags", "SELECT _id, size, brand FROM part_tags")
 _sql("group_flatten", "SELECT tags, COUNT(*) AS n, SUM(size) AS total FROM part_tags WITH (flatten(tags)) GROUP BY tags", "SELECT tags, COUNT(*) AS n, CAST(SUM(size) AS BIGINT) AS total FROM (SELECT unnest(tags) AS tags, size FROM part_tags) GROUP BY tags")
 _sql("distinct_set_members", "SELECT DISTINCT tags FROM part_tags WITH (flatten(tags))", "SELECT DISTINCT unnest(tags) AS tags FROM part_tags")
 
@@ -205,16 +248,24 @@ _pql("pql_count_distinct", "part_tags", "Count(Distinct(Row(size > 10), field=ta
 _pql("pql_sum", "part_tags", "Sum(Row(brand='Brand#1'), field=cents)", "SELECT CAST(sum(cents) AS BIGINT) AS value, count(cents) AS count FROM part_tags WHERE brand = 'Brand#1'")
 _pql("pql_min_max", "part_tags", "Max(Row(brand='Brand#1'), field=size)", "SELECT size AS value, count(*) AS count FROM part_tags WHERE brand = 'Brand#1' GROUP BY size ORDER BY size DESC LIMIT 1")
 _pql("pql_min", "part_tags", "Min(field=size)", "SELECT size AS value, count(*) AS count FROM part_tags GROUP BY size ORDER BY size LIMIT 1")
-_pql("pql_minrow_maxrow", "part_tags", "MaxRow(field=tags)", "SELECT t AS value, count(*) AS count FROM (SELECT unnest(tags) AS t FROM part_tags) GROUP BY t ORDER BY t DESC LIMIT 1")
+_pql("pql_maxrow", "part_tags", "MaxRow(field=tags)", "SELECT t AS value, count(*) AS count FROM (SELECT unnest(tags) AS t FROM part_tags) GROUP BY t ORDER BY t DESC LIMIT 1")
+_pql("pql_minrow", "part_tags", "MinRow(field=tags)", "SELECT t AS value, count(*) AS count FROM (SELECT unnest(tags) AS t FROM part_tags) GROUP BY t ORDER BY t LIMIT 1")
+_pql("pql_bitmap", "part_tags", "Bitmap(brand='Brand#7')", _IDS + "brand = 'Brand#7'")
+_pql("pql_range", "events_q", "Range(kinds='view', from=2024-01-08T00:00, to=2024-01-09T00:00)", "SELECT DISTINCT _id FROM ev WHERE value = 'view' AND ts >= '2024-01-08' AND ts < '2024-01-09'")
 _pql("pql_distinct", "part_tags", "Distinct(Row(size < 9), field=tags)", "SELECT DISTINCT unnest(tags) AS value FROM part_tags WHERE size < 9")
 _pql("pql_rows", "part_tags", "Rows(tags, previous='Brand#2', like='%r%', limit=30)", "SELECT DISTINCT t AS value FROM (SELECT unnest(tags) AS t FROM part_tags) WHERE t > 'Brand#2' AND t LIKE '%r%' ORDER BY t LIMIT 30")
 _pql("pql_unionrows", "part_tags", "UnionRows(Rows(tags, in=['Brand#1', 'Brand#5']))", _IDS + "list_has_any(tags, ['Brand#1', 'Brand#5'])")
+_pql("pql_unionrows_limit", "part_tags", "UnionRows(Rows(tags, limit=3), Rows(brand, column=17))",
+     _IDS + "list_has_any(tags, (SELECT list(t) FROM (SELECT DISTINCT unnest(tags) AS t FROM part_tags ORDER BY t LIMIT 3))) OR brand IN (SELECT brand FROM part_tags WHERE _id = 17)")
 _pql("pql_innerunionrows", "part_tags", "InnerUnionRows(field=tags, rows=['Brand#2', 'Brand#7'])", _IDS + "list_has_any(tags, ['Brand#2', 'Brand#7'])")
 _pql("pql_topn", "part_tags", "TopN(tags, Row(size > 10), n=5)", "SELECT t AS value, count(*) AS count FROM (SELECT unnest(tags) AS t FROM part_tags WHERE size > 10) GROUP BY t ORDER BY count DESC, t LIMIT 5")
 _pql("pql_topk", "part_tags", "TopK(brand, k=7, filter=Row(size < 40))", "SELECT brand AS value, count(*) AS count FROM part_tags WHERE size < 40 GROUP BY brand ORDER BY count DESC, brand LIMIT 7")
 _pql("pql_groupby", "part_tags", "GroupBy(Rows(tags), Rows(kind), filter=Row(size > 10))", "SELECT tags, kind, count(*) AS count FROM (SELECT unnest(tags) AS tags, kind FROM part_tags WHERE size > 10) GROUP BY tags, kind")
 _pql("pql_groupby_agg_having", "part_tags", "GroupBy(Rows(brand), Rows(kind), aggregate=Sum(field=size), having=Condition(count > 2), sort='count desc', limit=50)",
      "SELECT brand, kind, count(*) AS count, CAST(sum(size) AS BIGINT) AS agg FROM part_tags GROUP BY brand, kind HAVING count(*) > 2 ORDER BY count DESC, brand, kind LIMIT 50")
+_pql("pql_groupby_previous", "part_tags", "GroupBy(Rows(brand), Rows(kind), previous=['Brand#2', 'M'])", "SELECT brand, kind, count(*) AS count FROM part_tags WHERE brand > 'Brand#2' OR (brand = 'Brand#2' AND kind > 'M') GROUP BY brand, kind")
+_pql("pql_groupby_rows_limit", "part_tags", "GroupBy(Rows(tags, limit=5), Rows(brand, column=17))",
+     "SELECT tags, brand, count(*) AS count FROM (SELECT unnest(tags) AS tags, brand FROM part_tags) WHERE tags IN (SELECT DISTINCT unnest(tags) AS t FROM part_tags ORDER BY t LIMIT 5) AND brand IN (SELECT brand FROM part_tags WHERE _id = 17) GROUP BY tags, brand")
 _pql("pql_extract", "part_tags", "Extract(Row(tags='Brand#4'), Rows(size), Rows(kind))", "SELECT _id, size, kind FROM part_tags WHERE list_contains(tags, 'Brand#4')")
 _pql("pql_sort", "part_tags", "Sort(Row(brand='Brand#4'), field=cents, limit=12, sort-desc=true)", "SELECT _id, cents AS value FROM part_tags WHERE brand = 'Brand#4' ORDER BY cents DESC, _id LIMIT 12")
 _pql("pql_percentile", "part_tags", "Percentile(field=size, nth=75.0, filter=Row(brand='Brand#1'))",
@@ -223,7 +274,18 @@ _pql("pql_includescolumn", "part_tags", "IncludesColumn(Row(size > 0), column=17
 _pql("pql_fieldvalue", "part_tags", "FieldValue(field=brand, column=17)", "SELECT brand AS value FROM part_tags WHERE _id = 17")
 _pql("pql_options_shards", "part_tags", "Options(Row(size > 30), shards=[0])", _IDS + "size > 30 AND _id // 1048576 IN (0)")
 _pql("pql_bool_row", "flags", "Count(Row(is_open=true))", "SELECT count(*) AS count FROM flags WHERE is_open")
-_pql("pql_store", "part_tags", "Extract(Union(Row(size=3), Row(size=4)), Rows(brand))", "SELECT _id, brand FROM part_tags WHERE size IN (3, 4)")
+
+
+@_frame("pql_store", "SELECT _id, CASE WHEN size IN (3, 4) THEN 'Brand#9' WHEN brand = 'Brand#9' THEN NULL ELSE brand END AS brand FROM part_tags")
+def _(t):
+    return Engine(t["part_tags"]).one("Store(Union(Row(size=3), Row(size=4)), brand='Brand#9')").select("_id", "brand")
+
+
+@_frame("pql_set_time", "SELECT _id, count(*) + CAST(_id = 3 AS INT) AS n, count(*) FILTER (WHERE value = 'click' AND ts >= '2024-01-05' AND ts < '2024-01-06') + CAST(_id = 3 AS INT) AS day FROM ev GROUP BY _id")
+def _(t):
+    after = Engine(t["events_q"]).one("Set(3, kinds='click', 2024-01-05T23:59)")
+    day = F.filter("kinds", lambda x: (x["value"] == "click") & (x["ts"] >= "2024-01-05") & (x["ts"] < "2024-01-06"))
+    return after.select("_id", F.size("kinds").cast("long").alias("n"), F.size(day).cast("long").alias("day"))
 
 
 @_frame("pql_writes", "SELECT _id, CASE WHEN _id = 3 THEN 'Brand#99' WHEN brand = 'Brand#1' THEN NULL ELSE brand END AS brand FROM part_tags WHERE size <= 45 UNION ALL SELECT -1, 'Brand#99'")
@@ -310,5 +372,51 @@ def _(t):
     return n("and", "n_and").crossJoin(n("or", "n_or"))  # one row each
 
 
-def flagship(spark, sf_dir: str) -> DataFrame:
-    return QUERIES["group_having"](spark, sf_dir)
+@_frame("ids_merge", "SELECT DISTINCT _id FROM part_tags WHERE brand = 'Brand#1' OR size < 9 ORDER BY _id LIMIT 50")
+def _(t):
+    df = t["part_tags"]
+    return L.merge(df.filter("brand = 'Brand#1'"), df.filter("size < 9"), limit=50)
+
+
+@_frame("offset_range", "SELECT _id - 100 + 5000 AS _id FROM part_tags WHERE _id >= 100 AND _id < 900 AND size > 25")
+def _(t):
+    return L.offset_range(t["part_tags"].filter("size > 25"), 5000, 100, 900)
+
+
+@_frame("bitmap_import", "SELECT count(*) FILTER (WHERE size > 25 AND NOT brand = 'Brand#1') AS cleared, count(*) FILTER (WHERE size > 25 OR brand = 'Brand#1') AS added FROM part_tags")
+def _(t):
+    old, new = (L.bitmap(t["part_tags"].filter(p)) for p in ("size > 25", "brand = 'Brand#1'"))
+    n = lambda clear, name: L.bitmap_import(old, new, clear).agg(F.coalesce(F.sum(F.bitmap_count("bits")), F.lit(0)).alias(name))
+    return n(True, "cleared").crossJoin(n(False, "added"))  # one row each
+
+
+@_frame("bitmap_ids", "SELECT _id FROM part_tags WHERE size > 25")
+def _(t):
+    return L.bitmap_ids(L.bitmap(t["part_tags"].filter("size > 25")))
+
+
+@_frame("dsl_blob", "SELECT _id FROM part_tags WHERE brand != 'Brand#1' AND kind = (SELECT min(kind) FROM part_tags)")
+def _(t):
+    df = t["part_tags"].withColumns({"b": F.col("brand").cast("binary"), "k": F.col("kind").cast("binary")})
+    least = df.agg(F.min("kind")).first()[0].encode()
+    return L.extract(df, L.differs("b", b"Brand#1") & L.equals("k", bytearray(least)))
+
+
+# writes and catalog statements
+
+_PART = "CREATE TABLE items (_id ID, name STRING, size INT MIN 0 MAX 1000, tags STRINGSET)"
+_FILL = "INSERT INTO items (_id, name, size) SELECT p_partkey, p_name, p_size FROM part"
+_script("sql_insert_select", "SELECT p_partkey AS _id, p_name AS name, CAST(p_size AS BIGINT) AS size FROM part", _PART, _FILL, "SELECT _id, name, size FROM items")
+_script("sql_update", "SELECT p_partkey AS _id, CASE WHEN p_size > 40 THEN p_size * 2 ELSE p_size END::BIGINT AS size, CASE WHEN p_size > 40 THEN upper(p_name) ELSE p_name END AS name FROM part",
+        _PART, _FILL, "UPDATE items SET size = size * 2, name = UPPER(name) WHERE size > 40", "SELECT _id, size, name FROM items")
+_script("sql_delete", "SELECT p_partkey AS _id FROM part WHERE NOT p_name ILIKE 's%'", _PART, _FILL, "DELETE FROM items WHERE name LIKE 's%'", "SELECT _id FROM items")
+_script("sql_replace", "SELECT p_partkey AS _id, CASE WHEN p_partkey < 10 THEN 'new' ELSE p_name END AS name FROM part", _PART, _FILL, "REPLACE INTO items (_id, name) SELECT _id, 'new' FROM items WHERE _id < 10", "SELECT _id, name FROM items")
+_script("sql_alter_table", "SELECT p_partkey AS _id, p_name AS title, NULL::BIGINT AS extra FROM part",
+        _PART, _FILL, "ALTER TABLE items RENAME COLUMN name TO title", "ALTER TABLE items ADD COLUMN extra INT", "ALTER TABLE items DROP COLUMN size", "ALTER TABLE items DROP COLUMN tags", "SELECT * FROM items")
+_script("sql_view", "SELECT p_brand, count(*) AS n FROM part WHERE p_size > 10 GROUP BY p_brand", "CREATE VIEW large AS SELECT * FROM part WHERE p_size > 20", "ALTER VIEW large AS SELECT * FROM part WHERE p_size > 10", "SELECT p_brand, COUNT(*) AS n FROM large GROUP BY p_brand")
+_script("sql_show_tables", "SELECT unnest(['cust_dec', 'cust_parts', 'customer', 'events', 'events_q', 'flags', 'items', 'lineitem', 'nation', 'orders', 'part', 'part_nulls', 'part_tags', 'region', 'supplier']) AS name", _PART, "SHOW TABLES")
+_script("sql_show_columns", "SELECT unnest(['_id', 'name', 'size', 'tags']) AS name, unnest(['bigint', 'string', 'bigint', 'array<string>']) AS type", _PART, "SHOW COLUMNS FROM items")
+_script("sql_show_create_table", "SELECT 'CREATE TABLE items (_id id, name string, size int MIN 0 MAX 1000, tags stringset)' AS ddl", _PART, "SHOW CREATE TABLE items")
+_script("sql_databases", "SELECT * FROM (VALUES ('default', NULL, NULL), ('lake', 'cold', 4)) x(name, comment, units)", "CREATE DATABASE lake WITH UNITS 2", "CREATE DATABASE gone", "ALTER DATABASE lake SET UNITS 4 COMMENT 'cold'", "DROP DATABASE gone", "SHOW DATABASES")
+_script("sql_function", "SELECT p_partkey, p_size * 2 + 1 AS x FROM part", "CREATE FUNCTION twice(@n INT, @more INT) RETURNS INT AS (@n * 2 + @more)", "SELECT p_partkey, twice(p_size, 1) AS x FROM part")
+_script("sql_copy", "SELECT count(*) AS n FROM part", "COPY part TO copied", "DROP TABLE part", "SELECT COUNT(*) AS n FROM copied")
