@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,11 +16,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder every executor sees: spark.checkpoint.dir, or a local one where there is but one machine and it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "/tmp/checkpoints"
+    if not found and spark.sparkContext.master.startswith("local"):
+        found = f"file://{tempfile.mkdtemp(prefix='shared-')}"
         spark.conf.set("spark.checkpoint.dir", found)
+    if not found:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return found.rstrip("/")
 
 
@@ -33,13 +38,29 @@ def written(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def removed(spark: SparkSession, df: DataFrame) -> None:
     """Deletes the files of a written() table that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for parent in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(conf).delete(path, True)
+        delete(spark, parent)
+
+
+@contextmanager
+def bucketed(df: DataFrame, key: str, tag: str) -> Iterator[DataFrame]:
+    """df written once as a table bucketed by key, so that joins by the key don't move it; table and files go at the end."""
+    spark = df.sparkSession
+    name, path = f"{tag.replace('-', '_')}_{uuid.uuid4().hex}", fresh_path(spark, tag)
+    try:
+        df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "6").option("path", path).bucketBy(max(1, df.rdd.getNumPartitions()), key).saveAsTable(name)
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        delete(spark, path)
 
 
 def lower_ascii(text: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -17,7 +20,7 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """_P ** i and _P ** -i modulo 2**64 for i < n."""
     size = -(-n // (1 << 20)) << 20
-    if size not in _powers:
+    if max(_powers, default=0) < size:
         _powers.clear()
         both = []
         for p in (_P, pow(_P, -1, 1 << 64)):
@@ -28,7 +31,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
                 k *= 2
             both.append(a)
         _powers[size] = tuple(both)
-    return _powers[size]
+    return next(iter(_powers.values()))
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -37,9 +40,9 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def squeeze(a: np.ndarray) -> bytes:
+def squeeze(a: np.ndarray, level: int = 1) -> bytes:
     """Bytes of 64-bit numbers, plane by plane."""
-    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
+    return zstandard.ZstdCompressor(level).compress(np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
 
 
 def opened(data: bytes) -> np.ndarray:
@@ -57,37 +60,50 @@ def values(data: bytes) -> np.ndarray:
 
 def small(a: np.ndarray) -> bytes:
     """Numbers most of which are small."""
-    return squeeze(a.astype(np.int64).view(np.uint64))
+    return squeeze(a.astype(np.int64).view(np.uint64), 6)
 
 
 def unsmall(data: bytes) -> np.ndarray:
     return opened(data).view(np.int64)
 
 
-def cuts(keys: np.ndarray, n: int) -> list[int]:
+def cuts(keys: np.ndarray, n: int, bits: int = 64) -> list[int]:
     """Where each of n equal hash ranges starts in the sorted keys."""
-    return np.searchsorted(keys, np.array([-(-(k << 64) // n) for k in range(n)], np.uint64)).tolist() + [len(keys)]
+    return np.searchsorted(keys, np.array([-(-(k << bits) // n) for k in range(n)], np.uint64)).tolist() + [len(keys)]
 
 
-def split(keys: np.ndarray, counts: list[np.ndarray], n: int) -> tuple[list[int], list[bytes], list[bytes]]:
+def split(keys: np.ndarray, counts: list[np.ndarray], n: int, bits: int = 64) -> tuple[list[int], list[bytes], list[bytes]]:
     """The ranges that have keys, and for each its keys and their counts (one row after the other)."""
-    cut = cuts(keys, n)
+    cut = cuts(keys, n, bits)
     some = [k for k in range(n) if cut[k] < cut[k + 1]]
     return some, [deltas(keys[cut[k] : cut[k + 1]]) for k in some], [small(np.concatenate([c[cut[k] : cut[k + 1]] for c in counts])) for k in some]
 
 
-def ask(blocks: DataFrame, question, decide, tag: str) -> DataFrame:
-    """question(block's row) -> (ranges, keys, counts); decide(a range's rows: r, block, keys, counts) -> (r, block, answer). Returns block, answers [(r, answer)]."""
+class Told(NamedTuple):
+    answers: DataFrame  # block, answers [(r, answer, stats)]; written, to be removed in the end
+    stats: DataFrame  # stats
+
+
+def ask(blocks: DataFrame, question, decide, tag: str) -> Told:
+    """question(block's row) -> (what it tells of languages or None, ranges, keys, counts); decide(a range's rows: r, block, langs, keys, counts) -> (r, block, answer, stats)."""
 
     def run(batches):
         for b in batches:
             for k in range(b.num_rows):
                 row = b.slice(k, 1).to_pylist()[0]
-                r, keys, counts = question(row)
-                yield pa.RecordBatch.from_arrays([pa.array(r, pa.int32()), pa.array([row["block"]] * len(r), pa.int64()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], ["r", "block", "keys", "counts"])
-
-    told = blocks.mapInArrow(run, "r int, block long, keys binary, counts binary").groupBy("r").applyInPandas(decide, "r int, block long, answer binary")
-    return written(told.groupBy("block").agg(F.collect_list(F.struct("r", "answer")).alias("answers")), tag, "zstd")
+                tells, r, keys, counts = question(row)
+                n = len(r)
+                langs = [json.dumps({**tells, "bigrams": [] if k else tells["bigrams"]}) for k in range(n)] if tells else [None] * n
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(r, pa.int32()), pa.array([row["block"]] * n, pa.int64()), pa.array(langs, pa.string()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())],
+                    ["r", "block", "langs", "keys", "counts"],
+                )
+
+    asked = blocks.mapInArrow(run, "r int, block long, langs string, keys binary, counts binary")
+    told = asked.groupBy("r").applyInPandas(decide, "r int, block long, answer binary, stats string")
+    # written by block, so that a join with bucketed blocks moves the answers and not the blocks
+    answers = written(told.groupBy("block").agg(F.collect_list(F.struct("r", "answer", "stats")).alias("answers")), tag, "zstd")
+    return Told(answers, answers.select(F.explode("answers.stats").alias("stats")).filter("stats is not null"))
 
 
 def answers_of(answers: list | None):

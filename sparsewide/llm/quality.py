@@ -4,7 +4,8 @@ The model is of word bigrams (words: runs of non-white-space, A-Z lower-cased),
 the corpus and is never gathered in one place. Each document is scored by the model of all other documents: its own counts (and those of its exact copies,
 which count once) are taken out of every count, so no text is judged by itself.
 
-Tables are sorted arrays of 64-bit hashes, delta coded, cut into hash ranges of about `RANGE` entries, each in a task of its own. Documents are packed into blocks
+Tables are sorted arrays of hashes, delta coded, cut into hash ranges of about `RANGE` entries, each in a task of its own. Hashes are as wide as the corpus asks
+for: `SPARE_BITS` more than the logarithm of its size, up to 64. Documents are packed into blocks
 that are written once. Two rounds of questions follow, in which a block sends each range the sorted distinct hashes it needs, with its own counts, and gets the
 sums over all blocks back; the ranges' arrays are the model.
 
@@ -27,13 +28,14 @@ Scale: a row between tasks holds at least one hash, so rows never exceed bigrams
 joins. One row a language (totals and discounts) reaches the driver.
 
 Defined cases: null text has no words and fails the base rules. Null language is a language of its own. A language without a document that passes the base rules
-has no band. Repeated rows each get their row and count once. Very long texts make a block of their own and are taken whole. Ties (equal hashes of different words)
-have a chance of n * n / 2**65. Other columns are ignored, whatever their names. Empty tables: no rows.
+has no band. Repeated rows each get their row and count once. Very long texts make a block of their own and are taken whole. Different
+words of equal hash share their counts. Other columns are ignored, whatever their names. Empty tables: no rows.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import json
+from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
@@ -44,13 +46,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import removed, written
+from .common import bucketed, removed, written
 from .hash_arrays import answers_of, ask, cuts, deltas, mixed, powers, small, split, unsmall, values
 
 SPACE, SYMBOLS = " \t\n\v\f\r", "#*$%&|<>"
 LOWERED = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 BLANK = np.isin(np.arange(256), np.frombuffer(SPACE.encode(), np.uint8))
-BLOCK, RANGE = 8 << 20, 2 << 20
+BLOCK, RANGE = 8 << 20, 1 << 20
+#: Bits of a hash beyond the logarithm of the corpus' bytes. As there are fewer words and bigrams than bytes, well below one in 256 meets another.
+SPARE_BITS = 8
 ABOVE, LOWER = 5.0, 0.35
 _BYTES = np.random.default_rng(20240517).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _START = np.uint64(0x51AB7E5C3D9F2B17)
@@ -74,25 +78,46 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
     return len(w), len(text) - sum(map(text.count, SPACE)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeat
 
 
+def numbered(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct values, the place of each value among them)."""
+    of, kinds = pd.factorize(a)
+    order = np.argsort(kinds)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return kinds[order], place[of]
+
+
+def _hashes(raw: np.ndarray, lo: np.ndarray, hi: np.ndarray, step: int = 1 << 17) -> np.ndarray:
+    """Hashes of the words between lo and hi, a bounded number of words at a time."""
+    out = np.zeros(len(lo), np.uint64)
+    power = powers(int((hi - lo).max(initial=0)) + 1)[0]
+    for k in range(0, len(lo), step):
+        a, b = lo[k : k + step], hi[k : k + step]
+        length = b - a
+        first = np.cumsum(length) - length
+        place = np.arange(int(length.sum())) - np.repeat(first, length)
+        out[k : k + step] = np.add.reduceat(_BYTES[raw[np.repeat(a, length) + place]] * power[place], first)
+    return out
+
+
 class Words:
     """The words of a block's documents and their bigrams, as numbers of sorted distinct hashes."""
 
-    def __init__(self, row: dict):
+    def __init__(self, row: dict, bits: int = 64):
         raw = np.frombuffer(row["data"].translate(LOWERED), np.uint8)
         ends = np.cumsum(np.array(row["lens"], np.int64))  # each document ends on a line feed
         salt = np.array([xxhash.xxh64_intdigest(repr(x)) for x in row["langs"]], np.uint64)
         word = ~BLANK[raw]
         edge = np.diff(word.astype(np.int8), prepend=0, append=0)
         lo, hi = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        up, down = powers(len(raw) + 1)
-        sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_BYTES[raw] * up[: len(raw)], out=sums[1:])
+        hashes = _hashes(raw, lo, hi)
         self.doc = np.searchsorted(ends, lo, "right")
         self.n_docs = len(ends)
         self.n_words = np.bincount(self.doc, minlength=len(ends))
-        hashed = mixed(mixed((sums[hi] - sums[lo]) * down[lo]) ^ salt[self.doc])
-        starts = mixed(salt ^ _START)
-        self.words, of = np.unique(np.concatenate([hashed, starts]), return_inverse=True)
+        shift = np.uint64(64 - bits)
+        hashed = mixed(mixed(hashes) ^ salt[self.doc]) >> shift
+        starts = mixed(salt ^ _START) >> shift
+        self.words, of = numbered(np.concatenate([hashed, starts]))
         self.c, start = of[: len(lo)], of[len(lo) :]
         first = np.diff(self.doc, prepend=-1) > 0
         self.b = np.where(first, start[self.doc], np.roll(self.c, 1)) if len(lo) else self.c
@@ -102,9 +127,11 @@ class Words:
         self.word_lang = np.zeros(len(self.words), np.int64)
         self.word_lang[self.c] = self.doc_lang[self.doc]
         self.word_lang[start] = self.doc_lang
-        keys = mixed(self.words[self.b] * np.uint64(0x9E3779B97F4A7C15) ^ self.words[self.c])
-        self.keys, at, self.pair = np.unique(keys, return_index=True, return_inverse=True)
-        self.pair_b, self.pair_c = self.b[at], self.c[at]
+        pair, kinds = pd.factorize(self.b.astype(np.int64) * len(self.words) + self.c)
+        b, c = np.divmod(kinds, max(len(self.words), 1))
+        self.keys, of = numbered(mixed(self.words[b] * np.uint64(0x9E3779B97F4A7C15) ^ self.words[c]) >> shift)
+        self.pair, self.pair_b, self.pair_c = of[pair], np.zeros(len(self.keys), np.int64), np.zeros(len(self.keys), np.int64)
+        self.pair_b[of], self.pair_c[of] = b, c
         counted = np.array(row["counted"], bool)[self.doc] if len(lo) else np.zeros(0, bool)
         self.n = np.bincount(self.pair[counted], minlength=len(self.keys))
         self.context = np.bincount(self.b[counted], minlength=len(self.words))
@@ -112,7 +139,7 @@ class Words:
 
 def pack(docs: DataFrame, id_col: str, text_col: str, lang_col: str, block: int) -> DataFrame:
     """Blocks of documents: block, ids, langs, lens, data, and digests of (language, text)."""
-    schema = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.string())), ("langs", pa.list_(pa.string())), ("lens", pa.list_(pa.int64())), ("digests", pa.list_(pa.binary())), ("data", pa.binary())])
+    schema = pa.schema([("block", pa.int64()), ("n_bytes", pa.int64()), ("ids", pa.list_(pa.string())), ("langs", pa.list_(pa.string())), ("lens", pa.list_(pa.int64())), ("digests", pa.list_(pa.binary())), ("data", pa.binary())])
 
     def run(batches):
         part, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
@@ -120,7 +147,7 @@ def pack(docs: DataFrame, id_col: str, text_col: str, lang_col: str, block: int)
         def row():
             digest = lambda lang, text: xxhash.xxh3_128_digest(repr(lang).encode() + b"\0" + text)
             return pa.RecordBatch.from_pydict({
-                "block": [(part << 24) + seq], "ids": [[h[0] for h in held]], "langs": [[h[1] for h in held]], "lens": [[len(h[2]) + 1 for h in held]],
+                "block": [(part << 24) + seq], "n_bytes": [size], "ids": [[h[0] for h in held]], "langs": [[h[1] for h in held]], "lens": [[len(h[2]) + 1 for h in held]],
                 "digests": [[digest(h[1], h[2]) for h in held]], "data": [b"".join(h[2] + b"\n" for h in held)],
             }, schema=schema)
 
@@ -135,7 +162,7 @@ def pack(docs: DataFrame, id_col: str, text_col: str, lang_col: str, block: int)
             yield row()
 
     narrow = docs.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).cast("binary").alias("text"))
-    return narrow.mapInArrow(run, "block long, ids array<string>, langs array<string>, lens array<bigint>, digests array<binary>, data binary")
+    return narrow.mapInArrow(run, "block long, n_bytes long, ids array<string>, langs array<string>, lens array<bigint>, digests array<binary>, data binary")
 
 
 def discounts(c: list[int]) -> list[float]:
@@ -147,26 +174,38 @@ def discounts(c: list[int]) -> list[float]:
 
 
 def _total(group: pd.DataFrame) -> pd.DataFrame:
-    """Sums of a range's hashes over the blocks, and which block holds each first."""
+    """Sums of a range's hashes over the blocks, and which block holds each first.
+
+    Where blocks send their languages, the first number of a hash is its language; then counts of counts (of the last number) by language are told too, with what
+    the blocks tell about their bigrams.
+    """
     group = group.sort_values("block")
+    told = [json.loads(x) if x else None for x in group["langs"]]
     keys = [values(k) for k in group["keys"]]
-    every, of = np.unique(np.concatenate(keys), return_inverse=True)
+    every, of = numbered(np.concatenate(keys))
     counts = [unsmall(c).reshape(-1, len(k)) for c, k in zip(group["counts"], keys)]
-    sums = np.zeros((len(counts[0]), len(every)), np.int64)
-    at = 0
+    edge = np.cumsum([0, *map(len, keys)])
+    skip = int(told[0] is not None)
+    sums = np.zeros((len(counts[0]) - skip, len(every)), np.int64)
+    for lo, hi, c in zip(edge, edge[1:], counts):
+        sums[:, of[lo:hi]] += c[skip:]  # a block holds a hash once
+    where = np.full(len(every), len(of))
+    np.minimum.at(where, of, np.arange(len(of)))
     first = np.zeros(len(of), bool)
-    first[np.unique(of, return_index=True)[1]] = True
-    out = []
-    for k, c in zip(keys, counts):
-        for total, x in zip(sums, c):
-            total += np.bincount(of[at : at + len(k)], x, len(every)).astype(np.int64)
-        at += len(k)
-    at = 0
-    for k in keys:
-        own = of[at : at + len(k)]
-        out.append(small(np.concatenate([first[at : at + len(k)], *(t[own] for t in sums)])))
-        at += len(k)
-    return pd.DataFrame({"r": group["r"], "block": group["block"], "answer": out})
+    first[where] = True
+    out, stats = [], []
+    for lo, hi, c, own in zip(edge, edge[1:], counts, told):
+        out.append(small(np.concatenate([first[lo:hi], *sums[:, of[lo:hi]]])))
+        if own:
+            stats += [["bigrams", lang, n] for lang, n in own["bigrams"]]
+            mine = first[lo:hi] & (sums[-1][of[lo:hi]] > 0)
+            stats += [["words", lang, _of_counts(sums[-1][of[lo:hi]][mine & (c[0] == k)])] for k, lang in enumerate(own["langs"])]
+    return pd.DataFrame({"r": group["r"], "block": group["block"], "answer": out, "stats": [json.dumps(stats) if stats else None, *[None] * (len(group) - 1)]})
+
+
+def _of_counts(n: np.ndarray) -> list[int]:
+    """How many, their sum, how many are 1, 2, 3, 4 and how many over 2."""
+    return [len(n), int(n.sum()), *(int((n == k).sum()) for k in range(1, 5)), int((n > 2).sum())]
 
 
 def _looked_up(answers: list | None, cut: list[int], rows: int) -> np.ndarray:
@@ -217,70 +256,57 @@ def _log_p(own: Words, pairs: np.ndarray, words: np.ndarray, laws: dict) -> np.n
     return np.log(p2)[of_dp] if len(lang) else np.zeros(0)
 
 
-def _rows(blocks: DataFrame) -> DataFrame:
-    """Blocks with `counted`: for each document whether it is the first of its text and language."""
-    each = blocks.select("block", F.posexplode("digests").alias("i", "digest"))
-    first = each.groupBy("digest").agg(F.min(F.struct("block", "i")).alias("first"))
-    mine = first.groupBy(F.col("first.block").alias("_b")).agg(F.collect_list("first.i").alias("firsts"))
-    return blocks.drop("digests").join(mine.hint("shuffle_hash"), F.col("block") == F.col("_b"), "left").drop("_b")
-
-
-def _opened(row: dict) -> Words:
+def _opened(row: dict, bits: int) -> Words:
     counted = np.zeros(len(row["lens"]), bool)
     counted[row["firsts"] or []] = True
-    return Words(row | {"counted": counted})
+    return Words(row | {"counted": counted}, bits)
 
 
 def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", block: int = BLOCK, entries: int = RANGE) -> DataFrame:
     """doc_id, lang, the base counts and log_ppl (null for a text without words)."""
-    packed = written(pack(docs, id_col, text_col, lang_col, block), "word-blocks", "zstd")
-    blocks = _rows(packed)
-    ranges = 1 + (packed.agg(F.sum(F.length("data"))).first()[0] or 0) // 6 // entries
-
+    spark = docs.sparkSession
+    with bucketed(pack(docs, id_col, text_col, lang_col, block), "block", "word-blocks") as packed:
+        total = packed.agg(F.sum("n_bytes")).first()[0] or 0
+        ranges, bits = 1 + total // 6 // entries, min(64, SPARE_BITS + max(1, total).bit_length())
+        each_doc = packed.select("block", F.posexplode("digests").alias("i", "digest"))
+        first = each_doc.groupBy("digest").agg(F.min(F.struct("block", "i")).alias("first"))
+        firsts = written(first.groupBy(F.col("first.block").alias("block")).agg(F.collect_list("first.i").alias("firsts")), "firsts")
+        blocks = packed.drop("digests", "n_bytes").join(firsts.hint("shuffle_hash"), "block", "left")
+        out = _scored(spark, blocks, ranges, bits, docs.schema[id_col].dataType)
+        removed(spark, firsts)
+        return out
+
+
+def _scored(spark, blocks: DataFrame, ranges: int, bits: int, id_type) -> DataFrame:
     def ask_bigrams(row):
-        own = _opened(row)
-        return split(own.keys, [own.n], ranges)
+        own = _opened(row, bits)
+        return None, *split(own.keys, [own.n], ranges, bits)
 
     bigrams = ask(blocks, ask_bigrams, _total, "bigrams")
-    both = blocks.join(bigrams.withColumnRenamed("answers", "pairs").hint("shuffle_hash"), "block", "left")
+    both = blocks.join(bigrams.answers.withColumnRenamed("answers", "pairs").hint("shuffle_hash"), "block", "left")
 
     def of_pairs(row):
-        own = _opened(row)
-        return own, _looked_up(row["pairs"], cuts(own.keys, ranges), 2)
+        own = _opened(row, bits)
+        return own, _looked_up(row["pairs"], cuts(own.keys, ranges, bits), 2)
 
     def ask_words(row):
         own, pairs = of_pairs(row)
-        return split(own.words, _of_words(own, pairs), ranges)
+        mine, lang = pairs[0].astype(bool) & (pairs[1] > 0), own.word_lang[own.pair_c]
+        tells = {"langs": own.langs, "bigrams": [[x, _of_counts(pairs[1][mine & (lang == k)])] for k, x in enumerate(own.langs)]}
+        return tells, *split(own.words, [own.word_lang, *_of_words(own, pairs)], ranges, bits)
 
     found = ask(both, ask_words, _total, "words")
-    last = both.join(found.withColumnRenamed("answers", "of_words").hint("shuffle_hash"), "block", "left")
-
-    def totals(batches):
-        """Per block and language: types, words and counts of counts, of what the block counts."""
-        for row in each(batches):
-            own, pairs = of_pairs(row)
-            words = _looked_up(row["of_words"], cuts(own.words, ranges), 6)
-            first, kind = pairs[0].astype(bool) & (pairs[1] > 0), own.word_lang[own.pair_c]
-            whose = words[0].astype(bool) & (words[5] > 0)
-            out = []
-            for k, lang in enumerate(own.langs):
-                n, m = pairs[1][first & (kind == k)], words[5][whose & (own.word_lang == k)]
-                out.append([lang, len(m), int(m.sum()), *(int((n == j).sum()) for j in range(1, 5)), *(int((m == j).sum()) for j in range(1, 5)), int((m > 2).sum())])
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string() if j == 0 else pa.int64()) for j, x in enumerate(zip(*out))], _TOTALS)
-
-    sums = last.mapInArrow(totals, "lang string, " + ", ".join(f"{x} long" for x in _TOTALS[1:])).groupBy("lang").agg(*[F.sum(x).alias(x) for x in _TOTALS[1:]])
-    laws = {}
-    for r in sums.collect():  # a row for each language
-        d1 = discounts([r[f"m{k}"] for k in range(1, 5)])
-        laws[r["lang"]] = {
-            "words": max(r["words"], 1), "types": r["types"], "bigram": discounts([r[f"n{k}"] for k in range(1, 5)]), "unigram": d1,
-            "discounted": d1[1] * r["m1"] + d1[2] * r["m2"] + d1[3] * r["m_more"],
-        }
+    last = both.join(found.answers.withColumnRenamed("answers", "of_words").hint("shuffle_hash"), "block", "left")
+    sums, laws = _summed(found.stats), {}
+    for lang in {lang for _, lang in sums}:
+        (_, _, *n, _), (words, types, *m, more) = sums["bigrams", lang], sums["words", lang]
+        d1 = discounts(m)
+        laws[lang] = {"words": max(words, 1), "types": types, "bigram": discounts(n), "unigram": d1, "discounted": d1[1] * m[0] + d1[2] * m[1] + d1[3] * more}
 
     def judge_block(batches):
         for row in each(batches):
             own, pairs = of_pairs(row)
-            words = _looked_up(row["of_words"], cuts(own.words, ranges), 6)
+            words = _looked_up(row["of_words"], cuts(own.words, ranges, bits), 6)
             total = np.bincount(own.doc, _log_p(own, pairs, words, laws), own.n_docs)
             ends = np.cumsum(row["lens"]).tolist()
             base = [base_counts(row["data"][e - n : e - 1].decode("utf-8", "surrogatepass")) for e, n in zip(ends, row["lens"])]
@@ -289,14 +315,20 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "lang", *COUNTS, "log_ppl"])
 
     done = last.mapInArrow(judge_block, "doc_id string, lang string, " + ", ".join(f"{x} long" for x in COUNTS) + ", log_ppl double")
-    out = written(done.withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType)), "quality")
-    for used in (packed, bigrams, found):
-        removed(docs.sparkSession, used)
+    out = written(done.withColumn("doc_id", F.col("doc_id").cast(id_type)), "quality")
+    for used in (bigrams, found):
+        removed(spark, used.answers)
     return out
 
 
+def _summed(stats: DataFrame) -> dict:
+    """Sums by kind and language of what the ranges tell; a row for each language reaches the driver."""
+    parsed = stats.select(F.explode(F.from_json("stats", "array<array<string>>")).alias("s"))
+    parsed = parsed.select(F.col("s")[0].alias("kind"), F.col("s")[1].alias("lang"), *[F.get_json_object(F.col("s")[2], f"$[{k}]").cast("long").alias(f"c{k}") for k in range(7)])
+    return {(r["kind"], r["lang"]): [r[f"c{k}"] for k in range(7)] for r in parsed.groupBy("kind", "lang").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(7)]).collect()}
+
+
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-_TOTALS = ["lang", "words", "types", "n1", "n2", "n3", "n4", "m1", "m2", "m3", "m4", "m_more"]
 
 
 def each(batches):
