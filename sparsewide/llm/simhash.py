@@ -16,11 +16,14 @@ found in several rotations counts in the first. A fingerprint has at most 2,080
 never grow with the square of a group of copies.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other. Rows that repeat a
-doc_id each get their row. Null doc_ids take part and never are the smallest. Empty tables: no rows.
+doc_id each get their row. Null doc_ids take part and never are the smallest. Ties: equal fingerprints
+are one node. Very long texts are read whole. Other columns are ignored, whatever their names. Empty
+tables: no rows.
 """
 
 from __future__ import annotations
 
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -37,6 +40,8 @@ NODE = 4096
 STEP_BITS = 6
 #: First bit and number of bits of the three thirds.
 THIRDS = ((0, 21), (21, 21), (42, 22))
+#: Candidates for each row above which a bucket is verified by blocks of rows, and rows of a block.
+DENSE, DENSE_BLOCK = 4, 1024
 #: Of one_of_each: words a shingle, least Jaccard similarity in hundredths, bits up to which pairs are compared.
 STAGE_SHINGLE, SIMILARITY, STAGE_BITS = 5, 80, 14
 _HASH = xxhash.xxh64_intdigest
@@ -247,43 +252,100 @@ def _signed(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
     return docs.select("_row", F.col(text_col).alias("text")).mapInPandas(run, "_row long, key string, fp long, n long")
 
 
-def _bucket_pairs(bucket: int, fp: np.ndarray, n: np.ndarray, head: np.ndarray, bits: int, block: int = 1 << 20):
-    """Candidates among the rows of a bucket that belong to it, a bounded block of pairs at a time."""
-    shift, path = np.uint64(48 - 16 * (bucket >> 16)), bucket & 0xFFFF
-    step = max(1, block // len(fp))
-    for lo in range(0, len(fp) - 1, step):
-        x = fp[lo : lo + step, None] ^ fp[None, lo:]
-        few, many = np.minimum(n[lo : lo + step, None], n[None, lo:]), np.maximum(n[lo : lo + step, None], n[None, lo:])
-        i, j = np.nonzero((np.bitwise_count(x) <= bits) & (100 * few >= SIMILARITY * many))
-        i, j = i[i < j] + lo, j[i < j] + lo
-        x = fp[i] ^ fp[j]
-        own = ((x >> shift) & np.uint64(0xFFFF)).astype(np.int64)
-        least = np.minimum((fp[i] >> shift) & np.uint64(0xFFFF), (fp[j] >> shift) & np.uint64(0xFFFF)).astype(np.int64)
+def _node_pairs(fp: np.ndarray, root: np.ndarray, bits: int, leaf: int = 64):
+    """Pairs of nodes of at most `leaf` rows or equal fingerprints in the trie over sorted fingerprints, as (a from, a to, b from, b to).
+
+    Both nodes go down together; a pair is cut off beyond `bits` differing bits, or if all its rows are of one component already.
+    """
+    changes = np.r_[0, np.cumsum(root[1:] != root[:-1])]
+    one = lambda lo, hi: changes[hi - 1] == changes[lo]
+
+    def middle(lo, hi, bit):
+        split = int(fp[lo]) >> (64 - bit) << (64 - bit) | 1 << (63 - bit)
+        return lo + int(np.searchsorted(fp[lo:hi], np.uint64(split)))
+
+    stack = [(0, len(fp), 0, len(fp), 0, 0)]
+    while stack:
+        a, a_to, b, b_to, bit, apart = stack.pop()
+        if a == a_to or b == b_to or apart > bits or (one(a, a_to) and one(b, b_to) and root[a] == root[b]):
+            continue
+        if bit == 64 or (a_to - a <= leaf and b_to - b <= leaf):
+            for lo in range(a, a_to, 1024):  # blocks of bounded size, also where equal fingerprints are many
+                for at in range(b, b_to, 1024):
+                    yield lo, min(lo + 1024, a_to), at, min(at + 1024, b_to)
+            continue
+        p, q = middle(a, a_to, bit), middle(b, b_to, bit)
+        stack += [(a, p, b, q, bit + 1, apart), (p, a_to, q, b_to, bit + 1, apart), (a, p, q, b_to, bit + 1, apart + 1)]
+        if a != b:
+            stack.append((p, a_to, b, q, bit + 1, apart + 1))
+
+
+def _bucket_pairs(bucket: int, rows: pd.DataFrame, bits: int):
+    """Candidates among the rows of a bucket that belong to it, a bounded block at a time: (i, j, differing bits)."""
+    quarter, path = bucket >> 16, bucket & 0xFFFF
+    fp, n, root = rows["r64"].to_numpy().view(np.uint64), rows["n"].to_numpy(), rows["root"].to_numpy()
+    for a, a_to, b, b_to in _node_pairs(fp, root, bits):
+        x = fp[a:a_to, None] ^ fp[None, b:b_to]
+        few, many = np.minimum(n[a:a_to, None], n[None, b:b_to]), np.maximum(n[a:a_to, None], n[None, b:b_to])
+        i, j = np.nonzero((np.bitwise_count(x) <= bits) & (100 * few >= SIMILARITY * many) & (root[a:a_to, None] != root[None, b:b_to]))
+        x = x[i, j]
+        i, j = i + a, j + b
+        own = (x >> np.uint64(48)).astype(np.int64)
+        least = np.minimum(fp[i] >> np.uint64(48), fp[j] >> np.uint64(48)).astype(np.int64)
         apart = np.bitwise_count(own)
-        ok = (apart <= 2) & (np.where(apart < 2, least, least ^ (own & -own)) == path)
-        for q in range(bucket >> 16):  # a pair counts in the first quarter that brings it together
-            ok &= np.bitwise_count((x >> np.uint64(48 - 16 * q)) & np.uint64(0xFFFF)) > 2
+        ok = (i < j) & (apart <= 2) & (np.where(apart < 2, least, least ^ (own & -own)) == path)
+        for q in range(quarter):  # a pair counts in the first quarter that brings it together; quarter q is rotated to the top here
+            ok &= np.bitwise_count((x >> np.uint64(48 - 16 * ((q - quarter) % 4))) & np.uint64(0xFFFF)) > 2
         if ok.any():
-            a, b = head[i[ok]], head[j[ok]]
-            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "d": np.bitwise_count(x[ok]).astype(np.int32)})
+            yield i[ok], j[ok], np.bitwise_count(x[ok]).astype(np.int32)
+
+
+def _pairs_of(rows: pd.DataFrame, i, j, d) -> pd.DataFrame:
+    head = rows["head"].to_numpy()
+    return pd.DataFrame({"a": np.minimum(head[i], head[j]), "b": np.maximum(head[i], head[j]), "d": d, "bucket": -1})
+
+
+def _neighbours(bucket: int, rows: pd.DataFrame, bits: int):
+    """Each row with the next one in the order of fingerprints."""
+    fp, n = rows["r64"].to_numpy().view(np.uint64), rows["n"].to_numpy()
+    d = np.bitwise_count(fp[1:] ^ fp[:-1]).astype(np.int32)
+    i = np.flatnonzero((d <= bits) & (100 * np.minimum(n[1:], n[:-1]) >= SIMILARITY * np.maximum(n[1:], n[:-1])))
+    yield _pairs_of(rows, i, i + 1, d[i])
 
 
-def candidates(heads: DataFrame, bits: int = STAGE_BITS) -> DataFrame:
-    """heads (head, fp, n) -> (a, b, d): pairs of like size at most `bits` bits apart of which a 16-bit quarter differs in two bits at most, once each.
+def _all_of(bucket: int, rows: pd.DataFrame, bits: int, dense: int = DENSE, block: int = DENSE_BLOCK):
+    """All candidates of a bucket; where they are more than `dense` for each row, the rows instead, by blocks (b null, d the block, bucket set)."""
+    held, size = [], 0
+    for found in _bucket_pairs(bucket, rows, bits):
+        held.append(_pairs_of(rows, *found))
+        size += len(held[-1])
+        if size > dense * len(rows):
+            place = np.arange(len(rows)) // block
+            yield pd.DataFrame({"a": rows["head"].to_numpy(), "b": pd.array([None] * len(rows), "Int64"), "d": place.astype(np.int32), "bucket": bucket})
+            return
+    yield from held
 
-    Each fingerprint goes to the buckets at most one bit from each of its quarters, so quarters two bits apart meet. All pairs up to 11 bits apart have
-    such a quarter; of those 12 to 14 bits apart most do, but not all.
+
+def candidates(heads: DataFrame, which=_all_of, bits: int = STAGE_BITS) -> DataFrame:
+    """heads (head, fp, n, root) -> (a, b, d, bucket): pairs of like size, in different components and at most `bits` bits apart, of which a 16-bit quarter differs in two.
+
+    The trie is held in four rotations, cut at 16 bits into buckets, which are tasks' units. Each fingerprint goes to the buckets at most one bit from each of its
+    quarters, so quarters two bits apart meet. All pairs up to 11 bits apart have such a quarter; of those 12 to 14 bits apart most do, but not all. Neighbours in
+    the order of fingerprints need no flipped buckets.
     """
-    to = heads.select("head", "fp", "n", F.explode(F.sequence(F.lit(0), F.lit(67))).alias("k"))
-    flip = "if(k % 17 = 0, 0, shiftleft(1, cast(k % 17 - 1 as int)))"
-    to = to.select("head", "fp", "n", F.expr(f"cast((k div 17) * 65536 + ((shiftrightunsigned(fp, cast(48 - 16 * (k div 17) as int)) & 65535) ^ {flip}) as int)").alias("bucket"))
+    flips = 1 if which is _neighbours else 17
+    to = heads.select("head", "fp", "n", "root", F.explode(F.sequence(F.lit(0), F.lit(4 * flips - 1))).alias("k"))
+    to = to.withColumn("q", F.expr(f"cast(k div {flips} as int)")).withColumn("r64", F.expr("if(q = 0, fp, shiftleft(fp, 16 * q) | shiftrightunsigned(fp, 64 - 16 * q))"))
+    flip = f"if(k % {flips} = 0, 0, shiftleft(1, cast(k % {flips} - 1 as int)))"
+    to = to.select("head", "r64", "n", "root", F.expr(f"cast(q * 65536 + ((shiftrightunsigned(r64, 48) & 65535) ^ {flip}) as int)").alias("bucket"))
 
     def pairs(b):
-        code, fp, n, head = b["bucket"].to_numpy(), b["fp"].to_numpy().view(np.uint64), b["n"].to_numpy(), b["head"].to_numpy()
+        code = b["bucket"].to_numpy()
         edge = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
         for lo, hi in zip(edge, np.r_[edge[1:], len(code)]):
             if hi - lo > 1:
-                yield from _bucket_pairs(int(code[lo]), fp[lo:hi], n[lo:hi], head[lo:hi], bits)
+                rows = b.iloc[lo:hi]
+                yield from which(int(code[lo]), rows.iloc[np.argsort(rows["r64"].to_numpy().view(np.uint64), kind="stable")], bits)
 
     def run(batches):
         held = None
@@ -298,40 +360,108 @@ def candidates(heads: DataFrame, bits: int = STAGE_BITS) -> DataFrame:
             yield from pairs(held)
 
     lanes = partitions(heads.sparkSession)
-    return to.repartition(lanes, "bucket").sortWithinPartitions("bucket").mapInPandas(run, "a long, b long, d int")
+    return to.repartition(lanes, "bucket").sortWithinPartitions("bucket", "head").mapInPandas(run, "a long, b long, d int, bucket int")
+
+
+def _near(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Rows (place in a, place in b) of the pairs of shingle sets that have the similarity asked for, by an index of a's shingles."""
+    if not a or not b:
+        return np.zeros((0, 2), np.int64)
+    size = np.array([len(x) for x in a])
+    every = np.concatenate(a)
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], np.repeat(np.arange(len(a)), size)[order]
+    out = []
+    for j, x in enumerate(b):
+        lo, hi = np.searchsorted(every, x), np.searchsorted(every, x, "right")
+        n = hi - lo
+        at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+        both = np.bincount(owner[at], minlength=len(a))
+        i = np.flatnonzero(100 * both >= SIMILARITY * (size + len(x) - both))
+        out.append(np.stack([i, np.full(len(i), j)], 1))
+    return np.concatenate(out)
+
+
+def _spanning(pairs: np.ndarray) -> np.ndarray:
+    """Some of the pairs that connect what all of them connect."""
+    root: dict[int, int] = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    keep = []
+    for k, (a, b) in enumerate(pairs.tolist()):
+        a, b = find(a), find(b)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            keep.append(k)
+    return pairs[keep]
+
+
+def _dense_links(group: pd.DataFrame) -> pd.DataFrame:
+    """Links between two blocks of a dense bucket (or within one), as many as connect its rows."""
+    left, right = (group[group["side"] == side].sort_values("v") for side in (0, 1))
+    found = _near([np.sort(np.asarray(x, np.int64)) for x in left["s"]], [np.sort(np.asarray(x, np.int64)) for x in (right if len(right) else left)["s"]])
+    head, other = left["v"].to_numpy(), (right if len(right) else left)["v"].to_numpy()
+    pairs = np.stack([head[found[:, 0]], other[found[:, 1]]], 1)
+    pairs = _spanning(pairs[pairs[:, 0] != pairs[:, 1]])
+    return pd.DataFrame({"a": pairs.min(axis=1), "b": pairs.max(axis=1)})
 
 
 def _verified(pairs: DataFrame, keyed: DataFrame, text_col: str, shingle: int) -> DataFrame:
-    """Of pairs (a, b) those whose shingle sets have the similarity asked for, counted exactly."""
+    """Of the candidates those whose shingle sets have the similarity asked for, counted exactly.
+
+    Single pairs are joined with both sets. Of a dense bucket each pair of blocks is a task that gets its rows' sets once and gives no more links than connect them.
+    """
 
     def run(batches):
         for b in batches:
             yield pd.DataFrame({"v": b["_row"], "s": [shingle_set(t, shingle).view(np.int64) for t in b["text"]]})
 
-    pairs = written(pairs.select("a", "b"), "candidates")
-    seen = pairs.select(F.explode(F.array("a", "b")).alias("_row")).distinct()
+    pairs = written(pairs, "candidates")
+    single = pairs.filter("b is not null").select("a", "b").distinct()
+    dense = pairs.filter("b is null").select("bucket", F.col("a").alias("v"), F.col("d").alias("block"))
+    seen = pairs.select(F.explode(F.array("a", "b")).alias("_row")).filter("_row is not null").distinct()
     sets = written(keyed.select("_row", F.col(text_col).alias("text")).join(seen, "_row", "left_semi").mapInPandas(run, "v long, s array<long>"), "sets")
-    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
-    return written(both.filter(100 * F.col("both") >= SIMILARITY * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b"), "links")
-
-
-def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = STAGE_SHINGLE, bits: int = STAGE_BITS) -> DataFrame:
+    both = single.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
+    found = both.filter(100 * F.col("both") >= SIMILARITY * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b")
+    # a block meets itself and each other block of its bucket: side 0 in the pairs where it comes first
+    last = dense.groupBy("bucket").agg(F.max("block").alias("last"))
+    meets = dense.join(last, "bucket").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    meets = meets.select("v", "bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), (F.col("block") > F.col("other")).cast("int").alias("side"))
+    close = meets.join(sets, "v").groupBy("bucket", "x", "y").applyInPandas(_dense_links, "a long, b long")
+    found = written(found.union(close).distinct(), "links")
+    for used in (pairs, sets):
+        removed(pairs.sparkSession, used)
+    return found
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = STAGE_SHINGLE, bits: int = STAGE_BITS, dense: int = DENSE, block: int = DENSE_BLOCK) -> DataFrame:
     """Keeps one row of each group of near copies, with all its columns: that of smallest id (null ids last). Rows are told apart by a key of their own, not by id.
 
     Near copies are texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8, and what such pairs connect. SimHash over the set only
-    proposes pairs; each link is verified on the sets. Each text is verified with its first and its nearest candidate; pairs inside the components this gives
-    need no verification, so only candidates between components follow. Candidates of a group of near copies grow with its square.
+    proposes pairs; each link is verified on the sets. So that a group of near copies doesn't bring all its pairs, components grow in rounds: first each text
+    with its neighbours in the order of fingerprints, then all candidates that are still in different components; node pairs of one component are cut off in the
+    trie. Where candidates stay many (over `dense` a row), as among texts that are alike but not enough, no pairs are made: blocks of the bucket meet in tasks of their
+    own, which hold 2 * `block` sets and give only as many links as connect them.
+
+    Rows with null or empty text have an empty set and are copies of each other. Rows that repeat an id are told apart by text. Very long texts are read whole.
+    Columns keep their names, but for `_row`, which the input must not have. Empty tables: no rows.
     """
+    spark = docs.sparkSession
     keyed = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
     order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id"), F.col("_row"))
     signed = _signed(keyed, text_col, shingle).join(keyed.select("_row", F.col(id_col).alias("_id")), "_row")
     heads = written(signed.groupBy("key").agg(F.min_by("_row", order).alias("head"), F.min(order).alias("o"), F.min("fp").alias("fp"), F.min("n").alias("n")).drop("key"), "heads")
-    pairs = written(candidates(heads.filter("n > 0"), bits), "pairs")
-    near = pairs.groupBy("b").agg(F.array_distinct(F.array(F.min("a"), F.min_by("a", F.struct("d", "a")))).alias("a")).select(F.explode("a").alias("a"), "b")
-    links = _verified(near, keyed, text_col, shingle)
-    roots = components(links)
-    rest = pairs.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left").filter(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
-    roots = components(links.union(_verified(rest, keyed, text_col, shingle)))
+    links, roots = None, None
+    for which in (_neighbours, partial(_all_of, dense=dense, block=block)):
+        now = heads.filter("n > 0").select("head", "fp", "n")
+        now = now.withColumn("root", F.col("head")) if roots is None else now.join(roots, F.col("head") == F.col("v"), "left").select("head", "fp", "n", F.coalesce("root", "head").alias("root"))
+        found = _verified(candidates(now, which, bits), keyed, text_col, shingle)
+        links = found if links is None else links.union(found)
+        roots = components(links)
     of = heads.join(roots, F.col("head") == F.col("v"), "left")
     first = of.groupBy(F.coalesce("root", "head").alias("root")).agg(F.min_by("head", "o").alias("_row"))
     return keyed.join(first, "_row", "left_semi").drop("_row")

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from sparsewide.llm import simhash
 
 
@@ -28,7 +30,8 @@ def test_links_of_nodes_whose_paths_are_the_same_number_at_two_depths(spark):
         assert set(got) == want and len(got) == len(want)
 
 
-def test_stage_finds_pairs_of_similarity_080_by_brute_force(spark):
+@pytest.mark.parametrize("kw", [{}, {"dense": 0, "block": 3}])
+def test_stage_finds_pairs_of_similarity_080_by_brute_force(spark, kw):
     rng, texts = random.Random(9), []
     for k in range(60):
         w = text(k, rng.choice([40, 150, 600])).split()
@@ -51,7 +54,7 @@ def test_stage_finds_pairs_of_similarity_080_by_brute_force(spark):
                 root[max(a, b)] = min(a, b)
     want = {find(i) for i in range(len(texts))}
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    got = {r["doc_id"] for r in simhash.one_of_each(docs).collect()}
+    got = {r["doc_id"] for r in simhash.one_of_each(docs, **kw).collect()}
     print("texts", len(texts), "components", len(want), "kept", len(got))
     assert want <= got  # nothing that isn't a near copy goes
     assert len(got) - len(want) <= (len(texts) - len(want)) // 50 and len(want) < len(texts) - 100
