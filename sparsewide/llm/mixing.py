@@ -9,14 +9,14 @@ source's documents, shuffled by a seeded hash, lie end to end and are cut into e
 `block` words; slot r of the source takes its block r mod (number of blocks), so the blocks repeat
 only after all have been taken.
 
-Scale: prefix sums and ranks are two-level (counts per hash bucket or slot chunk, then inside one), so
+Only ids, sources and sizes are kept of the documents, written once. Scale: prefix sums and ranks are two-level (counts per hash bucket or slot chunk, then inside one), so
 a source with a third of all rows is spread over `BUCKETS` tasks. Points find their source by an
 equi-join on one of 65,536 cells. Only one row per source (at most `max_sources`, checked) reaches
 the driver.
 
 Defined cases: null text has size 0. Null source is a source, last in order. Documents of size 0 and
 sources of size 0 take nothing. Repeated rows each count as documents of their own; they share their
-place by a tie order that doesn't change results per row. No rows: no rows.
+place by a tie order that doesn't change results per row. Very long texts count whole. Other columns are ignored, whatever their names. No rows: no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import WORD
+from .common import WORD, written
 
 WEIGHTS = (1, 2, 3)
 EPOCHS = 3
@@ -120,7 +120,7 @@ def plan(
 ) -> tuple[DataFrame, DataFrame]:
     """(pieces, documents). pieces: slot, doc_id, src, from_word, n_words, the mix in slot order. documents: doc_id, source, size, src, source_size, target."""
     spark = docs.sparkSession
-    sized = _sized(docs, id_col, text_col, source_col)
+    sized = written(_sized(docs, id_col, text_col, source_col), "sizes")  # each text is read once
     sources = _sources(sized, weights, epochs, max_sources)
     sized, _ = _numbered(sized, sources)
     laid = laid_out(sized, seed)
