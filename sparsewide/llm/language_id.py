@@ -8,10 +8,14 @@ of slots with the language's bit, to the power of the number of hashes); the lar
 N-grams are three code points of the lower-cased text, with everything but letters as one blank.
 The filter is fitted on labelled rows: at most about `sample` of them, chosen by a hash of the id (all
 where there are fewer). An n-gram enters for a language if it was seen there `min_count` times and its
-share there is at least `share` of its largest share in any language; the `per_lang` most frequent
-ones enter. So the filter has a fixed size, and predictions cover every whole text.
-
-Defined cases: null text or no letter: `und`, score 0. No labelled rows: all `und`. Repeated rows stay.
+share there is at least `share` of its largest share in any language. The filter has `LOAD` slots for
+each distinct n-gram that enters, so its size follows from the sample, which is bounded (a text of the
+sample adds at most its own length), and predictions cover every whole text.
+
+Defined cases: null text or no letter: `und`, score 0. No labelled rows, or a language without an n-gram
+that is frequent enough: never predicted, all `und` if there is none. Ties: the first language by name.
+Very long texts are read whole, a block of n-grams at a time. Repeated rows stay. Other columns are
+ignored, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,8 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SAMPLE, MIN_COUNT, SHARE, PER_LANG = 8_000, 3, 0.3, 20_000
-SLOTS, HASHES = 1 << 20, 3
+SAMPLE, MIN_COUNT, SHARE = 8_000, 3, 0.3
+HASHES, LOAD = 3, 16
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 _alpha: np.ndarray | None = None
 
@@ -62,8 +66,9 @@ class Filter:
         self.false = bits.mean(axis=0) ** HASHES
 
     @classmethod
-    def build(cls, grams: dict[str, np.ndarray], slots: int = SLOTS) -> Filter:
+    def build(cls, grams: dict[str, np.ndarray], load: int = LOAD) -> Filter:
         langs = sorted(grams)
+        slots = max(1024, load * len(np.unique(np.concatenate(list(grams.values()))))) if grams else 1024
         table = np.zeros((slots, max(1, -(-len(langs) // 64))), "<u8")
         for i, lang in enumerate(langs):
             for at in slots_of(grams[lang].astype(np.uint64), slots):
@@ -92,7 +97,7 @@ def slots_of(h: np.ndarray, slots: int) -> list[np.ndarray]:
     return [((h + np.uint64(k) * step) >> np.uint64(8)) % np.uint64(slots) for k in range(HASHES)]
 
 
-def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, min_count: int = MIN_COUNT, share: float = SHARE, per_lang: int = PER_LANG) -> Filter:
+def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, min_count: int = MIN_COUNT, share: float = SHARE) -> Filter:
     """labelled: rows to learn from; those without text or language are left out."""
     rows = labelled.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     n = rows.count()
@@ -107,10 +112,9 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     seen = rows.filter(part | F.lit(n <= sample)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInPandas(run, "lang string, h long, c long")
     seen = seen.groupBy("lang", "h").agg(F.sum("c").alias("c"))
     total = seen.groupBy("lang").agg(F.sum("c").alias("total"))
-    seen = seen.filter(F.col("c") >= min_count if n > 100 else F.lit(True)).join(total, "lang").withColumn("f", F.col("c") / F.col("total"))
+    seen = seen.filter(F.col("c") >= min_count).join(total, "lang").withColumn("f", F.col("c") / F.col("total"))
     seen = seen.withColumn("most", F.max("f").over(Window.partitionBy("h"))).filter(F.col("f") >= F.col("most") * share)
-    best = Window.partitionBy("lang").orderBy(F.desc("f"), "h")
-    kept = seen.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= per_lang).select("lang", "h").toPandas()
+    kept = seen.select("lang", "h").toPandas()
     return Filter.build({lang: h["h"].to_numpy(np.int64).view(np.uint64) for lang, h in kept.groupby("lang")})
 
 
