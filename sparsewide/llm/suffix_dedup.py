@@ -1,36 +1,33 @@
-"""Suffix dedup of exact repeats: difference-cover samples, then suffix buckets one at a time.
-
-Every byte that a string of `length` bytes covers which also starts earlier (smaller doc_id, or earlier
-in the same document) is removed. Documents are packed into blocks of about `block` bytes, sorted by
-doc_id inside, which are written once as a bucketed table, so later joins by block don't move the text.
-
-1. Samples. The residues DIFFERENCE_COVER modulo PERIOD have every difference modulo PERIOD, so two
-   equal strings of `length` bytes, wherever they start, have a place below PERIOD at which both are
-   sampled, and the length - PERIOD + 1 bytes from there on are equal. Blocks send the fingerprints of
-   those sample windows (sorted, distinct, delta coded); each hash range tells each block which of its
-   windows stand elsewhere too. Only suffixes with such a sample at most PERIOD - 1 bytes on can be
-   repeats; all others leave the game, whatever the size of the corpus.
-2. Buckets. The remaining suffixes are dealt to buckets by the fingerprint of their first `length`
-   bytes; one bucket at a time is sorted in a task, and the earliest holder of each is found; the other
-   blocks learn that theirs are repeats. A bucket holds about `bucket` entries, and a string enters once
-   per block, so neither common passages nor groups of copies enlarge one.
+"""Suffix dedup of exact repeats: difference-cover samples, then sorted suffix buckets one at a time.
+
+Every byte that a string of `length` bytes covers which also starts earlier (smaller doc_id, or earlier in the same document) is removed. Documents are packed
+into blocks of about `block` bytes, sorted by doc_id inside, which are written once as a bucketed table, so later joins by block don't move the text.
+
+1. Samples. The residues DIFFERENCE_COVER modulo PERIOD have every difference modulo PERIOD, so two equal strings of `length` bytes, wherever they start, have a
+   place below PERIOD at which both are sampled, and the window of length - PERIOD + 1 bytes from there on is the same. Blocks send the hashes of their sample
+   windows (sorted, distinct, delta coded); each hash range tells each block which of its windows stand elsewhere too. Only suffixes with such a sample ahead can
+   be repeats; all others leave the game, whatever the size of the corpus.
+2. Buckets. A shared sample goes with its bytes to the bucket of its window: PERIOD - 1 bytes before it and `length` from it on. One bucket at a time is sorted in
+   a task, lexicographically: the sample suffixes by what follows, and what stands before them read backwards; both orders give ranks for prefixes of any length
+   by their common prefixes with the neighbour. A suffix that starts l bytes before a sample is compared by those l bytes and, the tie being long, by the rank of
+   the sample suffix cut to length - l bytes. Equal pairs of ranks are equal strings, byte for byte, and all but the earliest are repeats. So the suffixes between
+   samples are never sorted themselves, and a task holds `bucket` samples.
 3. Each block marks the bytes of repeated suffixes.
 
-Only equality of the first `length` bytes matters here, so buckets are sorted by 64-bit fingerprints
-(polynomial over random byte values, mixed) rather than by the bytes themselves; two different strings
-among n share a fingerprint with a chance of n*n / 2**65.
+A window and its surroundings enter once a block, so copies do not enlarge a bucket. A window that more than `hot` blocks hold (a common line, with other text
+around it each time) is dealt out instead: its suffixes go by the 128-bit hash of their whole string, once a block, to an aggregation that combines before it
+shuffles. Only there equality is of hashes; two different strings among n meet with a chance of n * n / 2**129.
 
-Scale: rows between tasks number blocks x buckets at most, so for 100 TB take blocks and buckets of 64
-MB and more. Nothing but three totals reaches the driver.
+Scale: a row between tasks holds at least one sample, so rows never exceed samples; take larger blocks and buckets for larger machines. Nothing but three totals
+reaches the driver.
 
-Defined cases: null text is empty. Rows with one doc_id count in the order of their blocks. Null doc_ids
-come before all others. Texts shorter than `length` lose nothing. Empty tables: no rows.
+Defined cases: null text is empty. Rows with one doc_id count in the order of their blocks. Null doc_ids come before all others. Texts shorter than `length` lose
+nothing. Texts longer than a block make a larger one. Other columns are ignored, whatever their names. Empty tables: no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 import numpy as np
 import pandas as pd
@@ -40,117 +37,120 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, written
+from .common import bucketed, removed, written
+from .hash_arrays import cuts, deltas, mixed, opened, powers, squeeze, values
 
-LENGTH, BLOCK, BUCKET = 100, 2 << 20, 2 << 20
+LENGTH, BLOCK, BUCKET, HOT = 100, 2 << 20, 1 << 17, 256
 #: A perfect difference cover: each residue but 0 is one difference.
 PERIOD, DIFFERENCE_COVER = 57, (0, 1, 3, 13, 32, 36, 43, 52)
-_P = 0x9E3779B97F4A7C15
-_T = np.random.default_rng(20240229).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """_P ** i and _P ** -i modulo 2**64 for i < n."""
-    size = -(-n // (1 << 20)) << 20
-    if size not in _powers:
-        _powers.clear()
-        both = []
-        for p in (_P, pow(_P, -1, 1 << 64)):
-            a = np.ones(size, np.uint64)
-            k = 1
-            while k < size:
-                a[k : 2 * k] = a[: min(k, size - k)] * np.uint64(pow(p, k, 1 << 64))
-                k *= 2
-            both.append(a)
-        _powers[size] = tuple(both)
-    return _powers[size]
-
-
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+BITS = 48
+_T = [np.random.default_rng(seed).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1) for seed in (20240229, 20240701)]
+_NONE = np.iinfo(np.int64).min
 
 
 class Block:
-    """The bytes of a block's documents, one after the other, and fingerprints of its substrings."""
+    """The bytes of a block's documents, one after the other, its samples and what surrounds them."""
 
-    def __init__(self, data: bytes, lens: list[int], length: int):
-        self.data, self.length = np.frombuffer(data, np.uint8), length
-        self.lens = np.array(lens, np.int64)
+    def __init__(self, row: dict, length: int):
+        self.data, self.length, self.window = np.frombuffer(row["data"], np.uint8), length, length - PERIOD + 1
+        self.lens = np.array(row["lens"], np.int64)
         self.ends = np.cumsum(self.lens)
         self.starts = self.ends - self.lens
-        up, self.down = powers(len(self.data) + 1)
-        self.sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(_T[self.data] * up[: len(self.data)], out=self.sums[1:])
-
-    def prints(self, at: np.ndarray, n: int) -> np.ndarray:
-        return mixed((self.sums[at + n] - self.sums[at]) * self.down[at])
-
-    def samples(self) -> np.ndarray:
+        self.ids = np.array([_NONE if d is None else d for d in row["doc_ids"]], np.int64)
+        self.at = self._samples()
+        self.sample_prints = self.prints(self.at, self.window) >> np.uint64(64 - BITS)
+        self.keys, self.of, self.counts = np.unique(self.sample_prints, return_inverse=True, return_counts=True)
+
+    def prints(self, at: np.ndarray, n: int, table: int = 0) -> np.ndarray:
+        """Hashes of the strings of n bytes from each place on."""
+        up, down = powers(len(self.data) + 1)
+        sums = np.zeros(len(self.data) + 1, np.uint64)
+        np.cumsum(_T[table][self.data] * up[: len(self.data)], out=sums[1:])
+        return mixed((sums[at + n] - sums[at]) * down[at])
+
+    def _samples(self) -> np.ndarray:
         """Sampled places of which the window lies in a document that is long enough to hold a repeat."""
-        window, long = self.length - PERIOD + 1, self.lens >= self.length
+        long = self.lens >= self.length
         if not long.any():
             return np.zeros(0, np.int64)
-        most = int(self.lens.max())
-        all_at = (np.arange(0, most, PERIOD)[:, None] + np.array(DIFFERENCE_COVER)).ravel()
-        upto = np.searchsorted(all_at, self.lens[long] - window, "right")
+        all_at = (np.arange(0, int(self.lens.max()), PERIOD)[:, None] + np.array(DIFFERENCE_COVER)).ravel()
+        upto = np.searchsorted(all_at, self.lens[long] - self.window, "right")
         return np.concatenate([all_at[:k] + s for k, s in zip(upto.tolist(), self.starts[long].tolist())])
 
-    def sample_keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(sampled places ordered by key, number of the key of each, distinct keys, whether a key stands here twice)."""
-        at = self.samples()
-        return self._keyed(at, self.prints(at, self.length - PERIOD + 1) >> np.uint64(16))
-
-    @staticmethod
-    def _keyed(at, key):
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        new = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
-        edge = np.flatnonzero(new)
-        return at[order], np.cumsum(new) - 1, key[edge], np.diff(np.r_[edge, len(key)]) > 1
-
-    def suffix_keys(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The same for the suffixes that may be repeats: shared are places of samples that stand elsewhere too."""
-        mark = np.zeros(len(self.data) + 1, np.int32)
-        doc = np.searchsorted(self.ends, shared, "right")
-        np.add.at(mark, np.maximum(shared - PERIOD + 1, self.starts[doc]), 1)
-        np.add.at(mark, shared + 1, -1)
-        can = np.cumsum(mark[:-1]) > 0
-        tail = np.zeros(len(self.data) + 1, np.int32)  # the last length - 1 starts of each document are none
-        np.add.at(tail, np.maximum(self.ends - self.length + 1, self.starts), 1)
-        np.add.at(tail, self.ends, -1)
-        at = np.flatnonzero(can & (np.cumsum(tail[:-1]) == 0))
-        return self._keyed(at, self.prints(at, self.length))
-
-
-def _squeeze(a: np.ndarray) -> bytes:
-    """Bytes of 64-bit numbers, plane by plane."""
-    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
-
-
-def _open(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(raw.T).view("<u8").ravel()
-
-
-def _deltas(keys: np.ndarray) -> bytes:
-    return _squeeze(np.diff(keys, prepend=np.uint64(0)))
-
-
-def _undelta(data: bytes) -> np.ndarray:
-    return np.cumsum(_open(data), dtype=np.uint64)
-
-
-def _cuts(keys: np.ndarray, bits: int, n: int) -> list[int]:
-    """Where each of n equal hash ranges starts in the sorted keys."""
-    return np.searchsorted(keys, np.array([-(-(k << bits) // n) for k in range(n)], np.uint64)).tolist() + [len(keys)]
-
-
-def pack(docs: DataFrame, id_col: str, text_col: str, block: int) -> tuple[DataFrame, str]:
-    """Writes the blocks as a bucketed table in the shared folder: block, n_bytes, doc_ids, lens, data."""
-    spark = docs.sparkSession
+    def contexts(self, shared: np.ndarray) -> Contexts:
+        """Of the shared samples (a flag for each key) what surrounds them."""
+        return Contexts(self, np.flatnonzero(shared[self.of]) if len(self.at) else np.zeros(0, np.int64))
+
+
+class Contexts:
+    """Samples with the bytes around them: rows of PERIOD - 1 + length bytes and how many of them are the document's before and from the sample on."""
+
+    def __init__(self, own: Block, which: np.ndarray):
+        self.at = own.at[which]
+        self.doc = np.searchsorted(own.ends, self.at, "right")
+        self.left = np.minimum(self.at - own.starts[self.doc], PERIOD - 1)
+        self.right = np.minimum(own.ends[self.doc] - self.at, own.length)
+        width = PERIOD - 1 + own.length
+        rows = np.zeros((len(self.at), width + 2), np.uint8)
+        for k in range(width):  # column by column: no array of places for all rows
+            place = self.at + (k - PERIOD + 1)
+            inside = (k >= PERIOD - 1 - self.left) & (k < PERIOD - 1 + self.right)
+            rows[inside, k] = own.data[place[inside]]
+        rows[:, -2], rows[:, -1] = self.left, self.right
+        order = np.lexsort((self.at, own.sample_prints[which])) if len(which) else which
+        # distinct rows, the first in the block for each; within a hash range they lie together
+        flat = np.ascontiguousarray(rows[order]).view(f"V{width + 2}").ravel()
+        self.of = np.zeros(len(order), np.int64)
+        of, kinds = pd.factorize(pd.Series([x.tobytes() for x in flat]))
+        self.of[order] = of
+        first = np.full(len(kinds), len(order))
+        np.minimum.at(first, of, np.arange(len(order)))
+        self.first = order[first]
+        self.rows, self.keys = rows[self.first], own.sample_prints[which][self.first]
+
+    def valid(self, length: int) -> np.ndarray:
+        """For each sample and l below PERIOD whether the string of `length` bytes from l bytes before it on lies in its document."""
+        back = np.arange(PERIOD)
+        return (back <= self.left[:, None]) & (length - back <= self.right[:, None])
+
+
+def ranks(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(lexicographic order of the rows, common prefix of each with the one before it)."""
+    order = np.argsort(np.ascontiguousarray(rows).view(f"S{rows.shape[1]}").ravel(), kind="stable")
+    common = np.zeros(len(rows), np.int64)
+    for lo in range(1, len(rows), 1 << 14):
+        same = rows[order[lo : lo + (1 << 14)]] == rows[order[lo - 1 : lo - 1 + (1 << 14)][: len(order[lo : lo + (1 << 14)])]]
+        common[lo : lo + (1 << 14)] = np.where(same.all(axis=1), rows.shape[1], same.argmin(axis=1))
+    return order, common
+
+
+def repeated(rows: np.ndarray, when: np.ndarray, length: int) -> np.ndarray:
+    """For each context and l below PERIOD whether the suffix l bytes before the sample has the same `length` bytes as one of a context that comes earlier by `when`."""
+    gone = np.zeros((len(rows), PERIOD), bool)
+    width = PERIOD - 1
+    order, common = ranks(rows[:, width : width + length])
+    group = np.cumsum(common < length - PERIOD + 1)  # of one window
+    many = np.zeros(len(rows), bool)
+    many[order] = np.bincount(group)[group] > 1
+    some = np.flatnonzero(many)
+    if not len(some):
+        return gone
+    some = some[np.argsort(when[some], kind="stable")]  # earliest first
+    rows = rows[some]
+    after, common = ranks(rows[:, width : width + length])
+    before, alike = ranks(rows[:, width - 1 :: -1] if width else rows[:, :0])
+    left, right = rows[:, -2].astype(np.int64), rows[:, -1].astype(np.int64)
+    rank_after, rank_before = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+    for back in range(PERIOD):
+        rank_after[after] = np.cumsum(common < length - back)
+        rank_before[before] = np.cumsum(alike < back)
+        ok = np.flatnonzero((back <= left) & (length - back <= right))
+        gone[some[ok], back] = pd.Series(rank_after[ok] * (len(rows) + 1) + rank_before[ok]).duplicated().to_numpy()
+    return gone
+
+
+def pack(docs: DataFrame, id_col: str, text_col: str, block: int) -> DataFrame:
+    """Blocks of documents: block, n_bytes, doc_ids, lens, data."""
     schema = pa.schema([("block", pa.int64()), ("n_bytes", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lens", pa.list_(pa.int64())), ("data", pa.binary())])
 
     def run(batches):
@@ -158,7 +158,8 @@ def pack(docs: DataFrame, id_col: str, text_col: str, block: int) -> tuple[DataF
 
         def row():
             held.sort(key=lambda d: (d[0] is not None, d[0] or 0))
-            return pa.RecordBatch.from_pydict({"block": [(part << 24) + seq], "n_bytes": [size], "doc_ids": [[d[0] for d in held]], "lens": [[len(d[1]) for d in held]], "data": [b"".join(d[1] for d in held)]}, schema=schema)
+            cols = {"block": [(part << 24) + seq], "n_bytes": [size], "doc_ids": [[d[0] for d in held]], "lens": [[len(d[1]) for d in held]], "data": [b"".join(d[1] for d in held)]}
+            return pa.RecordBatch.from_pydict(cols, schema=schema)
 
         for b in batches:
             for key, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
@@ -171,136 +172,174 @@ def pack(docs: DataFrame, id_col: str, text_col: str, block: int) -> tuple[DataF
             yield row()
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    n = max(1, narrow.rdd.getNumPartitions())
-    name = f"blocks_{uuid.uuid4().hex}"
-    packed = narrow.mapInArrow(run, "block long, n_bytes long, doc_ids array<bigint>, lens array<bigint>, data binary")
-    packed.write.option("compression", "zstd").option("path", fresh_path(spark, "blocks")).bucketBy(n, "block").saveAsTable(name)
-    return spark.table(name), name
+    return narrow.mapInArrow(run, "block long, n_bytes long, doc_ids array<bigint>, lens array<bigint>, data binary")
 
 
-def _ask(blocks: DataFrame, run, decide, tag: str) -> DataFrame:
-    """Each block's requests (r, block, ...) to the hash ranges; their answers per block: block, answers [(r, bits)], n."""
-    asked = blocks.mapInArrow(run, "r int, block long, keys binary, docs binary")
-    told = asked.groupBy("r").applyInPandas(decide, "r int, block long, bits binary, n long")
-    return written(told.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("r", "bits"))).alias("answers"), F.sum("n").alias("n")), tag)
+def _each(batches):
+    """Rows as dicts, one copied at a time."""
+    for b in batches:
+        for k in range(b.num_rows):
+            yield b.slice(k, 1).to_pylist()[0]
 
 
-def _common(group: pd.DataFrame) -> tuple[pd.DataFrame, list[np.ndarray], np.ndarray]:
-    group = group.sort_values("block")
-    keys = [_undelta(k) for k in group["keys"]]
-    every = np.sort(np.concatenate(keys))
-    return group, keys, np.unique(every[1:][every[1:] == every[:-1]])
+def _flags(answers: list[dict] | None, cut: list[int], rows: int) -> np.ndarray:
+    """The ranges' answers, by the place of the block's keys."""
+    out = np.zeros((rows, cut[-1]), bool)
+    for a in answers or ():
+        lo, hi = cut[a["r"]], cut[a["r"] + 1]
+        out[:, lo:hi] = np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(a["bits"]), np.uint8), count=rows * (hi - lo)).reshape(rows, -1)
+    return out
 
 
-def _among(keys: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(common):
-        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(common, keys), len(common) - 1)
-    return at, common[at] == keys
+def _packed(flags: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(3).compress(np.packbits(flags).tobytes())
 
 
-def _elsewhere(group: pd.DataFrame) -> pd.DataFrame:
-    """Which keys of a block stand in another block too."""
-    group, keys, common = _common(group)
-    hit = [_among(k, common)[1] for k in keys]
-    return pd.DataFrame({"r": group["r"], "block": group["block"], "bits": [np.packbits(h).tobytes() for h in hit], "n": [int(h.sum()) for h in hit]})
+def _by_block(told: DataFrame, tag: str) -> DataFrame:
+    return written(told.groupBy("block").agg(F.collect_list(F.struct("r", "bits")).alias("answers"), F.sum("n").alias("n"), F.sum("n_hot").alias("n_hot")), tag, "zstd")
 
 
-def _earlier(group: pd.DataFrame) -> pd.DataFrame:
-    """Which keys of a block stand in an earlier document of another block."""
-    group, keys, common = _common(group)
-    docs, least, owner = [_open(d).view(np.int64) for d in group["docs"]], np.full(len(common), np.iinfo(np.int64).max), np.full(len(common), -1)
-    found = [_among(k, common) for k in keys]
-    for i, ((at, hit), d) in enumerate(zip(found, docs)):
-        at, d = at[hit], d[hit]
-        first = (d < least[at]) | (owner[at] < 0)
-        least[at[first]], owner[at[first]] = d[first], i
-    bits = [np.packbits(hit & (owner[at] != i if len(common) else False)).tobytes() for i, (at, hit) in enumerate(found)]
-    return pd.DataFrame({"r": group["r"], "block": group["block"], "bits": bits, "n": 0})
+_TOLD = "r int, block long, bits binary, n long, n_hot long"
 
 
-def _bits(answers: list[dict] | None, cuts: list[int]) -> np.ndarray:
-    """The ranges' answers, in the order of the block's keys."""
-    out = np.zeros(cuts[-1], bool)
-    for a in answers or ():
-        lo, hi = cuts[a["r"]], cuts[a["r"] + 1]
-        out[lo:hi] = np.unpackbits(np.frombuffer(a["bits"], np.uint8), count=hi - lo)
-    return out
+def _elsewhere(hot: int):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        """Which keys of a block stand in another block too, and in more than `hot` blocks."""
+        keys = [values(k) for k in group["keys"]]
+        every, of = np.unique(np.concatenate(keys), return_inverse=True)
+        n = np.bincount(of)[of]
+        edge = np.cumsum([0, *map(len, keys)])
+        parts = [np.stack([n[a:b] > 1, n[a:b] > hot]) for a, b in zip(edge, edge[1:])]
+        return pd.DataFrame({"r": group["r"], "block": group["block"], "bits": [_packed(x) for x in parts], "n": [int(x[0].sum()) for x in parts], "n_hot": [int(x[1].sum()) for x in parts]})
 
+    return run
 
-def _each(batches):
-    """Rows as dicts, one copied at a time."""
-    for b in batches:
-        for k in range(b.num_rows):
-            yield b.slice(k, 1).to_pylist()[0]
 
+def _bucket(length: int):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        """Sorts a bucket; which suffixes around the contexts of a block are repeats."""
+        group = group.sort_values("block")
+        width = PERIOD - 1 + length + 2
+        rows = [np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).reshape(-1, width) for x in group["rows"]]
+        at, doc = (np.concatenate([opened(x).view(np.int64) for x in group[c]]) for c in ("at", "doc"))
+        edge = np.cumsum([0, *map(len, rows)])
+        when = np.empty(len(at), np.int64)
+        when[np.lexsort((at, np.repeat(np.arange(len(rows)), np.diff(edge)), doc))] = np.arange(len(at))
+        gone = repeated(np.concatenate(rows), when, length)
+        return pd.DataFrame({"r": group["r"], "block": group["block"], "bits": [_packed(gone[a:b].T) for a, b in zip(edge, edge[1:])], "n": 0, "n_hot": 0})
 
-def _rows(r, block, keys, docs):
-    return pa.RecordBatch.from_arrays([pa.array(r, pa.int32()), pa.array(block, pa.int64()), pa.array(keys, pa.binary()), pa.array(docs, pa.binary())], ["r", "block", "keys", "docs"])
+    return run
 
 
-def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, block: int = BLOCK, bucket: int = BUCKET) -> DataFrame:
+def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, block: int = BLOCK, bucket: int = BUCKET, hot: int = HOT) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans [(start, stop) in bytes]."""
-    if length <= PERIOD:
-        raise ValueError(f"length must be over {PERIOD}")
-    spark = docs.sparkSession
-    blocks, name = pack(docs, id_col, text_col, block)
+    if not PERIOD < length < 256:
+        raise ValueError(f"length must be over {PERIOD} and below 256")
+    with bucketed(pack(docs, id_col, text_col, block), "block", "suffix-blocks") as blocks:
+        return _repeats(blocks, length, bucket, hot).withColumnRenamed("doc_id", id_col)
+
+
+def _repeats(blocks: DataFrame, length: int, bucket: int, hot: int) -> DataFrame:
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
-    ranges = 1 + total * len(DIFFERENCE_COVER) // PERIOD // bucket
+    ranges = 1 + total * len(DIFFERENCE_COVER) // PERIOD // (8 * bucket)
 
     def ask_samples(batches):
         for row in _each(batches):
-            *_, keys, _ = Block(row["data"], row["lens"], length).sample_keys()
-            cuts = _cuts(keys, 48, ranges)
-            some = [k for k in range(ranges) if cuts[k] < cuts[k + 1]]
-            yield _rows(some, [row["block"]] * len(some), [_deltas(keys[cuts[k] : cuts[k + 1]]) for k in some], [b""] * len(some))
-
-    shared = _ask(blocks, ask_samples, _elsewhere, "samples")
-    buckets = 1 + (shared.agg(F.sum("n")).first()[0] or 0) * PERIOD // len(DIFFERENCE_COVER) // bucket
-
-    def suffixes(row):
-        own = Block(row["data"], row["lens"], length)
-        at, of, keys, twice = own.sample_keys()
-        hit = _bits(row["shared"], _cuts(keys, 48, ranges)) | twice
-        return own, *own.suffix_keys(at[hit[of]] if len(at) else at)
-
-    def first_places(at, of):
-        return at[np.flatnonzero(np.r_[True, of[1:] != of[:-1]])] if len(at) else at  # at ascends within a key
-
-    def ask_suffixes(batches):
+            own = Block(row, length)
+            cut = cuts(own.keys, ranges, BITS)
+            some = [k for k in range(ranges) if cut[k] < cut[k + 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([row["block"]] * len(some), pa.int64()), pa.array([deltas(own.keys[cut[k] : cut[k + 1]]) for k in some], pa.binary())], ["r", "block", "keys"])
+
+    asked = blocks.mapInArrow(ask_samples, "r int, block long, keys binary")
+    samples = _by_block(asked.groupBy("r").applyInPandas(_elsewhere(hot), _TOLD), "samples")
+    n, n_hot = samples.agg(F.sum("n"), F.sum("n_hot")).first()
+    buckets = 1 + (n or 0) // bucket
+
+    def opened_block(row):
+        """The block, its contexts that go to buckets and those of hot windows."""
+        own = Block(row, length)
+        shared, common = _flags(row["shared"], cuts(own.keys, ranges, BITS), 2)
+        return own, own.contexts((shared | (own.counts > 1)) & ~common), own.contexts(common)
+
+    def ask_buckets(batches):
         for row in _each(batches):
-            own, at, of, keys, _ = suffixes(row)
-            ids = np.array([np.iinfo(np.int64).min if d is None else d for d in row["doc_ids"]], np.int64)
-            owner = ids[np.searchsorted(own.ends, first_places(at, of), "right")]
-            cuts = _cuts(keys, 64, buckets)
-            some = [k for k in range(buckets) if cuts[k] < cuts[k + 1]]
-            yield _rows(some, [row["block"]] * len(some), [_deltas(keys[cuts[k] : cuts[k + 1]]) for k in some], [_squeeze(owner[cuts[k] : cuts[k + 1]].view(np.uint64)) for k in some])
-
-    left = blocks.join(shared.select("block", F.col("answers").alias("shared")).hint("shuffle_hash"), "block", "left")
-    earlier = _ask(left.select("block", "doc_ids", "lens", "data", "shared"), ask_suffixes, _earlier, "suffixes")
+            own, near, _ = opened_block(row)
+            cut = cuts(near.keys, buckets, BITS)
+            some = [k for k in range(buckets) if cut[k] < cut[k + 1]]
+            part = lambda a: [a[cut[k] : cut[k + 1]] for k in some]  # noqa: B023, E731
+            at, doc = near.at[near.first], own.ids[near.doc[near.first]]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(some, pa.int32()), pa.array([row["block"]] * len(some), pa.int64()), pa.array([zstandard.ZstdCompressor(3).compress(x.tobytes()) for x in part(near.rows)], pa.binary()),
+                    pa.array([squeeze(x.view(np.uint64)) for x in part(at)], pa.binary()), pa.array([squeeze(x.view(np.uint64)) for x in part(doc)], pa.binary()),
+                ],
+                ["r", "block", "rows", "at", "doc"],
+            )
+
+    left = blocks.join(samples.select("block", F.col("answers").alias("shared")).hint("shuffle_hash"), "block", "left").select("block", "doc_ids", "lens", "data", "shared")
+    asked = left.mapInArrow(ask_buckets, "r int, block long, rows binary, at binary, doc binary")
+    earlier = _by_block(asked.groupBy("r").applyInPandas(_bucket(length), _TOLD), "suffixes")
+    both = left.join(earlier.select("block", F.col("answers").alias("earlier")).hint("shuffle_hash"), "block", "left")
+    dealt = _hot_repeats(left, opened_block, length) if n_hot else None
+    both = both.join(dealt.hint("shuffle_hash"), "block", "left") if n_hot else both.withColumn("dealt", F.lit(None).cast("array<struct<high:bigint,low:bigint>>"))
 
     def mark(batches):
         for row in _each(batches):
-            own, at, of, keys, _ = suffixes(row)
-            gone = _bits(row["earlier"], _cuts(keys, 64, buckets))[of] if len(at) else np.zeros(0, bool)
-            if len(at):
-                gone |= np.r_[False, of[1:] == of[:-1]]  # all but the first here
-            gone = at[gone]
-            step = np.bincount(gone, minlength=len(own.data) + 1).astype(np.int32)
-            step[length:] -= np.bincount(gone, minlength=len(own.data) + 1)[: len(step) - length].astype(np.int32) if len(step) > length else 0
+            own, near, common = opened_block(row)
+            gone = np.zeros(len(own.data) + 1, bool)
+            told = _flags(row["earlier"], cuts(near.keys, buckets, BITS), PERIOD).T
+            for back, valid in enumerate(near.valid(length).T):
+                later = np.ones(len(near.at), bool)
+                later[near.first] = False  # the same surroundings stand earlier in this block
+                gone[near.at[valid & (later | told[near.of, back] if len(near.at) else later)] - back] = True
+            at, high, low, first = _strings(own, common, length)
+            found = {(a["high"], a["low"]) for a in row["dealt"] or ()}
+            gone[at[~first]] = True
+            gone[at[[x in found for x in zip(high.tolist(), low.tolist())]]] = True
+            step = gone.astype(np.int32)
+            step[length:] -= gone[:-length] if len(gone) > length else gone[:0]
             cut = np.cumsum(step[:-1]) > 0
             out = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")}
             for key, lo, hi in zip(row["doc_ids"], own.starts.tolist(), own.ends.tolist()):
                 c = cut[lo:hi]
                 edge = np.flatnonzero(np.diff(c.astype(np.int8), prepend=0, append=0)).tolist() if c.any() else []
-                for k, v in zip(out, (key, hi - lo, int(c.sum()), len(edge) // 2, hashlib.sha256(own.data[lo:hi][~c].tobytes()).hexdigest(), [{"start": x, "stop": y} for x, y in zip(edge[::2], edge[1::2])])):
+                spans = [{"start": x, "stop": y} for x, y in zip(edge[::2], edge[1::2])]
+                for k, v in zip(out, (key, hi - lo, int(c.sum()), len(spans), hashlib.sha256(own.data[lo:hi][~c].tobytes()).hexdigest(), spans)):
                     out[k].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=_OUT)
 
-    both = left.join(earlier.select("block", F.col("answers").alias("earlier")).hint("shuffle_hash"), "block", "left")
-    out = written(both.select("block", "doc_ids", "lens", "data", "shared", "earlier").mapInArrow(mark, _OUT_SQL), "repeats")
-    spark.sql(f"DROP TABLE {name}")
-    return out.withColumnRenamed("doc_id", id_col)
+    out = written(both.select("block", "doc_ids", "lens", "data", "shared", "earlier", "dealt").mapInArrow(mark, _OUT_SQL), "repeats")
+    for used in (samples, earlier, *([dealt] if n_hot else [])):
+        removed(out.sparkSession, used)
+    return out
+
+
+def _strings(own: Block, common: Contexts, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the suffixes around hot windows: places, two hashes of the string, and whether it is the first of its string in the block."""
+    sample, back = np.nonzero(common.valid(length))
+    at = np.unique(common.at[sample] - back)
+    high, low = (own.prints(at, length, t).view(np.int64) for t in (0, 1))
+    first = ~pd.MultiIndex.from_arrays([high, low]).duplicated() if len(at) else np.zeros(0, bool)
+    return at, high, low, first
+
+
+def _hot_repeats(left: DataFrame, opened_block, length: int) -> DataFrame:
+    """(block, dealt): the strings of each block that stand earlier in another one."""
+
+    def run(batches):
+        for row in _each(batches):
+            own, _, common = opened_block(row)
+            at, high, low, first = _strings(own, common, length)
+            doc = own.ids[np.searchsorted(own.ends, at[first], "right")]
+            cols = [pa.array([row["block"]] * int(first.sum()), pa.int64()), *(pa.array(x, pa.int64()) for x in (high[first], low[first], doc))]
+            yield pa.RecordBatch.from_arrays(cols, ["block", "high", "low", "doc"])
+
+    rows = written(left.mapInArrow(run, "block long, high long, low long, doc long"), "strings", "zstd")
+    first = rows.groupBy("high", "low").agg(F.min(F.struct("doc", "block")).alias("first"))
+    gone = rows.join(first, ["high", "low"]).filter(F.struct("doc", "block") != F.col("first"))
+    out = written(gone.groupBy("block").agg(F.collect_list(F.struct("high", "low")).alias("dealt")), "dealt", "zstd")
+    removed(left.sparkSession, rows)
+    return out
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))])

@@ -368,13 +368,35 @@ def brute_repeats(texts, n):
     return out
 
 
-@pytest.mark.parametrize("block", [300, 1 << 20])
-def test_suffix_repeats_match_brute_force(spark, docs, block):
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows(suffix_dedup.repeats(docs, block=block, bucket=3000))}
+@pytest.mark.parametrize(("block", "hot"), [(300, 256), (1 << 20, 256), (300, 1), (300, 3), (2000, 0)])
+def test_suffix_repeats_match_brute_force(spark, docs, block, hot):
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows(suffix_dedup.repeats(docs, block=block, bucket=300, hot=hot))}
     want = dict(zip((r[0] for r in corpus()), brute_repeats([(r[1] or "").encode() for r in corpus()], 100)))
     assert got == want and sum(w[1] for w in want.values()) > 5000
 
 
+def test_buckets_compare_bytes_whatever_the_hashes(monkeypatch):
+    rng = np.random.default_rng(3)
+    base = rng.integers(97, 99, (3, 156), np.uint8)
+    rows = np.concatenate([base[rng.integers(0, 3, 400)], np.zeros((400, 2), np.uint8)], axis=1)
+    for row in rows:
+        for k in rng.integers(0, 156, rng.integers(0, 3)):
+            row[k] = 99
+    rows[:, -2], rows[:, -1] = 56 - rng.integers(0, 2, 400) * rng.integers(0, 57, 400), 100 - rng.integers(0, 2, 400) * rng.integers(0, 57, 400)
+    when = rng.permutation(400)  # one bucket holds any windows at all, as if all hashes were the same
+    got = suffix_dedup.repeated(rows, when, 100)
+    seen = [set() for _ in range(57)]
+    for k in np.argsort(when):
+        for back in range(57):
+            if back <= rows[k, -2] and 100 - back <= rows[k, -1]:
+                string = rows[k, 56 - back : 156 - back].tobytes()
+                assert got[k, back] == (string in seen[back])
+                seen[back].add(string)
+            else:
+                assert not got[k, back]
+    assert 1000 < got.sum() < 400 * 57
+
+
 def test_suffix_repeats_of_odd_tables(spark, empty):
     assert rows(suffix_dedup.repeats(empty)) == []
     odd = spark.createDataFrame([(None, None), (3, "z" * 150), (3, "z" * 150), (None, "z" * 99)], "doc_id long, text string")
