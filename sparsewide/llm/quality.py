@@ -52,7 +52,7 @@ from .hash_arrays import answers_of, ask, cuts, deltas, mixed, powers, small, sp
 SPACE, SYMBOLS = " \t\n\v\f\r", "#*$%&|<>"
 LOWERED = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 BLANK = np.isin(np.arange(256), np.frombuffer(SPACE.encode(), np.uint8))
-BLOCK, RANGE = 8 << 20, 1 << 20
+BLOCK, RANGE = 4 << 20, 1 << 20
 #: Bits of a hash beyond the logarithm of the corpus' bytes. As there are fewer words and bigrams than bytes, well below one in 256 meets another.
 SPARE_BITS = 8
 ABOVE, LOWER = 5.0, 0.35

@@ -252,7 +252,7 @@ def _signed(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
     return docs.select("_row", F.col(text_col).alias("text")).mapInPandas(run, "_row long, key string, fp long, n long")
 
 
-def _node_pairs(fp: np.ndarray, root: np.ndarray, bits: int, leaf: int = 64):
+def _node_pairs(fp: np.ndarray, root: np.ndarray, bits: int, leaf: int = 512):
     """Pairs of nodes of at most `leaf` rows or equal fingerprints in the trie over sorted fingerprints, as (a from, a to, b from, b to).
 
     Both nodes go down together; a pair is cut off beyond `bits` differing bits, or if all its rows are of one component already.
@@ -280,50 +280,89 @@ def _node_pairs(fp: np.ndarray, root: np.ndarray, bits: int, leaf: int = 64):
             stack.append((p, a_to, b, q, bit + 1, apart + 1))
 
 
-def _bucket_pairs(bucket: int, rows: pd.DataFrame, bits: int):
-    """Candidates among the rows of a bucket that belong to it, a bounded block at a time: (i, j, differing bits)."""
-    quarter, path = bucket >> 16, bucket & 0xFFFF
-    fp, n, root = rows["r64"].to_numpy().view(np.uint64), rows["n"].to_numpy(), rows["root"].to_numpy()
-    for a, a_to, b, b_to in _node_pairs(fp, root, bits):
-        x = fp[a:a_to, None] ^ fp[None, b:b_to]
-        few, many = np.minimum(n[a:a_to, None], n[None, b:b_to]), np.maximum(n[a:a_to, None], n[None, b:b_to])
-        i, j = np.nonzero((np.bitwise_count(x) <= bits) & (100 * few >= SIMILARITY * many) & (root[a:a_to, None] != root[None, b:b_to]))
-        x = x[i, j]
-        i, j = i + a, j + b
+class _Rows:
+    """Rows of whole buckets, sorted by bucket and fingerprint."""
+
+    def __init__(self, b: pd.DataFrame):
+        code, r64 = b["bucket"].to_numpy(), b["r64"].to_numpy().view(np.uint64)
+        order = np.lexsort((r64, code))
+        self.code, self.r64, self.n, self.head, self.root = code[order], r64[order], b["n"].to_numpy()[order], b["head"].to_numpy()[order], b["root"].to_numpy()[order]
+        self.edge = np.flatnonzero(np.r_[True, self.code[1:] != self.code[:-1]])
+        self.size = np.diff(np.r_[self.edge, len(code)])
+
+    def alike(self, i: np.ndarray, j: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of pairs of places those that can be links and aren't joined yet, with their differing bits."""
+        d = np.bitwise_count(self.r64[i] ^ self.r64[j])
+        ok = np.flatnonzero(d <= bits)
+        i, j, d = i[ok], j[ok], d[ok]
+        few, many = np.minimum(self.n[i], self.n[j]), np.maximum(self.n[i], self.n[j])
+        ok = (100 * few >= SIMILARITY * many) & (self.root[i] != self.root[j])
+        return i[ok], j[ok], d[ok].astype(np.int32)
+
+    def owned(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether a pair belongs to this bucket, of all in which it meets: the first quarter that brings it together, and one path of that."""
+        x, path, quarter = self.r64[i] ^ self.r64[j], self.code[i] & 0xFFFF, self.code[i] >> 16
         own = (x >> np.uint64(48)).astype(np.int64)
-        least = np.minimum(fp[i] >> np.uint64(48), fp[j] >> np.uint64(48)).astype(np.int64)
+        least = np.minimum(self.r64[i] >> np.uint64(48), self.r64[j] >> np.uint64(48)).astype(np.int64)
         apart = np.bitwise_count(own)
-        ok = (i < j) & (apart <= 2) & (np.where(apart < 2, least, least ^ (own & -own)) == path)
-        for q in range(quarter):  # a pair counts in the first quarter that brings it together; quarter q is rotated to the top here
-            ok &= np.bitwise_count((x >> np.uint64(48 - 16 * ((q - quarter) % 4))) & np.uint64(0xFFFF)) > 2
-        if ok.any():
-            yield i[ok], j[ok], np.bitwise_count(x[ok]).astype(np.int32)
-
-
-def _pairs_of(rows: pd.DataFrame, i, j, d) -> pd.DataFrame:
-    head = rows["head"].to_numpy()
-    return pd.DataFrame({"a": np.minimum(head[i], head[j]), "b": np.maximum(head[i], head[j]), "d": d, "bucket": -1})
-
-
-def _neighbours(bucket: int, rows: pd.DataFrame, bits: int):
+        ok = (apart <= 2) & (np.where(apart < 2, least, least ^ (own & -own)) == path)
+        for back in range(1, 4):  # quarter q stands 16 * (4 - back) bits up if it comes `back` before the one on top
+            near = np.bitwise_count((x >> np.uint64(48 - 16 * (4 - back))) & np.uint64(0xFFFF)) <= 2
+            ok &= ~(near & (quarter >= back))
+        return ok
+
+    def found(self, i, j, d) -> pd.DataFrame:
+        return pd.DataFrame({"a": np.minimum(self.head[i], self.head[j]), "b": np.maximum(self.head[i], self.head[j]), "d": d, "bucket": np.int32(-1)})
+
+    def pairs(self, bits: int, enough: int, small: int = 256, step: int = 1 << 20):
+        """(places of the pairs, differing bits), in blocks of bounded size: small buckets whole, in large ones by the trie, until there are more than `enough` a row."""
+        rest = np.repeat(np.where(self.size <= small, self.size, 0), self.size)
+        rest = np.maximum(np.repeat(self.edge, self.size) + rest - np.arange(len(rest)) - 1, 0)  # partners after each row
+        upto = np.cumsum(rest)
+        at = 0
+        while at < len(rest):
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + step)))
+            n = rest[at:to]
+            i = np.repeat(np.arange(at, to), n)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+            i, j, d = self.alike(i, j, bits)
+            ok = self.owned(i, j)
+            yield i[ok], j[ok], d[ok]
+            at = to
+        for lo, n in zip(self.edge[self.size > small].tolist(), self.size[self.size > small].tolist()):
+            total = 0
+            for a, a_to, b, b_to in _node_pairs(self.r64[lo : lo + n], self.root[lo : lo + n], bits):
+                i, j = (x.ravel() for x in np.meshgrid(np.arange(a, a_to), np.arange(b, b_to), indexing="ij"))
+                i, j = i[i < j] + lo, j[i < j] + lo
+                i, j, d = self.alike(i, j, bits)
+                ok = self.owned(i, j)
+                yield i[ok], j[ok], d[ok]
+                total += int(ok.sum())
+                if total > enough * n:
+                    break
+
+
+def _neighbours(rows: _Rows, bits: int):
     """Each row with the next one in the order of fingerprints."""
-    fp, n = rows["r64"].to_numpy().view(np.uint64), rows["n"].to_numpy()
-    d = np.bitwise_count(fp[1:] ^ fp[:-1]).astype(np.int32)
-    i = np.flatnonzero((d <= bits) & (100 * np.minimum(n[1:], n[:-1]) >= SIMILARITY * np.maximum(n[1:], n[:-1])))
-    yield _pairs_of(rows, i, i + 1, d[i])
-
-
-def _all_of(bucket: int, rows: pd.DataFrame, bits: int, dense: int = DENSE, block: int = DENSE_BLOCK):
-    """All candidates of a bucket; where they are more than `dense` for each row, the rows instead, by blocks (b null, d the block, bucket set)."""
-    held, size = [], 0
-    for found in _bucket_pairs(bucket, rows, bits):
-        held.append(_pairs_of(rows, *found))
-        size += len(held[-1])
-        if size > dense * len(rows):
-            place = np.arange(len(rows)) // block
-            yield pd.DataFrame({"a": rows["head"].to_numpy(), "b": pd.array([None] * len(rows), "Int64"), "d": place.astype(np.int32), "bucket": bucket})
-            return
-    yield from held
+    i = np.flatnonzero(rows.code[1:] == rows.code[:-1])
+    yield rows.found(*rows.alike(i, i + 1, bits))
+
+
+def _all_of(rows: _Rows, bits: int, dense: int = DENSE, block: int = DENSE_BLOCK):
+    """All candidates; of buckets where they are more than `dense` for each row the rows instead, by blocks (b null, d the block, bucket set)."""
+    bucket = np.repeat(np.arange(len(rows.edge)), rows.size)
+    count, held = np.zeros(len(rows.edge), np.int64), []
+    for i, j, d in rows.pairs(bits, dense):
+        count += np.bincount(bucket[i], minlength=len(count))
+        few = count[bucket[i]] <= dense * rows.size[bucket[i]]
+        held.append((i[few], j[few], d[few]))
+    many = count > dense * rows.size
+    for i, j, d in held:
+        few = ~many[bucket[i]]
+        yield rows.found(i[few], j[few], d[few])
+    at = np.flatnonzero(many[bucket])
+    place = (at - rows.edge[bucket[at]]) // block
+    yield pd.DataFrame({"a": rows.head[at], "b": pd.array([None] * len(at), "Int64"), "d": place.astype(np.int32), "bucket": rows.code[at].astype(np.int32)})
 
 
 def candidates(heads: DataFrame, which=_all_of, bits: int = STAGE_BITS) -> DataFrame:
@@ -339,25 +378,17 @@ def candidates(heads: DataFrame, which=_all_of, bits: int = STAGE_BITS) -> DataF
     flip = f"if(k % {flips} = 0, 0, shiftleft(1, cast(k % {flips} - 1 as int)))"
     to = to.select("head", "r64", "n", "root", F.expr(f"cast(q * 65536 + ((shiftrightunsigned(r64, 48) & 65535) ^ {flip}) as int)").alias("bucket"))
 
-    def pairs(b):
-        code = b["bucket"].to_numpy()
-        edge = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
-        for lo, hi in zip(edge, np.r_[edge[1:], len(code)]):
-            if hi - lo > 1:
-                rows = b.iloc[lo:hi]
-                yield from which(int(code[lo]), rows.iloc[np.argsort(rows["r64"].to_numpy().view(np.uint64), kind="stable")], bits)
-
     def run(batches):
         held = None
         for b in batches:
             b = b if held is None else pd.concat([held, b], ignore_index=True)
             if len(b):
-                tail = b["bucket"] == b["bucket"].iloc[-1]
-                held, whole = b[tail], b[~tail]
-                if len(whole):
-                    yield from pairs(whole)
+                last = int(np.searchsorted(b["bucket"].to_numpy(), b["bucket"].iloc[-1]))
+                held = b.iloc[last:]
+                if last:
+                    yield from which(_Rows(b.iloc[:last]), bits)
         if held is not None and len(held):
-            yield from pairs(held)
+            yield from which(_Rows(held), bits)
 
     lanes = partitions(heads.sparkSession)
     return to.repartition(lanes, "bucket").sortWithinPartitions("bucket", "head").mapInPandas(run, "a long, b long, d int, bucket int")
