@@ -43,7 +43,7 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
+    return licenses.scan(table(spark, sf_dir, "documents")).withColumn("spans", F.to_json("spans"))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
