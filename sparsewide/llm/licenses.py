@@ -1,7 +1,7 @@
 """License scans: fuzzy search for short notices.
 
-A notice of m characters that occurs with at most k edits, cut into k + 1 seeds, leaves one seed
-untouched (pigeonhole). Each seed is looked up exactly in the normalised text; around its hits the
+A notice that occurs with at most k edits, cut into k + m seeds, leaves m seeds untouched (pigeonhole);
+m is one for short notices and grows with their length. Each seed is looked up exactly in the normalised text; around its hits the
 `regex` library's bounded-error matching, `(?:notice){e<=k}` with the best match asked for, verifies the
 notice and gives its span and edits. Exact occurrences of the base phrases are counted apart.
 
@@ -33,7 +33,7 @@ NOTICES = {
     "licensed under cc by": ("cc-by", 2), "creative commons attribution": ("cc-by", 3), "mozilla public license": ("mpl", 2),
     "redistribution and use in source and binary forms": ("bsd", 4), "all rights reserved": ("all-rights-reserved", 2),
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": ("isc", 8),
-    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation": ("gpl", 12),
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation": ("gpl", 8),
     "you may not use this file except in compliance with the license you may obtain a copy of the license at": ("apache", 8),
     "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": ("mit", 9),
     "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": ("bsd", 9),
@@ -47,7 +47,8 @@ NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97
 class Notice:
     def __init__(self, phrase: str, label: str, edits: int):
         self.phrase, self.label, self.edits = phrase.encode(), label, edits
-        cut = np.linspace(0, len(self.phrase), edits + 2).astype(int)
+        self.least = 1 + len(self.phrase) // 50  # seeds that must be whole; more are cut as the notice is longer
+        cut = np.linspace(0, len(self.phrase), edits + self.least + 1).astype(int)
         self.seeds = [(int(a), self.phrase[a:b]) for a, b in zip(cut, cut[1:])]
         self.fuzzy = regex.compile(rb"(?b)(?<![^ ])(?:%s){e<=%d}(?![^ ])" % (regex.escape(self.phrase), edits))
 
@@ -67,18 +68,20 @@ def _places(norm: bytes, phrase: bytes) -> list[int]:
     return out
 
 
-def _stretches(hits: list[int], n: Notice, reach: int, size: int):
+def _stretches(hits: list[tuple[int, int]], n: Notice, reach: int, size: int):
     """Parts of the text around hits, those that overlap as one; each has all of the notices that its hits can belong to."""
     lo = hi = None
-    for start in hits:
+    seen: set[int] = set()
+    for start, offset in hits:
         a, b = max(0, start - 2 * n.edits), min(size, start + reach + 2 * n.edits)
         if hi is not None and a <= hi:
             hi = max(hi, b)
         else:
-            if hi is not None:
+            if len(seen) >= n.least:
                 yield lo, hi
-            lo, hi = a, b
-    if hi is not None:
+            lo, hi, seen = a, b, set()
+        seen.add(offset)
+    if len(seen) >= n.least:
         yield lo, hi
 
 
@@ -86,11 +89,11 @@ def spans(norm: bytes, notices: list[Notice] = _NOTICES) -> list[tuple[str, int,
     """(label, start, end, edits, length of the notice) in bytes of the normalised text; the best match near each group of seed hits."""
     out = []
     for n in notices:
-        reach, hits = len(n.phrase) + n.edits, set()
+        reach, hits = len(n.phrase) + n.edits, []
         for offset, seed in n.seeds:
             at = -1
             while (at := norm.find(seed, at + 1)) >= 0:
-                hits.add(max(0, at - offset))
+                hits.append((max(0, at - offset), offset))
         for lo, hi in _stretches(sorted(hits), n, reach, len(norm)):
             parts = [(lo, hi)]
             while parts:  # the best match, then what is left on both sides of it
