@@ -29,7 +29,7 @@ joins. One row a language (totals and discounts) reaches the driver.
 
 Defined cases: null text has no words and fails the base rules. Null language is a language of its own. A language without a document that passes the base rules
 has no band. Repeated rows each get their row and count once. Very long texts make a block of their own and are taken whole. Different
-words of equal hash share their counts. Other columns are ignored, whatever their names. Empty tables: no rows.
+words of equal hash share their counts; no probability becomes zero by that. Other columns are ignored, whatever their names. Empty tables: no rows.
 """
 
 from __future__ import annotations
@@ -243,15 +243,18 @@ def _log_p(own: Words, pairs: np.ndarray, words: np.ndarray, laws: dict) -> np.n
     gone = np.bincount(of_dc, n == 0).astype(np.int64)
     dcw, dcl = dc % max(len(own.words), 1), own.doc_lang[dc // max(len(own.words), 1)] if len(dc) else dc
     m_all = words[5][dcw]
-    m = m_all - gone
+    m = np.maximum(m_all - gone, 0)
     dcd = dc // max(len(own.words), 1)
     m_total = every[own.doc_lang] - np.bincount(dcd, gone, own.n_docs)
     m_back = back[own.doc_lang] - np.bincount(dcd, d1[dcl, cut3(m_all)] - d1[dcl, cut3(m)], own.n_docs)
+    # where hashes of different words met, one may miss types: what is left to the lower order is at least one type's discount
+    least2, least1 = d2[:, 1:].min(axis=1), d1[:, 1:].min(axis=1)
+    m_back = np.maximum(m_back, least1[own.doc_lang])
     # the lower order, per (document, word)
     with np.errstate(divide="ignore", invalid="ignore"):
         p1 = np.where(m_total[dcd] > 0, np.maximum(m - d1[dcl, cut3(m)], 0) / m_total[dcd] + m_back[dcd] / m_total[dcd] / size[dcl], 1 / size[dcl])
         t = words[1][b] - own_t[of_db]
-        left = (words[2:5][:, b] * d2[l2, 1:].T).sum(axis=0) - less[of_db]
+        left = np.maximum((words[2:5][:, b] * d2[l2, 1:].T).sum(axis=0) - less[of_db], least2[l2])
         p2 = np.where(t > 0, np.maximum(n - d2[l2, cut3(n)], 0) / t + left / t * p1[of_dc], p1[of_dc])
     return np.log(p2)[of_dp] if len(lang) else np.zeros(0)
 
