@@ -120,3 +120,27 @@ def bitmap_ids(bits: DataFrame) -> DataFrame:
     byte = F.posexplode(F.transform(F.sequence(F.lit(1), F.length("bits")), lambda k: F.conv(F.hex(F.substring(F.col("bits"), k, F.lit(1))), 16, 10).cast("int"))).alias("at", "byte")
     each = bits.select("bucket", byte).filter("byte != 0").select("bucket", "at", F.explode(F.filter(F.sequence(F.lit(0), F.lit(7)), lambda b: F.expr("byte").bitwiseAND(F.call_function("shiftleft", F.lit(1), b)) != 0)).alias("bit"))
     return each.select(((F.col("bucket") - 1) * 32768 + F.col("at") * 8 + F.col("bit") + 1).alias("_id"))
+
+
+#: Bits of an id below its shard.
+SHARD_BITS = 20
+
+
+def shards(df: DataFrame) -> DataFrame:
+    """(shard, n): the shards that hold records, and how many."""
+    return df.groupBy(F.shiftright("_id", SHARD_BITS).alias("shard")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def seek(ids: DataFrame, at: int | None = None, *, back: bool = False, strict: bool = False) -> DataFrame:
+    """The first id from `at` on (the last one up to `at`, if back), as one row or none; strict leaves `at` itself out. Without `at` the first or last of all."""
+    c = F.col("_id")
+    if at is not None:
+        ids = ids.filter((c < at if strict else c <= at) if back else (c > at if strict else c >= at))
+    return ids.agg((F.max if back else F.min)("_id").alias("_id")).filter("_id IS NOT NULL")
+
+
+def keys(df: DataFrame, name: str, *, pattern: str | None = None) -> DataFrame:
+    """The distinct keys of a field, or those that match a pattern as a whole; the files' own dictionaries translate them."""
+    value = F.explode(name) if dict(df.dtypes)[name].startswith("array") else F.col(name)
+    out = df.select(value.alias("key")).filter("key IS NOT NULL").distinct()
+    return out if pattern is None else out.filter(F.col("key").rlike(f"^(?:{pattern})$"))

@@ -49,7 +49,7 @@ def _script(name: str, duck: str, *statements: str) -> None:
     def run(spark, d):
         session = Session(spark, load(spark, d))
         for statement in statements[:-1]:
-            session.sql(statement)
+            session.sql(statement.replace("{dir}", d))
         return session.sql(statements[-1])
 
     QUERIES[name], SQL[name] = run, _duck(duck)
@@ -420,3 +420,29 @@ _script("sql_show_create_table", "SELECT 'CREATE TABLE items (_id id, name strin
 _script("sql_databases", "SELECT * FROM (VALUES ('default', NULL, NULL), ('lake', 'cold', 4)) x(name, comment, units)", "CREATE DATABASE lake WITH UNITS 2", "CREATE DATABASE gone", "ALTER DATABASE lake SET UNITS 4 COMMENT 'cold'", "DROP DATABASE gone", "SHOW DATABASES")
 _script("sql_function", "SELECT p_partkey, p_size * 2 + 1 AS x FROM part", "CREATE FUNCTION twice(@n INT, @more INT) RETURNS INT AS (@n * 2 + @more)", "SELECT p_partkey, twice(p_size, 1) AS x FROM part")
 _script("sql_copy", "SELECT count(*) AS n FROM part", "COPY part TO copied", "DROP TABLE part", "SELECT COUNT(*) AS n FROM copied")
+_script("sql_bulk_insert", "SELECT p_partkey AS _id, upper(p_name) AS name, CAST(p_size AS BIGINT) AS size FROM part", "CREATE TABLE items (_id ID, name STRING, size INT)",
+        "BULK INSERT INTO items (_id, name, size) MAP ('p_partkey' ID, 'p_name' STRING, 'p_size' INT) TRANSFORM (@0, UPPER(@1), @2) FROM '{dir}/part.parquet' WITH BATCHSIZE 1000 FORMAT 'PARQUET' INPUT 'FILE'", "SELECT _id, name, size FROM items")
+_sql("implicit_coercion", "SELECT event_id, value > 10 AS large, event_id + 0.5 > 100 AS later FROM events WHERE ts >= '2024-01-05' AND ts < '2024-01-06T12:00:00'",
+     "SELECT event_id, value > 10 AS large, event_id + 0.5 > 100 AS later FROM events WHERE ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts < TIMESTAMP '2024-01-06 12:00:00'")
+
+
+@_frame("sql_variable", "SELECT p_partkey FROM part WHERE p_size > 40 AND p_brand = 'Brand#2'")
+def _(t):
+    return Session(t["part"].sparkSession, t).sql("SELECT p_partkey FROM part WHERE p_size > @least AND p_brand = @brand", least=40, brand="Brand#2")
+
+
+@_frame("dsl_shards", "SELECT o_orderkey >> 20 AS shard, count(*) AS n FROM orders GROUP BY 1")
+def _(t):
+    return L.shards(t["orders"].select(F.col("o_orderkey").alias("_id")))
+
+
+@_frame("cursor_seek", "SELECT (SELECT min(_id) FROM part_tags WHERE size > 40 AND _id >= 500) AS next, (SELECT max(_id) FROM part_tags WHERE size > 40 AND _id < 500) AS prev, (SELECT max(_id) FROM part_tags WHERE size > 40) AS last")
+def _(t):
+    ids = t["part_tags"].filter("size > 40")
+    named = lambda df, n: df.select(F.col("_id").alias(n))
+    return named(L.seek(ids, 500), "next").crossJoin(named(L.seek(ids, 500, back=True, strict=True), "prev")).crossJoin(named(L.seek(ids, back=True), "last"))  # one row each
+
+
+@_frame("key_search", "SELECT DISTINCT t AS key FROM (SELECT unnest(tags) AS t FROM part_tags) WHERE regexp_full_match(t, '[a-m].*|Brand#1.')")
+def _(t):
+    return L.keys(t["part_tags"], "tags", pattern="[a-m].*|Brand#1.")

@@ -131,6 +131,22 @@ class Tables(MutableMapping):
     def __len__(self) -> int:
         return len(self._held)
 
+    def rename(self, old: str, new: str) -> None:
+        if new in self._held:
+            raise ValueError(f"table {new} exists")
+        self._held[new] = self._held.pop(old)
+
+    def names(self, prefix: str = "") -> list[str]:
+        """The names that begin with the prefix, in order."""
+        return sorted(n for n in self._held if n.startswith(prefix))
+
+    def drop_prefix(self, prefix: str) -> int:
+        """Drops all tables whose names begin with the prefix; how many they were."""
+        found = self.names(prefix)
+        for n in found:
+            del self._held[n]
+        return len(found)
+
 
 def load(spark: SparkSession, sf_dir: str) -> Tables:
     """The plain tables and the derived frames; only those that are used are opened."""
@@ -139,3 +155,13 @@ def load(spark: SparkSession, sf_dir: str) -> Tables:
     for n in DERIVED:
         out._held[n] = lambda n=n: derived(plain, n)
     return out
+
+
+def rows_of(df: DataFrame) -> Iterator[dict]:
+    """A result as a stream of messages: its schema, its rows one by one, and the end; partitions are fetched one at a time."""
+    yield {"schema": [{"name": f.name, "type": f.dataType.simpleString()} for f in df.schema]}
+    n = 0
+    for row in df.toLocalIterator():
+        yield {"row": list(row)}
+        n += 1
+    yield {"done": n}

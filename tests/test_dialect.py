@@ -210,3 +210,17 @@ def test_unused_tables_are_not_opened(spark, tmp_path):
     spark.range(3).withColumnRenamed("id", "p_partkey").write.parquet(f"{tmp_path}/part.parquet")
     session = Session(spark, load(spark, str(tmp_path)))  # no other table exists
     assert session.sql("SELECT COUNT(*) AS n FROM part").first()["n"] == 3
+
+
+def test_catalog_names_and_result_messages(spark):
+    from sparsewide.sources.catalog import Tables, rows_of
+
+    held = Tables({n: spark.range(k + 1) for k, n in enumerate(["a_1", "a_2", "b"])})
+    held.rename("a_1", "c")
+    assert held.names() == ["a_2", "b", "c"] and held.drop_prefix("a_") == 1 and held.names("b") == ["b"] and held["c"].count() == 1
+    with pytest.raises(ValueError):
+        held.rename("b", "c")
+    assert list(rows_of(spark.range(2))) == [{"schema": [{"name": "id", "type": "bigint"}]}, {"row": [0]}, {"row": [1]}, {"done": 2}]
+    ids = spark.createDataFrame([(3,), (5,), (9,)], "_id long")
+    at = lambda *a, **k: [r["_id"] for r in filters.seek(ids, *a, **k).collect()]
+    assert (at(), at(5), at(5, strict=True), at(4, back=True), at(3, back=True, strict=True), at(10)) == ([3], [5], [9], [3], [], [])
