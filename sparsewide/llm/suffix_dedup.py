@@ -14,9 +14,10 @@ into blocks of about `block` bytes, sorted by doc_id inside, which are written o
    samples are never sorted themselves, and a task holds `bucket` samples.
 3. Each block marks the bytes of repeated suffixes.
 
-A window and its surroundings enter once a block, so copies do not enlarge a bucket. A window that more than `hot` blocks hold (a common line, with other text
-around it each time) is dealt out instead: its suffixes go by the 128-bit hash of their whole string, once a block, to an aggregation that combines before it
-shuffles. Only there equality is of hashes; two different strings among n meet with a chance of n * n / 2**129.
+Documents that are copies of an earlier one as a whole (by 128-bit digests) lose all their bytes and take no further part. A window and its surroundings enter once
+a block, so repeated passages do not enlarge a bucket. A window that stands at more than `hot` places (a common line, with other text around it each time) is dealt
+out instead: its suffixes go by the 128-bit hash of their whole string, once a block, to an aggregation that combines before it
+shuffles. Only there and for whole documents equality is of hashes; two different strings among n meet with a chance of n * n / 2**129.
 
 Scale: a row between tasks holds at least one sample, so rows never exceed samples; take larger blocks and buckets for larger machines. Nothing but three totals
 reaches the driver.
@@ -32,15 +33,16 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bucketed, removed, written
-from .hash_arrays import cuts, deltas, mixed, opened, powers, squeeze, values
+from .hash_arrays import cuts, deltas, mixed, opened, powers, small, squeeze, unsmall, values
 
-LENGTH, BLOCK, BUCKET, HOT = 100, 2 << 20, 1 << 17, 256
+LENGTH, BLOCK, BUCKET, HOT = 100, 4 << 20, 1 << 17, 1 << 17
 #: A perfect difference cover: each residue but 0 is one difference.
 PERIOD, DIFFERENCE_COVER = 57, (0, 1, 3, 13, 32, 36, 43, 52)
 BITS = 48
@@ -56,6 +58,8 @@ class Block:
         self.lens = np.array(row["lens"], np.int64)
         self.ends = np.cumsum(self.lens)
         self.starts = self.ends - self.lens
+        self.copy = np.ones(len(self.lens), bool)
+        self.copy[row["firsts"] or []] = False
         self.ids = np.array([_NONE if d is None else d for d in row["doc_ids"]], np.int64)
         self.at = self._samples()
         self.sample_prints = self.prints(self.at, self.window) >> np.uint64(64 - BITS)
@@ -63,14 +67,21 @@ class Block:
 
     def prints(self, at: np.ndarray, n: int, table: int = 0) -> np.ndarray:
         """Hashes of the strings of n bytes from each place on."""
-        up, down = powers(len(self.data) + 1)
-        sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(_T[table][self.data] * up[: len(self.data)], out=sums[1:])
-        return mixed((sums[at + n] - sums[at]) * down[at])
+        out, step = np.zeros(len(at), np.uint64), 1 << 19
+        up, down = powers(step + n + 1)
+        edge = np.searchsorted(at, np.arange(0, len(self.data) + step, step)).tolist()  # places ascend; a stretch of the text at a time
+        for k, (lo, hi) in enumerate(zip(edge, edge[1:])):
+            if lo < hi:
+                part = self.data[k * step : (k + 1) * step + n]
+                sums = np.zeros(len(part) + 1, np.uint64)
+                np.cumsum(_T[table][part] * up[: len(part)], out=sums[1:])
+                here = at[lo:hi] - k * step
+                out[lo:hi] = mixed((sums[here + n] - sums[here]) * down[here])
+        return out
 
     def _samples(self) -> np.ndarray:
         """Sampled places of which the window lies in a document that is long enough to hold a repeat."""
-        long = self.lens >= self.length
+        long = (self.lens >= self.length) & ~self.copy
         if not long.any():
             return np.zeros(0, np.int64)
         all_at = (np.arange(0, int(self.lens.max()), PERIOD)[:, None] + np.array(DIFFERENCE_COVER)).ravel()
@@ -150,15 +161,15 @@ def repeated(rows: np.ndarray, when: np.ndarray, length: int) -> np.ndarray:
 
 
 def pack(docs: DataFrame, id_col: str, text_col: str, block: int) -> DataFrame:
-    """Blocks of documents: block, n_bytes, doc_ids, lens, data."""
-    schema = pa.schema([("block", pa.int64()), ("n_bytes", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lens", pa.list_(pa.int64())), ("data", pa.binary())])
+    """Blocks of documents: block, n_bytes, doc_ids, lens, digests, data."""
+    schema = pa.schema([("block", pa.int64()), ("n_bytes", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lens", pa.list_(pa.int64())), ("digests", pa.list_(pa.binary())), ("data", pa.binary())])
 
     def run(batches):
         part, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
 
         def row():
             held.sort(key=lambda d: (d[0] is not None, d[0] or 0))
-            cols = {"block": [(part << 24) + seq], "n_bytes": [size], "doc_ids": [[d[0] for d in held]], "lens": [[len(d[1]) for d in held]], "data": [b"".join(d[1] for d in held)]}
+            cols = {"block": [(part << 24) + seq], "n_bytes": [size], "doc_ids": [[d[0] for d in held]], "lens": [[len(d[1]) for d in held]], "digests": [[xxhash.xxh3_128_digest(d[1]) for d in held]], "data": [b"".join(d[1] for d in held)]}
             return pa.RecordBatch.from_pydict(cols, schema=schema)
 
         for b in batches:
@@ -172,7 +183,7 @@ def pack(docs: DataFrame, id_col: str, text_col: str, block: int) -> DataFrame:
             yield row()
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return narrow.mapInArrow(run, "block long, n_bytes long, doc_ids array<bigint>, lens array<bigint>, data binary")
+    return narrow.mapInArrow(run, "block long, n_bytes long, doc_ids array<bigint>, lens array<bigint>, digests array<binary>, data binary")
 
 
 def _each(batches):
@@ -204,12 +215,12 @@ _TOLD = "r int, block long, bits binary, n long, n_hot long"
 
 def _elsewhere(hot: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        """Which keys of a block stand in another block too, and in more than `hot` blocks."""
+        """Which keys of a block stand in another block too, and at more than `hot` places."""
         keys = [values(k) for k in group["keys"]]
         every, of = np.unique(np.concatenate(keys), return_inverse=True)
-        n = np.bincount(of)[of]
+        n, places = np.bincount(of)[of], np.bincount(of, np.concatenate([unsmall(c) for c in group["counts"]]))[of]
         edge = np.cumsum([0, *map(len, keys)])
-        parts = [np.stack([n[a:b] > 1, n[a:b] > hot]) for a, b in zip(edge, edge[1:])]
+        parts = [np.stack([n[a:b] > 1, places[a:b] > hot]) for a, b in zip(edge, edge[1:])]
         return pd.DataFrame({"r": group["r"], "block": group["block"], "bits": [_packed(x) for x in parts], "n": [int(x[0].sum()) for x in parts], "n_hot": [int(x[1].sum()) for x in parts]})
 
     return run
@@ -236,11 +247,17 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     if not PERIOD < length < 256:
         raise ValueError(f"length must be over {PERIOD} and below 256")
     with bucketed(pack(docs, id_col, text_col, block), "block", "suffix-blocks") as blocks:
-        return _repeats(blocks, length, bucket, hot).withColumnRenamed("doc_id", id_col)
+        whole = blocks.select("block", F.posexplode(F.arrays_zip("digests", "doc_ids")).alias("i", "d"))
+        first = whole.groupBy("d.digests").agg(F.min(F.struct("d.doc_ids", "block", "i")).alias("first"))  # nulls come first
+        firsts = written(first.groupBy(F.col("first.block").alias("block")).agg(F.collect_list("first.i").alias("firsts")), "firsts")
+        total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
+        known = blocks.drop("digests", "n_bytes").join(firsts.hint("shuffle_hash"), "block", "left")
+        out = _repeats(known, total, length, bucket, hot).withColumnRenamed("doc_id", id_col)
+        removed(docs.sparkSession, firsts)
+        return out
 
 
-def _repeats(blocks: DataFrame, length: int, bucket: int, hot: int) -> DataFrame:
-    total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
+def _repeats(blocks: DataFrame, total: int, length: int, bucket: int, hot: int) -> DataFrame:
     ranges = 1 + total * len(DIFFERENCE_COVER) // PERIOD // (8 * bucket)
 
     def ask_samples(batches):
@@ -248,9 +265,9 @@ def _repeats(blocks: DataFrame, length: int, bucket: int, hot: int) -> DataFrame
             own = Block(row, length)
             cut = cuts(own.keys, ranges, BITS)
             some = [k for k in range(ranges) if cut[k] < cut[k + 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([row["block"]] * len(some), pa.int64()), pa.array([deltas(own.keys[cut[k] : cut[k + 1]]) for k in some], pa.binary())], ["r", "block", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([row["block"]] * len(some), pa.int64()), pa.array([deltas(own.keys[cut[k] : cut[k + 1]]) for k in some], pa.binary()), pa.array([small(own.counts[cut[k] : cut[k + 1]]) for k in some], pa.binary())], ["r", "block", "keys", "counts"])
 
-    asked = blocks.mapInArrow(ask_samples, "r int, block long, keys binary")
+    asked = blocks.mapInArrow(ask_samples, "r int, block long, keys binary, counts binary")
     samples = _by_block(asked.groupBy("r").applyInPandas(_elsewhere(hot), _TOLD), "samples")
     n, n_hot = samples.agg(F.sum("n"), F.sum("n_hot")).first()
     buckets = 1 + (n or 0) // bucket
@@ -276,7 +293,7 @@ def _repeats(blocks: DataFrame, length: int, bucket: int, hot: int) -> DataFrame
                 ["r", "block", "rows", "at", "doc"],
             )
 
-    left = blocks.join(samples.select("block", F.col("answers").alias("shared")).hint("shuffle_hash"), "block", "left").select("block", "doc_ids", "lens", "data", "shared")
+    left = blocks.join(samples.select("block", F.col("answers").alias("shared")).hint("shuffle_hash"), "block", "left").select("block", "doc_ids", "lens", "data", "firsts", "shared")
     asked = left.mapInArrow(ask_buckets, "r int, block long, rows binary, at binary, doc binary")
     earlier = _by_block(asked.groupBy("r").applyInPandas(_bucket(length), _TOLD), "suffixes")
     both = left.join(earlier.select("block", F.col("answers").alias("earlier")).hint("shuffle_hash"), "block", "left")
@@ -299,6 +316,7 @@ def _repeats(blocks: DataFrame, length: int, bucket: int, hot: int) -> DataFrame
             step = gone.astype(np.int32)
             step[length:] -= gone[:-length] if len(gone) > length else gone[:0]
             cut = np.cumsum(step[:-1]) > 0
+            cut |= np.repeat(own.copy & (own.lens >= length), own.lens)
             out = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")}
             for key, lo, hi in zip(row["doc_ids"], own.starts.tolist(), own.ends.tolist()):
                 c = cut[lo:hi]
@@ -308,7 +326,7 @@ def _repeats(blocks: DataFrame, length: int, bucket: int, hot: int) -> DataFrame
                     out[k].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=_OUT)
 
-    out = written(both.select("block", "doc_ids", "lens", "data", "shared", "earlier", "dealt").mapInArrow(mark, _OUT_SQL), "repeats")
+    out = written(both.select("block", "doc_ids", "lens", "data", "firsts", "shared", "earlier", "dealt").mapInArrow(mark, _OUT_SQL), "repeats")
     for used in (samples, earlier, *([dealt] if n_hot else [])):
         removed(out.sparkSession, used)
     return out

@@ -205,6 +205,36 @@ def test_shards_decode_documents_and_spans():
         assert (shard.span(a, b) == every[a:b]).all()
 
 
+def test_repair_goes_on_until_no_pair_occurs_twice():
+    rng = np.random.default_rng(5)
+    words = [rng.integers(1, 90_000, n) for n in rng.integers(1, 9, 300)]
+    docs = [np.r_[np.concatenate([words[k] for k in (300 * rng.random(200) ** 2).astype(int)]), 0].astype(np.uint32) for _ in range(60)] + [np.r_[np.full(999, 7), 0].astype(np.uint32)]
+    ids = np.concatenate(docs)
+    s, rules = token_output.repair(ids, base=90_000)
+    seen, last = Counter(), {}
+    for k, pair in enumerate(zip(s.tolist(), s[1:].tolist())):
+        if 0 not in pair and last.get(pair, -2) != k - 1:  # without overlap
+            seen[pair] += 1
+            last[pair] = k
+    assert max(seen.values()) == 1
+    uses = Counter(s.tolist()) + Counter(rules.ravel().tolist())
+    assert all(uses[90_000 + k] for k in range(len(rules))) and len(s) < len(ids) / 3
+    shard = token_output.Shard(token_output.pack(docs))
+    assert shard.base == ids.max() + 1 and (shard.ids() == ids).all() and all((shard.document(k) == d).all() for k, d in enumerate(docs))
+    assert (shard.span(5000, 5100) == ids[5000:5100]).all()
+
+
+def test_other_tokenizers_get_whole_texts():
+    import json
+
+    from tokenizers import Tokenizer
+
+    spec = json.loads(Tokenizer.from_file(tokenizer_path()).to_str())
+    assert token_output.splits_as_here(spec)
+    assert not token_output.splits_as_here(spec | {"normalizer": {"type": "Lowercase"}}) and not token_output.splits_as_here(spec | {"pre_tokenizer": {"type": "Whitespace"}})
+    assert not token_output.splits_as_here(spec | {"added_tokens": [{"content": "[END]"}]})
+
+
 # 5
 
 
@@ -368,7 +398,7 @@ def brute_repeats(texts, n):
     return out
 
 
-@pytest.mark.parametrize(("block", "hot"), [(300, 256), (1 << 20, 256), (300, 1), (300, 3), (2000, 0)])
+@pytest.mark.parametrize(("block", "hot"), [(300, 99999), (1 << 20, 99999), (300, 1), (300, 3), (2000, 0)])
 def test_suffix_repeats_match_brute_force(spark, docs, block, hot):
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows(suffix_dedup.repeats(docs, block=block, bucket=300, hot=hot))}
     want = dict(zip((r[0] for r in corpus()), brute_repeats([(r[1] or "").encode() for r in corpus()], 100)))
