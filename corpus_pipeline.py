@@ -39,7 +39,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A source's blocks repeat only after all were taken, so a document is taken whole a number of times, but for the one at the source's last block: of that the
     words taken beyond whole times come as a row of their own, joined by single spaces. Documents without a word, or that the mix does not come to, go.
     """
-    taken = written(mixing.taken(docs.select(_key(docs).alias("doc_id"), "text", "source")), "mix").filter("taken > 0")
+    taken = mixing.taken(docs.select(_key(docs).alias("doc_id"), "text", "source")).filter("taken > 0")
     times = taken.groupBy(F.col("doc_id").alias("_key")).agg(F.max("taken").alias("_taken"), F.max("size").alias("_size"))
     rows = docs.join(times, _key(docs) == F.col("_key"))
     rows = rows.withColumn("_whole", F.expr("_taken div _size")).withColumn("_rest", F.expr("_taken % _size"))

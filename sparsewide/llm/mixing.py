@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import WORD, written
+from .common import WORD, removed, written
 
 WEIGHTS = (1, 2, 3)
 EPOCHS = 3
@@ -116,11 +116,14 @@ def _numbered(sized: DataFrame, sources: list[tuple]) -> tuple[DataFrame, DataFr
 
 def plan(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, epochs: int = EPOCHS, block: int = BLOCK,
-    seed: str = "", max_sources: int = 100_000,
+    seed: str = "", max_sources: int = 100_000, sizes: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(pieces, documents). pieces: slot, doc_id, src, from_word, n_words, the mix in slot order. documents: doc_id, source, size, src, source_size, target."""
+    """(pieces, documents). pieces: slot, doc_id, src, from_word, n_words, the mix in slot order. documents: doc_id, source, size, src, source_size, target.
+
+    `sizes` are (doc_id, source, size) where they are known already.
+    """
     spark = docs.sparkSession
-    sized = written(_sized(docs, id_col, text_col, source_col), "sizes")  # each text is read once
+    sized = _sized(docs, id_col, text_col, source_col) if sizes is None else sizes
     sources = _sources(sized, weights, epochs, max_sources)
     sized, _ = _numbered(sized, sources)
     laid = laid_out(sized, seed)
@@ -139,7 +142,9 @@ def taken(docs: DataFrame, **kw) -> DataFrame:
     Rows that share a doc_id and source get the mean of what their rows take, rounded down and held to `epochs` times their size.
     """
     epochs = kw.get("epochs", EPOCHS)
-    pieces, sized = plan(docs, **kw)
+    own = {k: kw[k] for k in ("id_col", "text_col", "source_col") if k in kw}
+    read = written(_sized(docs, **{"id_col": "doc_id", "text_col": "text", "source_col": "source"} | own), "sizes")  # each text is read once
+    pieces, sized = plan(docs, sizes=read, **kw)
     got = pieces.groupBy("src", "doc_id").agg(F.sum("n_words").alias("got")).withColumnsRenamed({"src": "_s", "doc_id": "_d"})
     rows = sized.groupBy("src", "doc_id", "size", "source_size", "target").agg(F.count(F.lit(1)).alias("rows"))
     alike = rows.groupBy("src", "doc_id").agg(F.sum(F.col("size") * F.col("rows")).alias("all"))
@@ -147,4 +152,6 @@ def taken(docs: DataFrame, **kw) -> DataFrame:
     out = rows.join(got, (F.col("src") == F.col("_s")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left").join(alike, (F.col("src") == F.col("_s2")) & F.col("doc_id").eqNullSafe(F.col("_d2")))
     share = F.expr("coalesce(got, 0) * size div greatest(all, 1)")
     out = out.withColumn("taken", F.least(share, F.col("size") * epochs)).withColumn("i", F.explode(F.expr("sequence(1L, rows)")))
-    return out.select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
+    out = written(out.select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken")), "mix")
+    removed(docs.sparkSession, read)
+    return out

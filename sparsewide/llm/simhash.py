@@ -34,16 +34,17 @@ from pyspark.sql import functions as F
 
 from .common import partitions, removed, written
 from .components import components
+from .hash_arrays import mixed
 
 BUDGET = 2
-NODE = 4096
+NODE = 1 << 18
 STEP_BITS = 6
 #: First bit and number of bits of the three thirds.
 THIRDS = ((0, 21), (21, 21), (42, 22))
 #: Candidates for each row above which a bucket is verified by blocks of rows, and rows of a block.
-DENSE, DENSE_BLOCK = 4, 1024
-#: Of one_of_each: words a shingle, least Jaccard similarity in hundredths, bits up to which pairs are compared.
-STAGE_SHINGLE, SIMILARITY, STAGE_BITS = 5, 80, 14
+DENSE, DENSE_BLOCK = 3, 1024
+#: Of one_of_each: words a shingle, least Jaccard similarity in hundredths, bits up to which pairs are compared, and those of two fingerprints together.
+STAGE_SHINGLE, SIMILARITY, STAGE_BITS, BOTH_BITS = 5, 80, 14, 28
 _HASH = xxhash.xxh64_intdigest
 
 
@@ -227,11 +228,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     of = heads.join(roots, F.col("fp") == F.col("v"), "left").select("fp", "head", F.coalesce("root", "fp").alias("root"))
     least = of.groupBy("root").agg(F.min("head").alias("component_id"))
     of = of.join(least, "root").join(degree, F.col("fp") == F.col("v"), "left").select("fp", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    of = written(of, "components")
-    removed(docs.sparkSession, pairs)
-    return fps.join(of, "fp").select(
-        F.col("doc_id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_links"
-    )
+    out = fps.join(of, "fp").select(F.col("doc_id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_links")
+    out = written(out, "duplicates")
+    for used in (fps, heads, pairs, roots):
+        removed(docs.sparkSession, used)
+    return out
 
 
 def shingle_set(text: str | None, shingle: int = STAGE_SHINGLE) -> np.ndarray:
@@ -241,15 +242,16 @@ def shingle_set(text: str | None, shingle: int = STAGE_SHINGLE) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
-    """(_row, key, fp, n): digest of the shingle set, SimHash over it, its size."""
+    """(_row, key, fp, fp2, n): digest of the shingle set, SimHash over it and over other hashes of it, its size."""
 
     def run(batches):
         for b in batches:
             sets = [shingle_set(t, shingle) for t in b["text"]]
             fps = np.array([_majority(s) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
-            yield pd.DataFrame({"_row": b["_row"], "key": [xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets], "fp": fps, "n": [len(s) for s in sets]})
+            again = np.array([_majority(mixed(s)) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
+            yield pd.DataFrame({"_row": b["_row"], "key": [xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets], "fp": fps, "fp2": again, "n": [len(s) for s in sets]})
 
-    return docs.select("_row", F.col(text_col).alias("text")).mapInPandas(run, "_row long, key string, fp long, n long")
+    return docs.select("_row", F.col(text_col).alias("text")).mapInPandas(run, "_row long, key string, fp long, fp2 long, n long")
 
 
 def _node_pairs(fp: np.ndarray, root: np.ndarray, bits: int, leaf: int = 512):
@@ -314,7 +316,7 @@ class _Rows:
     def found(self, i, j, d) -> pd.DataFrame:
         return pd.DataFrame({"a": np.minimum(self.head[i], self.head[j]), "b": np.maximum(self.head[i], self.head[j]), "d": d, "bucket": np.int32(-1)})
 
-    def pairs(self, bits: int, enough: int, small: int = 256, step: int = 1 << 20):
+    def pairs(self, bits: int, enough: int, small: int = 256, step: int = 1 << 18):
         """(places of the pairs, differing bits), in blocks of bounded size: small buckets whole, in large ones by the trie, until there are more than `enough` a row."""
         rest = np.repeat(np.where(self.size <= small, self.size, 0), self.size)
         rest = np.maximum(np.repeat(self.edge, self.size) + rest - np.arange(len(rest)) - 1, 0)  # partners after each row
@@ -478,21 +480,36 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     trie. Where candidates stay many (over `dense` a row), as among texts that are alike but not enough, no pairs are made: blocks of the bucket meet in tasks of their
     own, which hold 2 * `block` sets and give only as many links as connect them.
 
-    Rows with null or empty text have an empty set and are copies of each other. Rows that repeat an id are told apart by text. Very long texts are read whole.
-    Columns keep their names, but for `_row`, which the input must not have. Empty tables: no rows.
+    Candidates must agree in a second fingerprint too, which keeps chance pairs of a large corpus from verification.
+
+    Rows with null or empty text have an empty set and are copies of each other. Rows that repeat an id are told apart by their other columns; of rows that agree in
+    all, one is kept. (Rows are known by 64-bit hashes: among n, a pair meets with a chance of n * n / 2**65.) Very long texts are read whole. Columns keep their
+    names, but for `_row`, which the input must not have. Empty tables: no rows.
     """
     spark = docs.sparkSession
-    keyed = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    keyed = docs.withColumn("_row", F.xxhash64(*docs.columns))
     order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id"), F.col("_row"))
-    signed = _signed(keyed, text_col, shingle).join(keyed.select("_row", F.col(id_col).alias("_id")), "_row")
-    heads = written(signed.groupBy("key").agg(F.min_by("_row", order).alias("head"), F.min(order).alias("o"), F.min("fp").alias("fp"), F.min("n").alias("n")).drop("key"), "heads")
-    links, roots = None, None
+    known = keyed.select("_row", F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
+    signed = written(_signed(known, "text", shingle), "signed")
+    repeats = written(signed.groupBy("_row").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_row"), "repeats")
+    ids = known.select("_row", "_id").distinct()
+    heads = signed.distinct().join(ids, "_row")
+    heads = heads.groupBy("key").agg(F.min_by("_row", order).alias("head"), F.min(order).alias("o"), *[F.min(c).alias(c) for c in ("fp", "fp2", "n")]).drop("key")
+    heads = written(heads, "heads")
+    removed(spark, signed)
+    links, roots, other = None, None, heads.select("head", "fp2")
     for which in (_neighbours, partial(_all_of, dense=dense, block=block)):
         now = heads.filter("n > 0").select("head", "fp", "n")
         now = now.withColumn("root", F.col("head")) if roots is None else now.join(roots, F.col("head") == F.col("v"), "left").select("head", "fp", "n", F.coalesce("root", "head").alias("root"))
-        found = _verified(candidates(now, which, bits), keyed, text_col, shingle)
+        pairs = candidates(now, which, bits).join(other.toDF("a", "fa"), "a").join(other.toDF("b", "fb"), "b", "left")
+        pairs = pairs.filter(F.col("b").isNull() | (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) + F.col("d") <= BOTH_BITS)).select("a", "b", "d", "bucket")
+        found = _verified(pairs, keyed, text_col, shingle)
         links = found if links is None else links.union(found)
         roots = components(links)
     of = heads.join(roots, F.col("head") == F.col("v"), "left")
-    first = of.groupBy(F.coalesce("root", "head").alias("root")).agg(F.min_by("head", "o").alias("_row"))
-    return keyed.join(first, "_row", "left_semi").drop("_row")
+    first = written(of.groupBy(F.coalesce("root", "head").alias("root")).agg(F.min_by("head", "o").alias("_row")).select("_row"), "kept")
+    kept = keyed.join(first, "_row", "left_semi")
+    if repeats.limit(1).count():  # only these rows are sorted
+        again = kept.join(repeats, "_row", "left_semi").dropDuplicates(["_row"])
+        kept = kept.join(repeats, "_row", "left_anti").unionByName(again)
+    return kept.drop("_row")
