@@ -2,8 +2,8 @@
 
 Documents are dealt by ranges of doc_id, encoded, closed with the end id, and packed in order into
 shards of about `shard_ids` ids. In each shard frequent pairs of neighbouring symbols are replaced by
-new symbols, round after round; rules and their expansion lengths are stored with the shard, so any
-document or span of ids is decoded without the rest. The end id takes part in no rule, so every
+new symbols, round after round, until no pair occurs twice; rules and their expansion lengths are stored
+with the shard, so any document or span of ids is decoded without the rest. The end id takes part in no rule, so every
 document ends on a symbol.
 
 A shard is one self-described binary value (below) in a row of a Parquet table: Spark's writer commits
@@ -15,11 +15,16 @@ it atomically and retries are safe, on any file system; decoders need only the v
 
 Defined cases: null text is empty (only the end id). Rows that repeat a doc_id are written next to each
 other, ordered by text; null doc_ids come first. An empty table gives an empty file. A document longer
-than a shard makes a larger shard.
+than a shard makes a larger shard. Ids of any size below 2**31 are compressed; new symbols start above
+the largest. Other columns are ignored, whatever their names.
+
+Pieces are split by a copy of the byte-level tokenizers' own pattern, and only if the tokenizer's file
+says that it works so; any other tokenizer gets whole texts.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -36,11 +41,11 @@ from pyspark.sql.window import Window
 
 from .common import fresh_path, partitions
 
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 MAGIC = b"RPG1"
 HEAD = struct.Struct("<4s6q")
 BASE = 50257
 SHARD_IDS = 1 << 20
-ROUNDS, PER_ROUND, MIN_COUNT = 5, 3000, 24
 #: Letters and numbers below U+0250, as the byte-level tokenizers' own pattern splits them.
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 _PIECES = re.compile(f"'(?:[sdmt]|ll|ve|re)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
@@ -61,18 +66,27 @@ def _whole(t: str) -> bool:
     return False
 
 
+def splits_as_here(spec: dict) -> bool:
+    """Whether a tokenizer is byte-level BPE over the pattern above, with nothing before it, and special tokens that `_whole` sees."""
+    pre, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+    same = not spec.get("normalizer") and model.get("type") == "BPE" and not model.get("dropout") and not model.get("ignore_merges") and not model.get("end_of_word_suffix") and not model.get("continuing_subword_prefix")
+    return bool(plain and same and all("<|" in t["content"] for t in spec.get("added_tokens") or []))
+
+
 class Encoder:
     """Ids of texts, as the tokenizer gives them; pieces that the tokenizer treats by themselves are remembered.
 
     Texts with characters from U+0250 on or what may be a special token go through the tokenizer whole.
     """
 
-    def __init__(self, path: str, keep: int = 1_000_000):
+    def __init__(self, path: str, keep: int = 600_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
         self.keep = keep
+        self.split = splits_as_here(json.loads(self.whole.to_str()))
 
     def _learn(self, new: list[str]) -> None:
         """The tokenizer's model takes each piece as one symbol a byte."""
@@ -87,7 +101,7 @@ class Encoder:
         self.known.update(zip(new, (data[a:b] for a, b in pairwise(at))))
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [None if t and _whole(t) else _PIECES.findall(t or "") for t in texts]
+        split = [None if t and (not self.split or _whole(t)) else _PIECES.findall(t or "") for t in texts]
         if len(self.known) > self.keep:
             self.known.clear()
         got = [p and list(map(self.known.get, p)) for p in split]
@@ -106,47 +120,61 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def repair(ids: np.ndarray, *, end_id: int = 0, base: int = BASE, rounds: int = ROUNDS, per_round: int = PER_ROUND, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, rules): symbols from `base` on stand for the pairs in rules. Each round replaces the most frequent pairs, left to right."""
-    rules, s, limit = [np.zeros((0, 2), np.uint32)], ids.astype(np.uint32), 1 << 16
-    n_rules = 0
-    for _ in range(rounds):
-        if len(s) < 2 or base + n_rules >= limit or (len(ids) and int(ids.max()) >= base):
-            break
-        key = (s[:-1] << np.uint32(16)) | s[1:]
-        ordered = np.sort(key)
-        edge = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+def _picked(at: np.ndarray) -> np.ndarray:
+    """Of places in order those that are taken from left to right when each takes its right neighbour too: every other one of a run."""
+    run = np.maximum.accumulate(np.where(np.r_[True, np.diff(at) > 1], np.arange(len(at)), 0))
+    return (np.arange(len(at)) - run) % 2 == 0
+
+
+def repair(ids: np.ndarray, *, end_id: int = 0, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, rules): symbols from `base` on stand for the pairs in rules.
+
+    Each round replaces all pairs that occur at least `least` times, left to right, and `least` falls to a 32nd from round to round, down to two; it ends when
+    no pair occurs twice without overlap. A pair that others leave only one place makes no rule.
+    """
+    rules, s, n_rules, least = [np.zeros((0, 2), np.uint64)], ids.astype(np.uint64), 0, None
+    low = np.uint64(32)
+    while len(s) > 1:
+        inner = (s[:-1] != end_id) & (s[1:] != end_id)
+        key = (s[:-1] << low) | s[1:]
+        ordered = np.sort(key[inner])
+        edge = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, np.int64)
         count = np.diff(np.r_[edge, len(ordered)])
-        enough = count >= min_count
-        pair, count = ordered[edge[enough]], count[enough]
-        free = (pair >> np.uint32(16) != end_id) & (pair & np.uint32(0xFFFF) != end_id)
-        pair, count = pair[free], count[free]
-        room = min(per_round, limit - base - n_rules)
-        if len(pair) > room:
-            pair = pair[np.sort(np.argsort(-count, kind="stable")[:room])]
-        if not len(pair):
+        top = int(count.max(initial=0))
+        if top < 2:
             break
-        # the rule of a pair: rows for first symbols, columns for second ones; 0 is none
-        row, col = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
-        left, right = np.unique(pair >> np.uint32(16)), np.unique(pair & np.uint32(0xFFFF))
-        row[left], col[right] = np.arange(1, len(left) + 1) * (len(right) + 1), np.arange(1, len(right) + 1)
-        grid = np.zeros((len(left) + 1) * (len(right) + 1), np.int16)
-        grid[row[pair >> np.uint32(16)] + col[pair & np.uint32(0xFFFF)]] = np.arange(1, len(pair) + 1)
-        rule = grid[row[s[:-1]] + col[s[1:]]]
-        at = np.flatnonzero(rule)
-        which = rule[at].astype(np.int64) - 1
+        least = max(2, min(top, least or top) // 32)
+        pair = ordered[edge[count >= least]]
+        # a table of bits by a hash of the pair keeps most places from the search
+        table = np.zeros(1 << 22, bool)
+        table[(pair * _MIX) >> np.uint64(42)] = True
+        maybe = np.flatnonzero(table[(key * _MIX) >> np.uint64(42)] & inner)
+        found = np.minimum(np.searchsorted(pair, key[maybe]), len(pair) - 1)
+        right = pair[found] == key[maybe]
+        place, hit = np.zeros(len(key), np.int64), np.zeros(len(key), bool)
+        place[maybe], hit[maybe] = found, right
+        while True:  # until each rule that is left has two places
+            at = np.flatnonzero(hit)
+            at = at[_picked(at)] if len(at) else at
+            uses = np.bincount(place[at], minlength=len(pair))
+            lone = uses[place] == 1
+            if not (lone & hit).any():
+                break
+            hit &= ~lone
         if not len(at):
-            break
-        run = np.maximum.accumulate(np.where(np.r_[True, np.diff(at) > 1], np.arange(len(at)), 0))
-        pick = (np.arange(len(at)) - run) % 2 == 0  # of overlapping pairs every other one
-        at, which = at[pick], which[pick]
-        s[at] = (base + n_rules + which).astype(np.uint32)
+            if least == 2:
+                break
+            continue
+        used = np.flatnonzero(uses > 1)
+        number = np.zeros(len(pair), np.uint64)
+        number[used] = base + n_rules + np.arange(len(used), dtype=np.uint64)
+        s[at] = number[place[at]]
         keep = np.ones(len(s), bool)
         keep[at + 1] = False
         s = s[keep]
-        rules.append(np.stack([pair >> np.uint32(16), pair & np.uint32(0xFFFF)], 1))
-        n_rules += len(pair)
-    return s, np.concatenate(rules)
+        rules.append(np.stack([pair[used] >> low, pair[used] & np.uint64(0xFFFFFFFF)], 1))
+        n_rules += len(used)
+    return s.astype(np.uint32), np.concatenate(rules).astype(np.uint32)
 
 
 def lengths(rules: np.ndarray, base: int) -> np.ndarray:
@@ -164,6 +192,7 @@ def lengths(rules: np.ndarray, base: int) -> np.ndarray:
 def pack(docs: list[np.ndarray], *, end_id: int = 0, base: int = BASE) -> bytes:
     """Ids of documents, each with its end id, to a shard."""
     ids = np.concatenate(docs) if docs else np.zeros(0, np.uint32)
+    base = max(base, int(ids.max(initial=0)) + 1)
     s, rules = repair(ids, end_id=end_id, base=base)
     n = lengths(rules, base)
     size = np.where(s < base, 1, n[np.maximum(s.astype(np.int64) - base, 0)] if len(n) else 1)
