@@ -111,19 +111,22 @@ class Tables(MutableMapping):
     """DataFrames by lower-case name; those given as functions are made when first asked for."""
 
     def __init__(self, tables=()):
-        self._held = dict(tables._held) if isinstance(tables, Tables) else dict(tables)
+        self._held = dict(tables._held) if isinstance(tables, Tables) else {n.lower(): df for n, df in dict(tables).items()}
 
     def __getitem__(self, name: str) -> DataFrame:
-        found = self._held[name]
+        found = self._held[name.lower()]
         if not isinstance(found, DataFrame) and isinstance(found, Callable):
-            found = self._held[name] = found()
+            found = self._held[name.lower()] = found()
         return found
 
     def __setitem__(self, name: str, df: DataFrame) -> None:
-        self._held[name] = df
+        self._held[name.lower()] = df
 
     def __delitem__(self, name: str) -> None:
-        del self._held[name]
+        del self._held[name.lower()]
+
+    def __contains__(self, name: object) -> bool:
+        return isinstance(name, str) and name.lower() in self._held
 
     def __iter__(self) -> Iterator[str]:
         return iter(self._held)
@@ -132,9 +135,9 @@ class Tables(MutableMapping):
         return len(self._held)
 
     def rename(self, old: str, new: str) -> None:
-        if new in self._held:
+        if new.lower() in self._held:
             raise ValueError(f"table {new} exists")
-        self._held[new] = self._held.pop(old)
+        self._held[new.lower()] = self._held.pop(old.lower())
 
     def names(self, prefix: str = "") -> list[str]:
         """The names that begin with the prefix, in order."""

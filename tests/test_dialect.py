@@ -39,6 +39,10 @@ def test_expressions(session, expression, want):
     assert one(session, expression) == want
 
 
+def test_names_of_tables_and_columns_in_any_case(spark, frame):
+    assert Session(spark, {"Things": frame}).sql("SELECT N FROM THINGS WHERE S LIKE 'anna'").first()["N"] == 7
+
+
 def test_aggregates(session):
     r = session.sql("SELECT AVG(n) AS a, AVG(d) AS b, VAR(n) AS v, CORR(n, d) AS c, PERCENTILE(d, 50) AS p, PERCENTILE(ts, 50) AS q, AVG(DISTINCT n) FILTER (WHERE n > 0) AS f FROM t").first()
     assert (r["a"], r["b"], r["v"], r["c"], r["p"], r["q"], r["f"]) == (0, Decimal("0.6250"), 49, -1, Decimal("-1.25"), datetime(2024, 1, 2, 3), 7)
