@@ -436,11 +436,11 @@ def _(t):
     return L.shards(t["orders"].select(F.col("o_orderkey").alias("_id")))
 
 
-@_frame("cursor_seek", "SELECT (SELECT min(_id) FROM part_tags WHERE size > 40 AND _id >= 500) AS next, (SELECT max(_id) FROM part_tags WHERE size > 40 AND _id < 500) AS prev, (SELECT max(_id) FROM part_tags WHERE size > 40) AS last")
+@_frame("cursor_seek", "SELECT (SELECT min(_id) FROM part_tags WHERE size > 40 AND _id >= 100) AS next, (SELECT max(_id) FROM part_tags WHERE size > 40 AND _id < 100) AS prev, (SELECT max(_id) FROM part_tags WHERE size > 40) AS last")
 def _(t):
     ids = t["part_tags"].filter("size > 40")
     named = lambda df, n: df.select(F.col("_id").alias(n))
-    return named(L.seek(ids, 500), "next").crossJoin(named(L.seek(ids, 500, back=True, strict=True), "prev")).crossJoin(named(L.seek(ids, back=True), "last"))  # one row each
+    return named(L.seek(ids, 100), "next").crossJoin(named(L.seek(ids, 100, back=True, strict=True), "prev")).crossJoin(named(L.seek(ids, back=True), "last"))  # one row each
 
 
 @_frame("key_search", "SELECT DISTINCT t AS key FROM (SELECT unnest(tags) AS t FROM part_tags) WHERE regexp_full_match(t, '[a-m].*|Brand#1.')")
