@@ -18,7 +18,7 @@ other, ordered by text; null doc_ids come first. An empty table gives an empty f
 than a shard makes a larger shard. Ids of any size below 2**31 are compressed; new symbols start above
 the largest. Other columns are ignored, whatever their names.
 
-Pieces are split by a copy of the byte-level tokenizers' own pattern, and only if the tokenizer's file
+Pieces are split as the byte-level tokenizers' own pattern does, over arrays of characters, and only if the tokenizer's file
 says that it works so; any other tokenizer gets whole texts.
 """
 
@@ -29,10 +29,9 @@ import re
 import struct
 import zlib
 from functools import lru_cache
-from itertools import compress, pairwise
-from operator import not_
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -46,9 +45,11 @@ MAGIC = b"RPG1"
 HEAD = struct.Struct("<4s6q")
 BASE = 50257
 SHARD_IDS = 1 << 20
-#: Letters and numbers below U+0250, as the byte-level tokenizers' own pattern splits them.
+#: Letters, numbers and blanks below U+0250, as the byte-level tokenizers' own pattern splits them.
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
-_PIECES = re.compile(f"'(?:[sdmt]|ll|ve|re)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+_LETTER, _NUMBER, _BLANK, _OTHER = range(1, 5)
+_KIND = np.array([0, *(next(k for k, x in ((_LETTER, _L), (_NUMBER, _N), (_BLANK, _S), (_OTHER, "\0-ɏ")) if re.match(f"[{x}]", chr(c))) for c in range(1, 0x250))], np.uint8)
+_CHARS = np.random.default_rng(20240517).integers(1, 1 << 63, 0x250, np.uint64) * np.uint64(2) + np.uint64(1)
 #: Byte-level symbols: printable bytes stand for themselves, the others for the characters from U+0100 on; NUL parts pieces.
 _SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _SYMBOLS = {chr(b): chr(0x100 + k) for k, b in enumerate(b for b in range(256) if b not in _SHOWN) if b}
@@ -56,7 +57,7 @@ _WIDE = re.compile("[^\x01-ɏ]")
 
 
 def _whole(t: str) -> bool:
-    """Whether the pattern above may not do for a text."""
+    """Whether pieces as split here may not do for a text."""
     if "<|" in t or "\0" in t:
         return True
     try:
@@ -67,51 +68,138 @@ def _whole(t: str) -> bool:
 
 
 def splits_as_here(spec: dict) -> bool:
-    """Whether a tokenizer is byte-level BPE over the pattern above, with nothing before it, and special tokens that `_whole` sees."""
+    """Whether a tokenizer is byte-level BPE over the pattern of `piece_starts`, with nothing before it, and special tokens that `_whole` sees."""
     pre, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
     plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
     same = not spec.get("normalizer") and model.get("type") == "BPE" and not model.get("dropout") and not model.get("ignore_merges") and not model.get("end_of_word_suffix") and not model.get("continuing_subword_prefix")
     return bool(plain and same and all("<|" in t["content"] for t in spec.get("added_tokens") or []))
 
 
+def piece_starts(c: np.ndarray) -> np.ndarray:
+    """Where the pieces of texts start, each text closed with NUL (a piece of its own), as the tokenizers' pattern splits them:
+
+    '(?:[sdmt]|ll|ve|re)| ?letters| ?numbers| ?others|blanks(?!not blank)|blanks
+    """
+    kind = _KIND[c]
+    starts = np.r_[True, kind[1:] != kind[:-1]] | (kind == 0)
+    last = np.flatnonzero((kind[:-1] == _BLANK) & (kind[1:] != _BLANK) & (kind[1:] != 0))  # goes with what follows if it is a space, else alone
+    starts[last] = True
+    starts[last[c[last] == 0x20] + 1] = False
+    q = np.flatnonzero(c == 0x27)
+    q = q[starts[q]]
+    a, b = c[q + 1], c[np.minimum(q + 2, len(c) - 1)]
+    one = q[np.isin(a, [ord(x) for x in "sdmt"])]
+    two = q[((a == ord("l")) & (b == ord("l"))) | (((a == ord("v")) | (a == ord("r"))) & (b == ord("e")))]
+    starts[one + 1] = starts[two + 1] = False
+    starts[one + 2] = starts[two + 3] = True
+    return np.flatnonzero(starts)
+
+
+def _within(n: np.ndarray) -> np.ndarray:
+    """0, 1, ... up to each of the numbers, one after the other."""
+    return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+
+
 class Encoder:
     """Ids of texts, as the tokenizer gives them; pieces that the tokenizer treats by themselves are remembered.
 
-    Texts with characters from U+0250 on or what may be a special token go through the tokenizer whole.
+    What is known lies in arrays, some 70 bytes a piece: hashes in order with the piece of each, and all pieces' characters and ids end to end. A piece is found by its hash and
+    compared by its characters; where different ones meet in a hash, the texts go through the tokenizer whole, and so do texts with characters
+    from U+0250 on or what may be a special token.
     """
 
-    def __init__(self, path: str, keep: int = 600_000):
+    def __init__(self, path: str, keep: int = 600_000, step: int = 1 << 18, batch: int = 1 << 20):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.keep = keep
+        self.keep, self.step, self.batch = keep, step, batch
         self.split = splits_as_here(json.loads(self.whole.to_str()))
+        self.forget()
+
+    def forget(self) -> None:
+        """Only NUL is known, without an id."""
+        self.hashes, self.piece = _CHARS[:1], np.zeros(1, np.int32)
+        self.chars, self.char_at, self.n_chars = np.zeros(1, np.uint16), np.zeros(1, np.int64), np.ones(1, np.int32)
+        self.ids, self.id_at, self.n_ids = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int32)
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, hashes: np.ndarray, chars: np.ndarray, n_chars: np.ndarray) -> None:
         """The tokenizer's model takes each piece as one symbol a byte."""
-        symbols = "\0".join(new).encode().decode("latin-1")
+        closed = np.zeros(len(chars) + len(n_chars), np.uint16)
+        closed[np.arange(len(chars)) + np.repeat(np.arange(len(n_chars)), n_chars)] = chars
+        symbols = closed[:-1].tobytes().decode("utf-16-le").encode().decode("latin-1")
         for b in set(symbols) & _SYMBOLS.keys():
             symbols = symbols.replace(b, _SYMBOLS[b])
-        found, ids, at = list(map(self.whole.model.tokenize, symbols.split("\0"))), [], [0]
-        for tokens in found:
+        ids, at = [], [0]
+        for tokens in map(self.whole.model.tokenize, symbols.split("\0")):
             ids += [t.id for t in tokens]
-            at.append(4 * len(ids))
-        data = np.array(ids, "<u4").tobytes()
-        self.known.update(zip(new, (data[a:b] for a, b in pairwise(at))))
+            at.append(len(ids))
+        n_ids, every = np.diff(at).astype(np.int32), np.r_[self.hashes, hashes]
+        order = np.argsort(every, kind="stable")
+        self.hashes, self.piece = every[order], np.r_[self.piece, np.arange(len(self.n_ids), len(every), dtype=np.int32)][order]
+        self.char_at, self.id_at = np.r_[self.char_at, len(self.chars) + np.cumsum(n_chars) - n_chars], np.r_[self.id_at, len(self.ids) + np.array(at[:-1])]
+        self.chars, self.n_chars = np.r_[self.chars, chars], np.r_[self.n_chars, n_chars.astype(np.int32)]
+        self.ids, self.n_ids = np.r_[self.ids, np.array(ids, np.uint32)], np.r_[self.n_ids, n_ids]
+
+    def _pieces(self, c: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray | None:
+        """The number of each piece of known ones, what is new learned before; None where different pieces have the same hash."""
+        lo = int(at[0])
+        c = c[lo : int(at[-1] + n[-1])]
+        place = _within(n)
+        power = np.cumprod(np.r_[np.uint64(1), np.full(int(n.max()) - 1, _MIX)])
+        of, hashes = pd.factorize(np.add.reduceat(_CHARS[c] * power[place], at - lo))
+        by_hash = np.argsort(hashes)
+        found = np.zeros(len(hashes), np.int64)
+        found[by_hash] = np.minimum(np.searchsorted(self.hashes, hashes[by_hash]), len(self.hashes) - 1)
+        pieces, new = self.piece[found], np.flatnonzero(self.hashes[found] != hashes)
+        if len(new):
+            pieces[new] = len(self.piece) + np.arange(len(new))
+            some = np.zeros(len(hashes), np.int64)
+            some[of] = np.arange(len(of))  # any place of each
+            some = some[new]
+            self._learn(hashes[new], c[np.repeat(at[some] - lo, n[some]) + _within(n[some])], n[some])
+        pieces = pieces[of]
+        if (self.n_chars[pieces] != n).any() or (self.chars[np.repeat(self.char_at[pieces], n) + place] != c).any():
+            return None
+        return pieces
+
+    def _split(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.hashes) > self.keep:
+            self.forget()
+        c = np.frombuffer(("\0".join(texts) + "\0").encode("utf-16-le"), "<u2")
+        at = piece_starts(c)
+        n, ids, closed = np.diff(at, append=len(c)), [], []
+        for k in range(0, len(at), self.step):
+            pieces = self._pieces(c, at[k : k + self.step], n[k : k + self.step])
+            if pieces is None:
+                return list(map(self._as_whole, texts))
+            n_ids = self.n_ids[pieces].astype(np.int64)
+            ids.append(self.ids[np.repeat(self.id_at[pieces], n_ids) + _within(n_ids)])
+            closed.append(n_ids)
+        ends = np.cumsum(np.concatenate(closed))[c[at] == 0]
+        return np.split(np.concatenate(ids), ends[:-1])
+
+    def _as_whole(self, text: str) -> np.ndarray:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [None if t and (not self.split or _whole(t)) else _PIECES.findall(t or "") for t in texts]
-        if len(self.known) > self.keep:
-            self.known.clear()
-        got = [p and list(map(self.known.get, p)) for p in split]
-        lacks = {k: list(compress(split[k], map(not_, g))) for k, g in enumerate(got) if g and not all(g)}
-        if lacks:
-            self._learn(list(set().union(*lacks.values())))
-        for k, pieces in lacks.items():
-            rest = map(self.known.__getitem__, pieces)
-            got[k] = [x or next(rest) for x in got[k]]
-        return [np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u4") if g is None else np.frombuffer(b"".join(g), "<u4") for t, g in zip(texts, got)]
+        out, held, size = [None] * len(texts), [], 0
+
+        def done():
+            for k, ids in zip(held, self._split([texts[k] or "" for k in held]) if held else ()):
+                out[k] = ids
+            held.clear()
+
+        for k, t in enumerate(texts):
+            if t and (not self.split or _whole(t)):
+                out[k] = self._as_whole(t)
+                continue
+            held.append(k)
+            size += len(t or "")
+            if size >= self.batch:
+                done()
+                size = 0
+        done()
+        return out
 
 
 @lru_cache(maxsize=1)
@@ -260,8 +348,8 @@ def write(docs: DataFrame, tokenizer: str, path: str, *, id_col: str = "doc_id",
         row = lambda: pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "n_ids": [size], "doc_ids": [ids], "data": [pack(held, end_id=end_id)]}, schema=ROW)
         for batch in batches:
             texts, keys = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
-            for at in range(0, len(texts), 256):
-                for key, got in zip(keys[at : at + 256], encode(texts[at : at + 256])):
+            for at in range(0, len(texts), 2048):
+                for key, got in zip(keys[at : at + 2048], encode(texts[at : at + 2048])):
                     held.append(np.concatenate([got, end]))
                     ids.append(key)
                     size += len(got) + 1
