@@ -214,53 +214,67 @@ def _picked(at: np.ndarray) -> np.ndarray:
     return (np.arange(len(at)) - run) % 2 == 0
 
 
+def _by_pair(s: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.uint64]:
+    """Pairs of neighbours at the places in `at`, sorted, the place of each, and the bits of a symbol."""
+    wide, place = int(s.max()).bit_length(), len(s).bit_length()
+    key = (s[at] << np.uint64(wide)) | s[at + 1]
+    if 2 * wide + place > 64:
+        order = np.argsort(key, kind="stable")
+        return key[order], at[order], np.uint64(wide)
+    both = np.sort((key << np.uint64(place)) | at.astype(np.uint64))
+    return both >> np.uint64(place), (both & np.uint64((1 << place) - 1)).astype(np.int64), np.uint64(wide)
+
+
 def repair(ids: np.ndarray, *, end_id: int = 0, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, rules): symbols from `base` on stand for the pairs in rules.
 
     Each round replaces all pairs that occur at least `least` times, left to right, and `least` falls to a 32nd from round to round, down to two; it ends when
     no pair occurs twice without overlap. A pair that others leave only one place makes no rule.
+
+    Once pairs that occur twice were replaced, only those of new symbols, and those that made no rule, can occur twice: from then on only such places are sorted.
     """
     rules, s, n_rules, least = [np.zeros((0, 2), np.uint64)], ids.astype(np.uint64), 0, None
-    low = np.uint64(32)
+    look = np.ones(len(s), bool)  # places whose pair may occur twice
     while len(s) > 1:
-        inner = (s[:-1] != end_id) & (s[1:] != end_id)
-        key = (s[:-1] << low) | s[1:]
-        ordered = np.sort(key[inner])
+        at = np.flatnonzero(look[:-1])
+        at = at[(s[at] != end_id) & (s[at + 1] != end_id)]
+        ordered, at, wide = _by_pair(s, at)
         edge = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, np.int64)
         count = np.diff(np.r_[edge, len(ordered)])
         top = int(count.max(initial=0))
         if top < 2:
             break
         least = max(2, min(top, least or top) // 32)
-        pair = ordered[edge[count >= least]]
-        # a table of bits by a hash of the pair keeps most places from the search
-        table = np.zeros(1 << 22, bool)
-        table[(pair * _MIX) >> np.uint64(42)] = True
-        maybe = np.flatnonzero(table[(key * _MIX) >> np.uint64(42)] & inner)
-        found = np.minimum(np.searchsorted(pair, key[maybe]), len(pair) - 1)
-        right = pair[found] == key[maybe]
-        place, hit = np.zeros(len(key), np.int64), np.zeros(len(key), bool)
-        place[maybe], hit[maybe] = found, right
+        often = count >= least
+        pair, hits = ordered[edge[often]], at[np.repeat(often, count)]
+        number = np.zeros(len(s), np.int32)
+        number[hits] = np.repeat(np.arange(1, len(pair) + 1, dtype=np.int32), count[often])
+        hits = np.flatnonzero(number)  # in order
+        number, every = number[hits] - 1, hits
         while True:  # until each rule that is left has two places
-            at = np.flatnonzero(hit)
-            at = at[_picked(at)] if len(at) else at
-            uses = np.bincount(place[at], minlength=len(pair))
-            lone = uses[place] == 1
-            if not (lone & hit).any():
+            taken = _picked(hits) if len(hits) else np.zeros(0, bool)
+            at, of = hits[taken], number[taken]
+            uses = np.bincount(of, minlength=len(pair))
+            stays = uses[number] != 1
+            if stays.all():
                 break
-            hit &= ~lone
+            hits, number = hits[stays], number[stays]
+        look = np.zeros(len(s), bool) if least == 2 else np.ones(len(s), bool)
+        look[every] = True
         if not len(at):
             if least == 2:
                 break
             continue
         used = np.flatnonzero(uses > 1)
-        number = np.zeros(len(pair), np.uint64)
-        number[used] = base + n_rules + np.arange(len(used), dtype=np.uint64)
-        s[at] = number[place[at]]
+        new = np.zeros(len(pair), np.uint64)
+        new[used] = base + n_rules + np.arange(len(used), dtype=np.uint64)
+        s[at] = new[of]
+        look[at] = True
+        look[np.maximum(at, 1) - 1] = True
         keep = np.ones(len(s), bool)
         keep[at + 1] = False
-        s = s[keep]
-        rules.append(np.stack([pair[used] >> low, pair[used] & np.uint64(0xFFFFFFFF)], 1))
+        s, look = s[keep], look[keep]
+        rules.append(np.stack([pair[used] >> wide, pair[used] & np.uint64((1 << int(wide)) - 1)], 1))
         n_rules += len(used)
     return s.astype(np.uint32), np.concatenate(rules).astype(np.uint32)
 

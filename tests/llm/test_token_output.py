@@ -35,3 +35,19 @@ def test_ids_are_the_tokenizers_in_small_steps_and_where_hashes_meet(monkeypatch
         assert [x.tolist() for x in encode(texts)] == want and [x.tolist() for x in encode(texts)] == want
     monkeypatch.setattr(token_output, "_CHARS", np.repeat(token_output._CHARS[::2], 2))  # characters share their numbers by twos
     assert [x.tolist() for x in token_output.Encoder(tokenizer_path(), batch=200)(texts)] == want
+
+
+def test_late_rounds_of_repair_sort_only_what_can_occur_twice(monkeypatch):
+    rng = np.random.default_rng(6)
+    words = [rng.integers(1, 5000, n) for n in rng.integers(2, 30, 400)]
+    ids = np.concatenate([np.r_[words[k], 0] if k % 9 == 0 else words[k] for k in (400 * rng.random(4000) ** 2).astype(int)])
+    sizes, sort = [], np.sort
+    monkeypatch.setattr(np, "sort", lambda a, *x, **kw: sizes.append(len(a)) or sort(a, *x, **kw))
+    s, rules = token_output.repair(ids, base=5000)
+    seen, last = set(), {}
+    for k, pair in enumerate(zip(s.tolist(), s[1:].tolist())):
+        if 0 not in pair and last.get(pair, -2) != k - 1:
+            assert pair not in seen
+            seen.add(pair)
+            last[pair] = k
+    assert len(sizes) > 5 and sizes[-1] < len(s) / 10
