@@ -84,8 +84,8 @@ class Told(NamedTuple):
     stats: DataFrame  # stats
 
 
-def ask(blocks: DataFrame, question, decide, tag: str) -> Told:
-    """question(block's row) -> (what it tells of languages or None, ranges, keys, counts); decide(a range's rows: r, block, langs, keys, counts) -> (r, block, answer, stats)."""
+def told_of(blocks: DataFrame, question, decide) -> DataFrame:
+    """r, block, answer, stats. question(block's row) -> (what it tells of languages or None, ranges, keys, counts); decide(a range's rows: r, block, langs, keys, counts) -> (r, block, answer, stats)."""
 
     def run(batches):
         for b in batches:
@@ -100,7 +100,11 @@ def ask(blocks: DataFrame, question, decide, tag: str) -> Told:
                 )
 
     asked = blocks.mapInArrow(run, "r int, block long, langs string, keys binary, counts binary")
-    told = asked.groupBy("r").applyInPandas(decide, "r int, block long, answer binary, stats string")
+    return asked.groupBy("r").applyInPandas(decide, "r int, block long, answer binary, stats string")
+
+
+def ask(blocks: DataFrame, question, decide, tag: str) -> Told:
+    told = told_of(blocks, question, decide)
     # written by block, so that a join with bucketed blocks moves the answers and not the blocks
     answers = written(told.groupBy("block").agg(F.collect_list(F.struct("r", "answer", "stats")).alias("answers")), tag, "zstd")
     return Told(answers, answers.select(F.explode("answers.stats").alias("stats")).filter("stats is not null"))

@@ -36,6 +36,7 @@ from __future__ import annotations
 
 import json
 from collections import Counter, defaultdict
+from contextlib import ExitStack
 
 import numpy as np
 import pandas as pd
@@ -46,8 +47,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bucketed, removed, written
-from .hash_arrays import answers_of, ask, cuts, deltas, mixed, powers, small, split, unsmall, values
+from .common import bucketed, removed, shuffles_removed, written
+from .hash_arrays import answers_of, cuts, deltas, mixed, powers, small, split, told_of, unsmall, values
 
 SPACE, SYMBOLS = " \t\n\v\f\r", "#*$%&|<>"
 LOWERED = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -268,26 +269,40 @@ def _opened(row: dict, bits: int) -> Words:
 def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", block: int = BLOCK, entries: int = RANGE) -> DataFrame:
     """doc_id, lang, the base counts and log_ppl (null for a text without words)."""
     spark = docs.sparkSession
-    with bucketed(pack(docs, id_col, text_col, lang_col, block), "block", "word-blocks") as packed:
+    rows = pack(docs, id_col, text_col, lang_col, block)
+    buckets = max(1, rows.rdd.getNumPartitions())
+    with bucketed(rows, "block", "word-blocks", buckets) as packed:
         total = packed.agg(F.sum("n_bytes")).first()[0] or 0
         ranges, bits = 1 + total // 6 // entries, min(64, SPARE_BITS + max(1, total).bit_length())
         each_doc = packed.select("block", F.posexplode("digests").alias("i", "digest"))
         first = each_doc.groupBy("digest").agg(F.min(F.struct("block", "i")).alias("first"))
         firsts = written(first.groupBy(F.col("first.block").alias("block")).agg(F.collect_list("first.i").alias("firsts")), "firsts")
         blocks = packed.drop("digests", "n_bytes").join(firsts.hint("shuffle_hash"), "block", "left")
-        out = _scored(spark, blocks, ranges, bits, docs.schema[id_col].dataType)
+        out = _scored(spark, blocks, buckets, ranges, bits, docs.schema[id_col].dataType)
         removed(spark, firsts)
         return out
 
 
-def _scored(spark, blocks: DataFrame, ranges: int, bits: int, id_type) -> DataFrame:
+def _by_block(told: DataFrame, name: str) -> DataFrame:
+    return told.groupBy("block").agg(F.collect_list(F.struct("r", "answer")).alias(name))
+
+
+def _scored(spark, blocks: DataFrame, buckets: int, ranges: int, bits: int, id_type) -> DataFrame:
     def ask_bigrams(row):
         own = _opened(row, bits)
         return None, *split(own.keys, [own.n], ranges, bits)
 
-    bigrams = ask(blocks, ask_bigrams, _total, "bigrams")
-    both = blocks.join(bigrams.answers.withColumnRenamed("answers", "pairs").hint("shuffle_hash"), "block", "left")
+    # each step's shuffle files go before the next one writes, and bigrams' answers lie as the blocks do, so that neither later step moves them
+    with ExitStack() as held:
+        with shuffles_removed(spark):
+            told = written(told_of(blocks, ask_bigrams, _total), "bigrams", "zstd")
+            known = held.enter_context(bucketed(told.select("block", "r", "answer").repartition(buckets, "block"), "block", "bigram-answers", buckets))
+        removed(spark, told)
+        both = blocks.join(_by_block(known, "pairs").hint("shuffle_hash"), "block", "left")
+        return _judged(spark, both, buckets, ranges, bits, id_type)
+
 
+def _judged(spark, both: DataFrame, buckets: int, ranges: int, bits: int, id_type) -> DataFrame:
     def of_pairs(row):
         own = _opened(row, bits)
         return own, _looked_up(row["pairs"], cuts(own.keys, ranges, bits), 2)
@@ -298,9 +313,10 @@ def _scored(spark, blocks: DataFrame, ranges: int, bits: int, id_type) -> DataFr
         tells = {"langs": own.langs, "bigrams": [[x, _of_counts(pairs[1][mine & (lang == k)])] for k, x in enumerate(own.langs)]}
         return tells, *split(own.words, [own.word_lang, *_of_words(own, pairs)], ranges, bits)
 
-    found = ask(both, ask_words, _total, "words")
-    last = both.join(found.answers.withColumnRenamed("answers", "of_words").hint("shuffle_hash"), "block", "left")
-    sums, laws = _summed(found.stats), {}
+    with shuffles_removed(spark):
+        told = written(told_of(both, ask_words, _total), "words", "zstd")
+    last = both.join(_by_block(told.repartition(buckets, "block"), "of_words").hint("shuffle_hash"), "block", "left")
+    sums, laws = _summed(told.select("stats").filter("stats is not null")), {}
     for lang in {lang for _, lang in sums}:
         (_, _, *n, _), (words, types, *m, more) = sums["bigrams", lang], sums["words", lang]
         d1 = discounts(m)
@@ -318,9 +334,9 @@ def _scored(spark, blocks: DataFrame, ranges: int, bits: int, id_type) -> DataFr
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "lang", *COUNTS, "log_ppl"])
 
     done = last.mapInArrow(judge_block, "doc_id string, lang string, " + ", ".join(f"{x} long" for x in COUNTS) + ", log_ppl double")
-    out = written(done.withColumn("doc_id", F.col("doc_id").cast(id_type)), "quality")
-    for used in (bigrams, found):
-        removed(spark, used.answers)
+    with shuffles_removed(spark):
+        out = written(done.withColumn("doc_id", F.col("doc_id").cast(id_type)), "quality")
+    removed(spark, told)
     return out
 
 

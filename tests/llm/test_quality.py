@@ -2,11 +2,13 @@
 
 import math
 import random
+import time
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 
-from sparsewide.llm import quality
+from sparsewide.llm import hash_arrays, quality
 
 
 def discount(c):
@@ -81,3 +83,28 @@ def test_bands_reject_noise_and_leave_copies(spark):
     assert sum(kept[:300]) >= 294 and not any(kept[300:320]) and len(set([kept[0], *kept[320:]])) == 1
     assert quality.judge(frame.limit(0)).collect() == []
     assert quality.bands(spark.createDataFrame([("en", False, x / 100) for x in range(700, 901)], "lang string, base_failed boolean, log_ppl double")).first()["low"] == pytest.approx(2.8)
+
+
+def test_shuffle_files_go_before_the_next_step(spark, monkeypatch):
+    """What was shuffled for one step of the model must not lie on disk during the next."""
+    rng = random.Random(9)
+    rows = [(k, " ".join(f"w{rng.randrange(4000)}" for _ in range(400)), "en") for k in range(120)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    ids = lambda: {str(b).split("_")[1] for b in _shuffle_files(spark)}
+    before, left, write = ids(), {}, quality.written
+
+    def counted(df, tag, *more):
+        out = write(df, tag, *more)
+        time.sleep(1)  # files go in the background
+        left[tag] = len(ids() - before)
+        return out
+
+    for module in (quality, hash_arrays):
+        monkeypatch.setattr(module, "written", counted)
+    assert quality.score(frame, block=20_000, entries=5_000).count() == 120
+    assert left["bigrams"] <= left["firsts"] and left["words"] <= left["firsts"]
+
+
+def _shuffle_files(spark):
+    dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return [f.name for d in dirs for f in Path(d).rglob("shuffle_*.data")]
