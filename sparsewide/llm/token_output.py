@@ -31,7 +31,6 @@ import zlib
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -41,6 +40,7 @@ from pyspark.sql.window import Window
 from .common import fresh_path, partitions
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_UNMIX = np.uint64(pow(int(_MIX), -1, 1 << 64))
 MAGIC = b"RPG1"
 HEAD = struct.Struct("<4s6q")
 BASE = 50257
@@ -95,16 +95,17 @@ def piece_starts(c: np.ndarray) -> np.ndarray:
     return np.flatnonzero(starts)
 
 
-def _within(n: np.ndarray) -> np.ndarray:
-    """0, 1, ... up to each of the numbers, one after the other."""
-    return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+def _stretches(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The n places from each place in `at` on, one stretch after the other."""
+    ends = np.cumsum(n)
+    return np.repeat(at - ends + n, n) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
 class Encoder:
     """Ids of texts, as the tokenizer gives them; pieces that the tokenizer treats by themselves are remembered.
 
-    What is known lies in arrays, some 70 bytes a piece: hashes in order with the piece of each, and all pieces' characters and ids end to end. A piece is found by its hash and
-    compared by its characters; where different ones meet in a hash, the texts go through the tokenizer whole, and so do texts with characters
+    What is known lies in arrays, some 70 bytes a piece: hashes in order with the piece of each, and all pieces' characters and ids end to end. The distinct pieces of a step are
+    found by their hashes and compared by their characters; where different ones meet in a hash, the texts go through the tokenizer whole, and so do texts with characters
     from U+0250 on or what may be a special token.
     """
 
@@ -114,14 +115,23 @@ class Encoder:
         self.whole = Tokenizer.from_file(path)
         self.keep, self.step, self.batch = keep, step, batch
         self.split = splits_as_here(json.loads(self.whole.to_str()))
-        self.forget()
-
-    def forget(self) -> None:
-        """Only NUL is known, without an id."""
-        self.hashes, self.piece = _CHARS[:1], np.zeros(1, np.int32)
+        self.hashes, self.piece, self.again = _CHARS[:1], np.zeros(1, np.int32), np.ones(1, bool)  # NUL, without an id
         self.chars, self.char_at, self.n_chars = np.zeros(1, np.uint16), np.zeros(1, np.int64), np.ones(1, np.int32)
         self.ids, self.id_at, self.n_ids = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int32)
 
+    def forget(self) -> None:
+        """Pieces that only one step met since the last time go, or all but NUL where those that stay would be over half of `keep`."""
+        stay = np.flatnonzero(self.again)
+        stay = stay if 2 * len(stay) <= self.keep else stay[:1]
+        number = np.full(len(self.piece), -1, np.int32)
+        number[stay] = np.arange(len(stay))
+        number, self.again = number[self.piece], np.arange(len(stay)) == 0
+        self.hashes, self.piece = self.hashes[number >= 0], number[number >= 0]
+        self.n_chars, n_chars = self.n_chars[stay], self.n_chars[stay].astype(np.int64)
+        self.n_ids, n_ids = self.n_ids[stay], self.n_ids[stay].astype(np.int64)
+        self.chars, self.char_at = self.chars[_stretches(self.char_at[stay], n_chars)], np.cumsum(n_chars) - n_chars
+        self.ids, self.id_at = self.ids[_stretches(self.id_at[stay], n_ids)], np.cumsum(n_ids) - n_ids
+
     def _learn(self, hashes: np.ndarray, chars: np.ndarray, n_chars: np.ndarray) -> None:
         """The tokenizer's model takes each piece as one symbol a byte."""
         closed = np.zeros(len(chars) + len(n_chars), np.uint16)
@@ -133,34 +143,35 @@ class Encoder:
         for tokens in map(self.whole.model.tokenize, symbols.split("\0")):
             ids += [t.id for t in tokens]
             at.append(len(ids))
-        n_ids, every = np.diff(at).astype(np.int32), np.r_[self.hashes, hashes]
-        order = np.argsort(every, kind="stable")
-        self.hashes, self.piece = every[order], np.r_[self.piece, np.arange(len(self.n_ids), len(every), dtype=np.int32)][order]
+        n_ids, order = np.diff(at).astype(np.int32), np.argsort(hashes)
+        before = np.searchsorted(self.hashes, hashes[order])  # only what is new is sorted
+        self.hashes, self.piece = np.insert(self.hashes, before, hashes[order]), np.insert(self.piece, before, len(self.n_ids) + order)
         self.char_at, self.id_at = np.r_[self.char_at, len(self.chars) + np.cumsum(n_chars) - n_chars], np.r_[self.id_at, len(self.ids) + np.array(at[:-1])]
         self.chars, self.n_chars = np.r_[self.chars, chars], np.r_[self.n_chars, n_chars.astype(np.int32)]
         self.ids, self.n_ids = np.r_[self.ids, np.array(ids, np.uint32)], np.r_[self.n_ids, n_ids]
+        self.again = np.r_[self.again, np.zeros(len(n_ids), bool)]
 
     def _pieces(self, c: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray | None:
         """The number of each piece of known ones, what is new learned before; None where different pieces have the same hash."""
-        lo = int(at[0])
-        c = c[lo : int(at[-1] + n[-1])]
-        place = _within(n)
-        power = np.cumprod(np.r_[np.uint64(1), np.full(int(n.max()) - 1, _MIX)])
-        of, hashes = pd.factorize(np.add.reduceat(_CHARS[c] * power[place], at - lo))
+        size = 2 * np.r_[at, at[-1] + n[-1]]
+        each = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(size), pa.py_buffer(c)]).dictionary_encode()
+        _, size, c = each.dictionary.buffers()
+        of, size = each.indices.to_numpy(), np.frombuffer(size, np.int64, len(each.dictionary) + 1) // 2
+        c, at, n = np.frombuffer(c, "<u2", size[-1]), size[:-1], np.diff(size)
+        power, back = (np.cumprod(np.r_[np.uint64(1), np.full(len(c) - 1, x)]) for x in (_MIX, _UNMIX))
+        hashes = np.add.reduceat(_CHARS[c] * power, at) * back[at]
         by_hash = np.argsort(hashes)
         found = np.zeros(len(hashes), np.int64)
         found[by_hash] = np.minimum(np.searchsorted(self.hashes, hashes[by_hash]), len(self.hashes) - 1)
-        pieces, new = self.piece[found], np.flatnonzero(self.hashes[found] != hashes)
+        pieces, known = self.piece[found], self.hashes[found] == hashes
+        self.again[pieces[known]] = True
+        new = np.flatnonzero(~known)
         if len(new):
             pieces[new] = len(self.piece) + np.arange(len(new))
-            some = np.zeros(len(hashes), np.int64)
-            some[of] = np.arange(len(of))  # any place of each
-            some = some[new]
-            self._learn(hashes[new], c[np.repeat(at[some] - lo, n[some]) + _within(n[some])], n[some])
-        pieces = pieces[of]
-        if (self.n_chars[pieces] != n).any() or (self.chars[np.repeat(self.char_at[pieces], n) + place] != c).any():
+            self._learn(hashes[new], c[_stretches(at[new], n[new])], n[new])
+        if (self.n_chars[pieces] != n).any() or (self.chars[_stretches(self.char_at[pieces], n)] != c).any():
             return None
-        return pieces
+        return pieces[of]
 
     def _split(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.hashes) > self.keep:
@@ -173,7 +184,7 @@ class Encoder:
             if pieces is None:
                 return list(map(self._as_whole, texts))
             n_ids = self.n_ids[pieces].astype(np.int64)
-            ids.append(self.ids[np.repeat(self.id_at[pieces], n_ids) + _within(n_ids)])
+            ids.append(self.ids[_stretches(self.id_at[pieces], n_ids)])
             closed.append(n_ids)
         ends = np.cumsum(np.concatenate(closed))[c[at] == 0]
         return np.split(np.concatenate(ids), ends[:-1])
@@ -210,19 +221,23 @@ def encoder(path: str) -> Encoder:
 
 def _picked(at: np.ndarray) -> np.ndarray:
     """Of places in order those that are taken from left to right when each takes its right neighbour too: every other one of a run."""
-    run = np.maximum.accumulate(np.where(np.r_[True, np.diff(at) > 1], np.arange(len(at)), 0))
-    return (np.arange(len(at)) - run) % 2 == 0
+    picked, follows = np.ones(len(at), bool), np.flatnonzero(at[1:] == at[:-1] + 1) + 1
+    if len(follows):
+        place = np.arange(len(follows))
+        run = np.maximum.accumulate(np.where(np.r_[True, follows[1:] != follows[:-1] + 1], place, 0))
+        picked[follows] = (place - run) & 1 == 1
+    return picked
 
 
 def _by_pair(s: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.uint64]:
     """Pairs of neighbours at the places in `at`, sorted, the place of each, and the bits of a symbol."""
     wide, place = int(s.max()).bit_length(), len(s).bit_length()
-    key = (s[at] << np.uint64(wide)) | s[at + 1]
+    key = (s[at].astype(np.uint64) << np.uint64(wide)) | s[at + 1]
     if 2 * wide + place > 64:
         order = np.argsort(key, kind="stable")
         return key[order], at[order], np.uint64(wide)
-    both = np.sort((key << np.uint64(place)) | at.astype(np.uint64))
-    return both >> np.uint64(place), (both & np.uint64((1 << place) - 1)).astype(np.int64), np.uint64(wide)
+    both = np.sort((key << np.uint64(place)) | at.view(np.uint64))
+    return both >> np.uint64(place), (both & np.uint64((1 << place) - 1)).view(np.int64), np.uint64(wide)
 
 
 def repair(ids: np.ndarray, *, end_id: int = 0, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
@@ -233,31 +248,32 @@ def repair(ids: np.ndarray, *, end_id: int = 0, base: int = BASE) -> tuple[np.nd
 
     Once pairs that occur twice were replaced, only those of new symbols, and those that made no rule, can occur twice: from then on only such places are sorted.
     """
-    rules, s, n_rules, least = [np.zeros((0, 2), np.uint64)], ids.astype(np.uint64), 0, None
+    rules, s, n_rules, least = [np.zeros((0, 2), np.uint64)], ids.astype(np.uint32), 0, None
     look = np.ones(len(s), bool)  # places whose pair may occur twice
     while len(s) > 1:
-        at = np.flatnonzero(look[:-1])
-        at = at[(s[at] != end_id) & (s[at + 1] != end_id)]
-        ordered, at, wide = _by_pair(s, at)
+        inner = s != end_id
+        ordered, at, wide = _by_pair(s, np.flatnonzero(look[:-1] & inner[:-1] & inner[1:]))
         edge = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, np.int64)
         count = np.diff(np.r_[edge, len(ordered)])
         top = int(count.max(initial=0))
         if top < 2:
             break
         least = max(2, min(top, least or top) // 32)
-        often = count >= least
-        pair, hits = ordered[edge[often]], at[np.repeat(often, count)]
-        number = np.zeros(len(s), np.int32)
-        number[hits] = np.repeat(np.arange(1, len(pair) + 1, dtype=np.int32), count[often])
-        hits = np.flatnonzero(number)  # in order
-        number, every = number[hits] - 1, hits
+        often = np.flatnonzero(count >= least)
+        edge, count = edge[often], count[often]
+        pair, hits = ordered[edge], at[_stretches(edge, count)]
+        found, number = np.zeros(len(s), bool), np.empty(len(s), np.int32)
+        found[hits], number[hits] = True, np.repeat(np.arange(len(pair), dtype=np.int32), count)
+        hits = np.flatnonzero(found)  # in order
+        number, every = number[hits], hits
         while True:  # until each rule that is left has two places
-            taken = _picked(hits) if len(hits) else np.zeros(0, bool)
+            taken = np.flatnonzero(_picked(hits))
             at, of = hits[taken], number[taken]
             uses = np.bincount(of, minlength=len(pair))
-            stays = uses[number] != 1
+            stays = (uses != 1)[number]
             if stays.all():
                 break
+            stays = np.flatnonzero(stays)
             hits, number = hits[stays], number[stays]
         look = np.zeros(len(s), bool) if least == 2 else np.ones(len(s), bool)
         look[every] = True
@@ -266,29 +282,30 @@ def repair(ids: np.ndarray, *, end_id: int = 0, base: int = BASE) -> tuple[np.nd
                 break
             continue
         used = np.flatnonzero(uses > 1)
-        new = np.zeros(len(pair), np.uint64)
-        new[used] = base + n_rules + np.arange(len(used), dtype=np.uint64)
+        new = np.zeros(len(pair), np.uint32)
+        new[used] = base + n_rules + np.arange(len(used))
         s[at] = new[of]
         look[at] = True
         look[np.maximum(at, 1) - 1] = True
         keep = np.ones(len(s), bool)
         keep[at + 1] = False
+        keep = np.flatnonzero(keep)
         s, look = s[keep], look[keep]
         rules.append(np.stack([pair[used] >> wide, pair[used] & np.uint64((1 << int(wide)) - 1)], 1))
         n_rules += len(used)
-    return s.astype(np.uint32), np.concatenate(rules).astype(np.uint32)
+    return s, np.concatenate(rules).astype(np.uint32)
 
 
 def lengths(rules: np.ndarray, base: int) -> np.ndarray:
     """Ids that each rule expands to (rules only use earlier ones)."""
-    out = np.zeros(len(rules), np.int64)
-    todo = np.ones(len(rules), bool)
-    while todo.any():
-        side = [np.where(c < base, 1, out[np.maximum(c.astype(np.int64) - base, 0)]) for c in rules.T] if len(rules) else []
-        ready = todo & (side[0] > 0) & (side[1] > 0)
-        out[ready] = side[0][ready] + side[1][ready]
-        todo &= ~ready
-    return out
+    out = np.r_[np.zeros(len(rules), np.int64), 1]  # an id's at the end
+    todo, sides = np.arange(len(rules)), np.maximum(rules.astype(np.int64) - base, -1)
+    while len(todo):
+        left, right = out[sides[todo, 0]], out[sides[todo, 1]]
+        ready = (left > 0) & (right > 0)
+        out[todo[ready]] = (left + right)[ready]
+        todo = todo[~ready]
+    return out[:-1]
 
 
 def pack(docs: list[np.ndarray], *, end_id: int = 0, base: int = BASE) -> bytes:
@@ -321,13 +338,18 @@ class Shard:
         self.symbols = np.frombuffer(data, kind, symbols, at + 8 * rules)
 
     def _expand(self, s: np.ndarray) -> np.ndarray:
-        while (new := s >= self.base).any():
-            out = np.repeat(s, 1 + new)
-            at = np.flatnonzero(new) + np.arange(new.sum())
-            pairs = self.rules[s[new].astype(np.int64) - self.base]
-            out[at], out[at + 1] = pairs[:, 0], pairs[:, 1]
-            s = out
-        return s.astype(np.uint32)
+        """As lengths are known, an id goes to its place at once and only rules are carried on."""
+        size = self._sizes(s)
+        ends = np.cumsum(size)
+        out, at = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32), ends - size
+        left = self._sizes(self.rules[:, 0])
+        while len(s):
+            rule = s >= self.base
+            done, rest = np.flatnonzero(~rule), np.flatnonzero(rule)
+            out[at[done]] = s[done]
+            of, at = s[rest].astype(np.int64) - self.base, at[rest]
+            s, at = self.rules[of].T.ravel(), np.r_[at, at + left[of]]
+        return out
 
     def ids(self) -> np.ndarray:
         return self._expand(self.symbols)
@@ -336,9 +358,12 @@ class Shard:
         first = int(self.doc_symbols[:k].sum())
         return self._expand(self.symbols[first : first + int(self.doc_symbols[k])])
 
+    def _sizes(self, s: np.ndarray) -> np.ndarray:
+        return np.r_[self.lengths, 1][np.maximum(s.astype(np.int64) - self.base, -1)]
+
     def sizes(self) -> np.ndarray:
         """Ids of each symbol."""
-        return np.where(self.symbols < self.base, 1, self.lengths[np.maximum(self.symbols.astype(np.int64) - self.base, 0)] if len(self.lengths) else 1)
+        return self._sizes(self.symbols)
 
     def span(self, start: int, stop: int) -> np.ndarray:
         """ids()[start:stop], expanding only the symbols that reach into it."""

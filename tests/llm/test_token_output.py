@@ -1,5 +1,6 @@
 """The encoder of the token output: its pieces, its memory, hashes that meet."""
 
+import itertools
 import random
 import tracemalloc
 
@@ -51,3 +52,35 @@ def test_late_rounds_of_repair_sort_only_what_can_occur_twice(monkeypatch):
             seen.add(pair)
             last[pair] = k
     assert len(sizes) > 5 and sizes[-1] < len(s) / 10
+
+
+def test_decoding_lays_out_each_id_once_however_deep_the_rules(monkeypatch):
+    rng = np.random.default_rng(7)
+    word = rng.integers(1, 5000, 3000)
+    docs = [np.r_[x, 0] for x in [rng.integers(1, 5000, 3000), *[word] * 40, np.full(4096, 7)]]
+    shard = token_output.Shard(token_output.pack(docs))
+    laid, repeat = [0], np.repeat
+    monkeypatch.setattr(np, "repeat", lambda *a, **kw: (out := repeat(*a, **kw), laid.append(len(out)))[0])
+    ids = shard.ids()
+    assert ids.tolist() == np.concatenate(docs).tolist() and sum(laid) <= len(ids)
+    assert shard.document(41).tolist() == docs[41].tolist()
+
+
+def test_a_new_piece_sorts_none_of_the_known_ones(monkeypatch):
+    encode = token_output.Encoder(tokenizer_path())
+    encode([" ".join("".join(x) for x in itertools.product("abcdefghi", repeat=4))])
+    sizes, sort = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda a, *x, **kw: sizes.append(len(a)) or sort(a, *x, **kw))
+    assert encode([" not yet"])[0].tolist() == Tokenizer.from_file(tokenizer_path()).encode(" not yet", add_special_tokens=False).ids
+    assert max(sizes) < 100 and len(encode.hashes) > 5000
+
+
+def test_pieces_met_again_outlive_what_is_forgotten():
+    encode, word = token_output.Encoder(tokenizer_path(), keep=200), map("".join, itertools.product("bcdfg", "aeiou", "klmnp", "aeiou"))
+    common, learned, learn = [next(word) for _ in range(40)], [], encode._learn
+    encode._learn = lambda hashes, *x: learned.append(len(hashes)) or learn(hashes, *x)
+    tok = Tokenizer.from_file(tokenizer_path())
+    for _ in range(25):
+        text = " " + " ".join([*common, *(next(word) for _ in range(20))])
+        assert encode([text])[0].tolist() == tok.encode(text, add_special_tokens=False).ids
+    assert len(encode.hashes) <= 200 + 60 and sum(learned) == 40 + 25 * 20
