@@ -116,10 +116,11 @@ def bitmap_import(old: DataFrame, new: DataFrame, clear: bool = False) -> DataFr
 
 
 def bitmap_ids(bits: DataFrame) -> DataFrame:
-    """The ids of a bitmap table."""
+    """The ids of a bitmap table, each once. Buckets from 1 on count up from their first id; those up to 0 hold 0 and negative ids and count down."""
     byte = F.posexplode(F.transform(F.sequence(F.lit(1), F.length("bits")), lambda k: F.conv(F.hex(F.substring(F.col("bits"), k, F.lit(1))), 16, 10).cast("int"))).alias("at", "byte")
     each = bits.select("bucket", byte).filter("byte != 0").select("bucket", "at", F.explode(F.filter(F.sequence(F.lit(0), F.lit(7)), lambda b: F.expr("byte").bitwiseAND(F.call_function("shiftleft", F.lit(1), b)) != 0)).alias("bit"))
-    return each.select(((F.col("bucket") - 1) * 32768 + F.col("at") * 8 + F.col("bit") + 1).alias("_id"))
+    place = F.col("at") * 8 + F.col("bit")
+    return each.select(F.when(F.col("bucket") > 0, (F.col("bucket") - 1) * 32768 + place + 1).otherwise(F.col("bucket") * 32768 - place).alias("_id"))
 
 
 #: Bits of an id below its shard.

@@ -195,6 +195,25 @@ def test_bitmaps_round_trip_and_clear(spark):
     assert sorted(r["_id"] for r in filters.bitmap_ids(filters.bitmap_import(table, gone, clear=True)).collect()) == [x for x in ids if x not in (8, 32768)]
 
 
+def test_bitmaps_hold_zero_and_negative_ids(spark):
+    ids = [-(1 << 63), -65537, -32769, -32768, -32767, -1, 0, 1, 32768, (1 << 63) - 1]
+    table = filters.bitmap(spark.createDataFrame([(x,) for x in ids], "_id long"))
+    assert sorted(r["_id"] for r in filters.bitmap_ids(table).collect()) == ids
+    gone = filters.bitmap(spark.createDataFrame([(0,), (-32768,), (5,)], "_id long"))
+    assert sorted(r["_id"] for r in filters.bitmap_ids(filters.bitmap_import(table, gone, clear=True)).collect()) == [x for x in ids if x not in (0, -32768)]
+
+
+def test_bitmap_ids_with_key_zero_equals_sql(spark, tmp_path):
+    import duckdb
+
+    from sparsewide import registry
+
+    spark.createDataFrame([(k, "a b", "Brand#1", "LARGE", 26 if k % 2 == 0 else 25, 1.0) for k in range(5)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    assert sorted(r["_id"] for r in registry.QUERIES["bitmap_ids"](spark, str(tmp_path)).collect()) == sorted(x for (x,) in con.execute(registry.SQL["bitmap_ids"]).fetchall()) == [0, 2, 4]
+
+
 def test_quantum_helpers():
     at = datetime
     assert quantum.parse_partial("2023") == at(2023, 1, 1) and quantum.parse_partial("2023-11") == at(2023, 11, 1) and quantum.parse_partial("2023-11-05T7") == at(2023, 11, 5, 7) and quantum.parse_partial("2023-11-05T07:30") == at(2023, 11, 5, 7, 30)
