@@ -1,6 +1,7 @@
 """The SQL dialect's statements, its types and errors; checks of the call language and what reaches the scan."""
 
 import json
+import re
 from datetime import datetime
 from decimal import Decimal
 
@@ -184,6 +185,50 @@ def test_set_with_a_time(spark):
         mutate.set_(spark.createDataFrame([(1, 2)], "_id long, n int"), 1, "n", 3, "2024-01-01")
 
 
+#: Frames that Spark computes anew for each row.
+_ANEW = r"specifiedwindowframe\(\w+, (?!unboundedpreceding)[^ ]+, unboundedfollowing"
+
+
+def test_first_last_takes_each_row_once(spark):
+    from sparsewide import registry
+
+    plan = registry.QUERIES["first_last"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("specifiedwindowframe") == 2 and not re.search(_ANEW, plan)
+
+
+def test_frames_to_the_end_equal_sql(spark):
+    import duckdb
+
+    rows = [(k, k % 3, None if k % 7 == 0 else k // 4, None if k % 5 == 0 else (k * 37) % 23) for k in range(60)]
+    w = "PARTITION BY g ORDER BY "
+    ends = "AND UNBOUNDED FOLLOWING"
+    calls = [
+        (f"LAST(x) OVER ({w}_id ROWS BETWEEN CURRENT ROW {ends})", None),
+        (f"LAST(x) OVER ({w}_id DESC ROWS BETWEEN 2 FOLLOWING {ends})", None),
+        (f"FIRST(x) OVER ({w}_id ROWS BETWEEN 3 PRECEDING {ends})", None),
+        (f"FIRST(x) OVER ({w}_id ROWS BETWEEN 3 FOLLOWING {ends})", None),
+        (f"LAST(x) IGNORE NULLS OVER ({w}_id ROWS BETWEEN CURRENT ROW {ends})", f"LAST(x IGNORE NULLS) OVER ({w}_id ROWS BETWEEN CURRENT ROW {ends})"),
+        (f"FIRST(x, true) OVER ({w}_id ROWS BETWEEN 1 PRECEDING {ends})", f"FIRST(x IGNORE NULLS) OVER ({w}_id ROWS BETWEEN 1 PRECEDING {ends})"),
+        (f"SUM(x) OVER ({w}_id DESC ROWS BETWEEN CURRENT ROW {ends})", None),
+        (f"COUNT(*) OVER ({w}o NULLS LAST RANGE BETWEEN CURRENT ROW {ends})", None),
+        (f"MIN(x) OVER ({w}o NULLS FIRST RANGE BETWEEN 2 PRECEDING {ends})", None),
+        (f"MAX(x) OVER ({w}o DESC NULLS LAST RANGE BETWEEN 1 FOLLOWING {ends})", None),
+        (f"COUNT(x) OVER ({w}o DESC NULLS FIRST, _id ROWS BETWEEN CURRENT ROW {ends})", None),
+        (f"SUM(x) OVER ({w}o RANGE BETWEEN CURRENT ROW {ends})", f"SUM(x) OVER ({w}o NULLS FIRST RANGE BETWEEN CURRENT ROW {ends})"),
+        ("coalesce(LAST(x) OVER v, -1)", None),
+        ("COUNT(*) OVER (V)", "COUNT(*) OVER v"),
+    ]
+    tail = f"FROM t WINDOW u AS (ORDER BY o), v AS ({w}_id ROWS BETWEEN CURRENT ROW {ends}) ORDER BY _id"
+    df = spark.createDataFrame(rows, "_id long, g int, o int, x int")
+    got = Session(spark, {"t": df}).sql(f"SELECT _id, {', '.join(f'{c} AS c{k}' for k, (c, _) in enumerate(calls))} {tail}")
+    assert not re.search(_ANEW, got._jdf.queryExecution().optimizedPlan().toString())
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (_id BIGINT, g INT, o INT, x INT)")
+    con.executemany("INSERT INTO t VALUES (?, ?, ?, ?)", rows)
+    want = con.execute(f"SELECT _id, {', '.join(f'{duck or c} AS c{k}' for k, (c, duck) in enumerate(calls))} {tail}").fetchall()
+    assert [tuple(r) for r in got.collect()] == want
+
+
 # filter API and time quantum
 
 
